@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wirelens.operators.scoring import anomaly_score
+from wirelens.session import cut_lineage
 
 _EULER = 0.5772156649
 NODES = ("tree int, node int, feature int, threshold double, left int, right int, size long")
@@ -159,7 +160,8 @@ class IsolationForest:
     def fit(self, df: DataFrame, row_id: str, vector: Column) -> IsolationForestModel:
         """``row_id`` must identify rows; ``vector`` is an array<double> column."""
         spark = df.sparkSession
-        data = df.select(F.col(row_id).alias("id"), vector.alias("v"))
+        # counted, sampled and scored: three passes over rows that are written once
+        data = cut_lineage(df.select(F.col(row_id).alias("id"), vector.alias("v")))
         rows = data.count()
         size = min(self.sample, rows)
         pool = self._pool(data, "id", rows)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wirelens.fixed_values import FEATURE_NAMES
 from wirelens.operators.scoring import classify
+from wirelens.session import cut_lineage
 
 
 def label_index(labels: DataFrame, label: str = "label", out: str = "label_index") -> DataFrame:
@@ -101,7 +102,9 @@ class AttackClassifier:
     def fit(self, df: DataFrame, label: str = "label", vector: str = "vector"
             ) -> "AttackClassifierModel":
         """``vector`` is an array<double> column. Boosting takes no class weights, as before."""
-        rows = df.select(F.col(label).alias("label"), array_to_vector(vector).alias("raw"))
+        # several passes follow, so the rows are written once instead of being derived each time
+        rows = cut_lineage(df.select(F.col(label).alias("label"),
+                                     array_to_vector(vector).alias("raw")))
         if not self.boosted:
             rows = with_class_weights(rows)
         scaler = StandardScaler(inputCol="raw", outputCol="scaled",
@@ -161,7 +164,8 @@ def fit_sequence_classifier(windows: DataFrame, width: int, length: int = 10, ro
     net = MultilayerPerceptronClassifier(
         layers=[width * length, 64, 32, 16, 2], maxIter=rounds, seed=seed,
         featuresCol="scaled", labelCol="target", predictionCol="predicted")
-    return Pipeline(stages=[scaler, net]).fit(flatten_windows(windows))
+    rows = cut_lineage(flatten_windows(windows).select("flat", "target"))
+    return Pipeline(stages=[scaler, net]).fit(rows)
 
 
 def flatten_windows(windows: DataFrame) -> DataFrame:
