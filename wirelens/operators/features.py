@@ -14,79 +14,82 @@ from wirelens.operators.flows import ENTROPY_SCALE, FLOW_NO, flow_id, flow_sums
 from wirelens.schemas import FLOW_KEY, INTEGER_FEATURES
 
 
+DURATION = f"greatest((last_us - first_us) / 1e6, {MIN_DURATION_S!r}d)"
+
+
 def duration() -> Column:
-    return F.greatest((F.col("last_us") - F.col("first_us")) / 1e6, F.lit(MIN_DURATION_S))
+    return F.expr(DURATION)
 
 
-def _mean(total: Column, n: Column) -> Column:
-    return F.when(n > 0, total / n).otherwise(0.0)
+def _mean(total: str, n: str) -> str:
+    return f"if({n} > 0, {total} / {n}, 0d)"
 
 
-def _variance(total: Column, squares: Column, n: Column) -> Column:
+def _variance(total: str, squares: str, n: str) -> str:
     """Population variance from exact sums: (n * sum of squares - sum^2) / n^2."""
     big = "decimal(38,0)"
-    spread = (n.cast("decimal(20,0)") * squares.cast(big)).cast(big) \
-        - (total.cast("decimal(19,0)") * total.cast("decimal(19,0)")).cast(big)
-    return F.when(n > 1, F.greatest(spread.cast("double"), F.lit(0.0))
-                  / (n.cast("double") * n.cast("double"))).otherwise(0.0)
+    spread = (f"cast(cast({n} as decimal(20,0)) * cast({squares} as {big}) as {big})"
+              f" - cast(cast({total} as decimal(19,0)) * cast({total} as decimal(19,0)) as {big})")
+    return f"if({n} > 1, greatest(double({spread}), 0d) / (double({n}) * double({n})), 0d)"
 
 
-def flow_features(packets: DataFrame, mode: str = "tumbling", bidirectional: bool = False,
-                  cfg: Settings = DEFAULTS) -> DataFrame:
-    """Flow records with the 55 features as flat columns, integer-valued ones as BIGINT."""
-    sums = flow_sums(packets, mode, bidirectional, cfg).filter(
-        F.col("n") >= cfg.min_flow_packets)
-    c = F.col
-    tcp = c("protocol") == "TCP"
-    header = F.when(tcp, TCP_HEADER_BYTES).otherwise(OTHER_HEADER_BYTES)
-    window = F.when(tcp, TCP_INIT_WINDOW).otherwise(0)
-    variance = _variance(c("bytes"), c("bytes_sq"), c("n"))
-    zero = F.lit(0.0)
-    value: dict[str, Column] = {"flow_duration": duration()}
+def _feature_sql() -> dict[str, str]:
+    """Every feature over the columns of ``flow_sums``."""
+    header = f"if(protocol = 'TCP', {TCP_HEADER_BYTES}, {OTHER_HEADER_BYTES})"
+    window = f"if(protocol = 'TCP', {TCP_INIT_WINDOW}, 0)"
+    variance = _variance("bytes", "bytes_sq", "n")
+    out = {"flow_duration": "duration"}
     for side, d in (("fwd", "f"), ("bwd", "b")):
-        n, total = c(f"{d}_n"), c(f"{d}_bytes")
-        value |= {
+        n, total = f"{d}_n", f"{d}_bytes"
+        gap_variance = _variance(f"{d}_gap_sum", f"{d}_gap_sq", f"{d}_gap_n")
+        out |= {
             f"total_{side}_packets": n,
             f"total_{side}_bytes": total,
             f"{side}_packet_length_mean": _mean(total, n),
-            f"{side}_packet_length_std": F.sqrt(_variance(total, c(f"{d}_bytes_sq"), n)),
-            f"{side}_iat_mean": _mean(c(f"{d}_gap_sum") / 1e6, c(f"{d}_gap_n")),
-            f"{side}_iat_std": F.sqrt(_variance(
-                c(f"{d}_gap_sum"), c(f"{d}_gap_sq"), c(f"{d}_gap_n"))) / 1e6,
-            f"{side}_psh_flags": c(f"{d}_psh"),
-            f"{side}_urg_flags": c(f"{d}_urg"),
-            f"{side}_header_length": n * header,
+            f"{side}_packet_length_std": f"sqrt({_variance(total, f'{d}_bytes_sq', n)})",
+            f"{side}_iat_mean": _mean(f"({d}_gap_sum / 1e6)", f"{d}_gap_n"),
+            f"{side}_iat_std": f"sqrt({gap_variance}) / 1e6",
+            f"{side}_psh_flags": f"{d}_psh",
+            f"{side}_urg_flags": f"{d}_urg",
+            f"{side}_header_length": f"{n} * {header}",
             f"avg_{side}_segment_size": _mean(total, n),
             f"subflow_{side}_packets": n,
             f"subflow_{side}_bytes": total,
         }
-    value |= {
-        "flow_bytes_per_sec": c("bytes") / duration(),
-        "flow_packets_per_sec": c("n") / duration(),
-        "min_packet_length": c("len_min"),
-        "max_packet_length": c("len_max"),
-        "packet_length_mean": _mean(c("bytes"), c("n")),
-        "packet_length_std": F.sqrt(variance),
+    return out | {
+        "flow_bytes_per_sec": "bytes / duration",
+        "flow_packets_per_sec": "n / duration",
+        "min_packet_length": "len_min",
+        "max_packet_length": "len_max",
+        "packet_length_mean": _mean("bytes", "n"),
+        "packet_length_std": f"sqrt({variance})",
         "packet_length_variance": variance,
-        **{f"{flag}_flag_count": c(flag)
+        **{f"{flag}_flag_count": flag
            for flag in ("fin", "syn", "rst", "psh", "ack", "urg", "ece")},
-        "down_up_ratio": c("b_bytes") / F.greatest(c("f_bytes"), F.lit(1)),
-        "avg_packet_size": _mean(c("bytes"), c("n")),
-        "fwd_header_length2": c("f_n") * header,
+        "down_up_ratio": "b_bytes / greatest(f_bytes, 1)",
+        "avg_packet_size": _mean("bytes", "n"),
+        "fwd_header_length2": f"f_n * {header}",
         "init_win_bytes_forward": window,
         "init_win_bytes_backward": window,
-        "act_data_pkt_forward": c("f_n"),
-        "min_seg_size_forward": F.coalesce(c("f_len_min"), F.lit(0)),
-        **{f"active_{s}": duration() for s in ("mean", "max", "min")}, "active_std": zero,
-        **{f"idle_{s}": zero for s in ("mean", "std", "max", "min")},
-        "payload_entropy_mean": c("entropy") / ENTROPY_SCALE / c("n"),
+        "act_data_pkt_forward": "f_n",
+        "min_seg_size_forward": "coalesce(f_len_min, 0)",
+        **{f"active_{s}": "duration" for s in ("mean", "max", "min")}, "active_std": "0d",
+        **{f"idle_{s}": "0d" for s in ("mean", "std", "max", "min")},
+        "payload_entropy_mean": f"entropy / {ENTROPY_SCALE} / n",
     }
-    return sums.select(
-        flow_id(), (c("last_us") / 1e6).alias("timestamp"), *FLOW_KEY, FLOW_NO,
-        "first_us", "last_us",
-        c("n").alias("packet_count"), c("bytes").alias("total_bytes"),
-        duration().alias("duration"),
-        *[value[f].cast("bigint" if f in INTEGER_FEATURES else "double").alias(f)
+
+
+def flow_features(packets: DataFrame, mode: str = "tumbling", bidirectional: bool = False,
+                  cfg: Settings = DEFAULTS) -> DataFrame:
+    """Flow records with the 55 features as flat columns, integer-valued ones as BIGINT."""
+    sums = flow_sums(packets, mode, bidirectional, cfg).filter(
+        F.col("n") >= cfg.min_flow_packets)
+    value = _feature_sql()
+    return sums.withColumn("duration", duration()).select(
+        flow_id(), F.expr("last_us / 1e6 AS timestamp"), *FLOW_KEY, FLOW_NO,
+        "first_us", "last_us", F.expr("n AS packet_count"), F.expr("bytes AS total_bytes"),
+        "duration",
+        *[F.expr(f"cast({value[f]} as {'bigint' if f in INTEGER_FEATURES else 'double'}) AS {f}")
           for f in FEATURE_NAMES])
 
 

@@ -107,48 +107,45 @@ def flow_sums(packets: DataFrame, mode: str = "tumbling", bidirectional: bool =
     sums = number_flows(slot_sums(packets, cfg, bidirectional), mode, cfg)
     # gaps across slot borders: previous slot of the same flow and side
     prior = Window.partitionBy(*FLOW_KEY, FLOW_NO, "side").orderBy(SLOT)
-    gap = (F.col("first_us") - F.lag("last_us").over(prior)).alias("gap")
-    sums = sums.select("*", gap)
-    exact = F.col("gap").cast("decimal(19,0)")
-    sums = sums.withColumns({
-        "gap_n": F.col("gap_n") + F.col("gap").isNotNull().cast("long"),
-        "gap_sum": F.col("gap_sum") + F.coalesce("gap", F.lit(0)),
-        "gap_sq": F.col("gap_sq").cast("decimal(38,0)")
-        + F.coalesce((exact * exact).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")),
-        "bytes_sq": F.col("bytes_sq").cast("decimal(28,0)"),
-    })
+    sums = sums.withColumn("gap", F.col("first_us") - F.lag("last_us").over(prior))
+    big = "decimal(38,0)"
+    replaced = {
+        "gap_n": "gap_n + int(gap IS NOT NULL)",
+        "gap_sum": "gap_sum + coalesce(gap, 0)",
+        "gap_sq": f"cast(gap_sq as {big}) + coalesce(cast(cast(gap as decimal(19,0))"
+                  f" * cast(gap as decimal(19,0)) as {big}), cast(0 as {big}))",
+        "bytes_sq": "cast(bytes_sq as decimal(28,0))",
+    }
+    sums = sums.selectExpr(*[c for c in sums.columns if c not in replaced and c != "gap"],
+                           *[f"{x} AS {c}" for c, x in replaced.items()])
     flow = [*FLOW_KEY, FLOW_NO]
     if not bidirectional:
-        out = sums.groupBy(*flow).agg(
-            F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
-            *[F.sum(c).alias(f"f_{c}") for c in _ADDED],
-            F.min("len_min").alias("f_len_min"), F.max("len_max").alias("f_len_max"))
-        loop = F.col("src_ip") == F.col("dst_ip")
-        zero = {c: F.lit(0).cast(t) for c, t in out.dtypes}
-        return out.withColumns({
-            **{f"b_{c}": F.when(loop, F.col(f"f_{c}")).otherwise(zero[f"f_{c}"]) for c in _ADDED},
-            **{c: F.col(f"f_{c}") for c in [*_ADDED, "len_min", "len_max"]}})
-    sided = sums.groupBy(*flow).agg(
-        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
-        F.min_by("side", F.struct("first_us", "first_id", "side")).alias("starter"),
-        *[F.sum(F.when(F.col("side") == s, F.col(c)).otherwise(0)).alias(f"s{s}_{c}")
+        out = sums.groupBy(*flow).agg(*map(F.expr, [
+            "min(first_us) AS first_us", "max(last_us) AS last_us",
+            *[f"sum({c}) AS f_{c}" for c in _ADDED],
+            "min(len_min) AS f_len_min", "max(len_max) AS f_len_max"]))
+        return out.selectExpr(
+            "*", *[f"if(src_ip = dst_ip, f_{c}, cast(0 as {t})) AS b_{c}"
+                   for c in _ADDED for n, t in out.dtypes if n == f"f_{c}"],
+            *[f"f_{c} AS {c}" for c in [*_ADDED, "len_min", "len_max"]])
+    sided = sums.groupBy(*flow).agg(*map(F.expr, [
+        "min(first_us) AS first_us", "max(last_us) AS last_us",
+        "min_by(side, struct(first_us, first_id, side)) AS starter",
+        *[f"coalesce(sum({c}) FILTER (WHERE side = {s}), 0) AS s{s}_{c}"
           for s in (0, 1) for c in _ADDED],
-        *[F.min(F.when(F.col("side") == s, F.col("len_min"))).alias(f"s{s}_len_min")
-          for s in (0, 1)],
-        F.min("len_min").alias("len_min"), F.max("len_max").alias("len_max"))
-    swap = F.col("starter") == 1
-
-    def swapped(a: str, b: str) -> Column:
-        return F.when(swap, F.col(b)).otherwise(F.col(a))
-
-    return sided.select(
-        swapped("src_ip", "dst_ip").alias("src_ip"), swapped("dst_ip", "src_ip").alias("dst_ip"),
-        swapped("src_port", "dst_port").alias("src_port"),
-        swapped("dst_port", "src_port").alias("dst_port"),
+        *[f"min(len_min) FILTER (WHERE side = {s}) AS s{s}_len_min" for s in (0, 1)],
+        "min(len_min) AS len_min", "max(len_max) AS len_max"]))
+
+    def swapped(a: str, b: str, out: str) -> str:
+        return f"if(starter = 1, {b}, {a}) AS {out}"
+
+    return sided.selectExpr(
+        swapped("src_ip", "dst_ip", "src_ip"), swapped("dst_ip", "src_ip", "dst_ip"),
+        swapped("src_port", "dst_port", "src_port"), swapped("dst_port", "src_port", "dst_port"),
         "protocol", FLOW_NO, "first_us", "last_us", "len_min", "len_max",
-        *[swapped(f"s0_{c}", f"s1_{c}").alias(f"f_{c}") for c in [*_ADDED, "len_min"]],
-        *[swapped(f"s1_{c}", f"s0_{c}").alias(f"b_{c}") for c in _ADDED],
-        *[(F.col(f"s0_{c}") + F.col(f"s1_{c}")).alias(c) for c in _ADDED])
+        *[swapped(f"s0_{c}", f"s1_{c}", f"f_{c}") for c in [*_ADDED, "len_min"]],
+        *[swapped(f"s1_{c}", f"s0_{c}", f"b_{c}") for c in _ADDED],
+        *[f"s0_{c} + s1_{c} AS {c}" for c in _ADDED])
 
 
 def flow_id() -> Column:

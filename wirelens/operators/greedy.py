@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,25 +62,31 @@ def greedy_spacing(df: DataFrame, keys: Sequence[str], pos: str, tie: str, gap:
              .select(*keys, F.col(pos), "_row.*",
                      (F.col(pos) - F.pmod(F.col(pos), F.lit(span))).cast("long").alias(_CHUNK)))
 
-    def with_keys(pdf: pd.DataFrame, values: dict) -> pd.DataFrame:
+    def longs(table: pa.Table, column: str) -> np.ndarray:
+        return table.column(column).to_numpy().astype("int64")
+
+    def rows_of(table: pa.Table, values: dict) -> pa.Table:
+        """Arrays of equal length next to the group's key."""
         n = len(next(iter(values.values())))
-        head = {k: [pdf[k].iloc[0]] * n for k in keys}
-        return pd.DataFrame({**head, **values})
+        first = pa.array(np.zeros(n, dtype="int64"))
+        head = {k: table.column(k).combine_chunks().take(first) for k in keys}
+        return pa.table({**head, **{c: pa.array(v, type=pa.int64()) for c, v in values.items()}})
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = np.sort(pdf[pos].to_numpy())
+    def summarise(table: pa.Table) -> pa.Table:
+        p = np.sort(longs(table, pos))
         exits = last_firing(p, gap)
-        chunk = int(pdf[_CHUNK].iloc[0])
+        chunk = longs(table, _CHUNK)[0]
         # one entry past the reachable range stands for "first candidate after it"
         reach = min(len(p), int(np.searchsorted(p, chunk + gap)) + 1)
         p, exits = p[:reach], exits[:reach]
         keep = np.append(exits[1:] != exits[:-1], True)  # last entry of each run of equal exits
-        return with_keys(pdf, {_CHUNK: np.full(keep.sum(), chunk), _POS: p[keep],
+        return rows_of(table, {_CHUNK: np.full(keep.sum(), chunk), _POS: p[keep],
                                _EXIT: exits[keep]})
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([_CHUNK, _POS])
-        chunks, p, exits = (pdf[c].to_numpy() for c in (_CHUNK, _POS, _EXIT))
+    def link(table: pa.Table) -> pa.Table:
+        chunks, p, exits = (longs(table, c) for c in (_CHUNK, _POS, _EXIT))
+        order = np.lexsort((p, chunks))
+        chunks, p, exits = chunks[order], p[order], exits[order]
         names, first = np.unique(chunks, return_index=True)
         bounds = np.append(first, len(chunks))
         start, out_from = _UNSET, []
@@ -90,19 +96,19 @@ def greedy_spacing(df: DataFrame, keys: Sequence[str], pos: str, tie: str, gap:
             j = lo + int(np.searchsorted(p[lo:hi], start))
             if j < hi:
                 start = int(exits[j]) + gap
-        return with_keys(pdf, {_CHUNK: names, _FROM: out_from})
+        return rows_of(table, {_CHUNK: names, _FROM: out_from})
 
-    def replay(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        p = np.sort(pdf[pos].to_numpy())
-        hits = firings(p, gap, int(entry[_FROM].iloc[0]))
-        return pdf[pdf[pos].isin(hits)].drop(columns=_CHUNK)
+    def replay(table: pa.Table, entry: pa.Table) -> pa.Table:
+        p = longs(table, pos)
+        hits = firings(np.sort(p), gap, int(longs(entry, _FROM)[0]))
+        return table.filter(pa.array(np.isin(p, hits))).drop_columns([_CHUNK])
 
     entry = T.StructType(key_fields + [T.StructField(c, long) for c in (_CHUNK, _POS, _EXIT)])
     start = T.StructType(key_fields + [T.StructField(c, long) for c in (_CHUNK, _FROM)])
     fired = T.StructType([f for f in spots.schema.fields if f.name != _CHUNK])
     by_chunk = spots.groupBy(*keys, _CHUNK)
-    starts = by_chunk.applyInPandas(summarise, entry).groupBy(*keys).applyInPandas(link, start)
-    return (by_chunk.cogroup(starts.groupBy(*keys, _CHUNK)).applyInPandas(replay, fired)
+    starts = by_chunk.applyInArrow(summarise, entry).groupBy(*keys).applyInArrow(link, start)
+    return (by_chunk.cogroup(starts.groupBy(*keys, _CHUNK)).applyInArrow(replay, fired)
             .select(*df.columns))
 
 

@@ -17,6 +17,7 @@ from wirelens.operators.greedy import cooldown, reset_on_fire
 from wirelens.operators.ordered import (ordered_lag, presence_spans, rolling_count,
                                         running_min_before, running_sum)
 from wirelens.operators.scoring import severity_band
+from wirelens.session import BROADCAST_ROWS, cut_lineage
 
 SEG, TS, SEQ = "segment", "ts_us", "seq"
 _US = 1_000_000
@@ -80,6 +81,11 @@ def mac_flood_events(events: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
                     cfg.mac_flood_window_s * _US)
 
 
+def flood_firings(events: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """The flood events as a stored table: several rules exclude them, and none recomputes them."""
+    return cut_lineage(mac_flood_events(events, cfg))
+
+
 def mac_flooding(events: DataFrame, cfg: Settings = DEFAULTS, fired: DataFrame | None = None
                  ) -> DataFrame:
     """A burst of MACs; at most one alert per window length."""
@@ -92,10 +98,12 @@ def mac_flooding(events: DataFrame, cfg: Settings = DEFAULTS, fired: DataFrame |
 def without_flood(events: DataFrame, fired: DataFrame) -> DataFrame:
     """An event that raised a flood alert is not looked at by the other rules.
 
-    Firings are at least one window apart per segment, so this side is small and the runtime
-    planner can broadcast it by its measured size.
+    Firings are at least one window apart per segment. They are counted, and only a small table is
+    broadcast, which spares the events a shuffle.
     """
-    return events.join(fired.select(SEG, SEQ), [SEG, SEQ], "left_anti")
+    side = fired.select(SEG, SEQ)
+    small = side.count() <= BROADCAST_ROWS
+    return events.join(F.broadcast(side) if small else side, [SEG, SEQ], "left_anti")
 
 
 def arp_bindings(events: DataFrame) -> DataFrame:
@@ -110,7 +118,7 @@ def arp_bindings(events: DataFrame) -> DataFrame:
 def arp_spoofing(events: DataFrame, cfg: Settings = DEFAULTS, fired: DataFrame | None = None
                  ) -> DataFrame:
     """G1: a reply moves an address to another MAC than its previous reply did."""
-    fired = mac_flood_events(events, cfg) if fired is None else fired
+    fired = flood_firings(events, cfg) if fired is None else fired
     bound = without_flood(arp_bindings(events).select(*_EVENT, "ip", "mac"), fired)
     moved = ordered_lag(bound, [SEG, "ip"], TS, SEQ, "mac", "previous", cfg.l2_slot_s * _US) \
         .filter(F.col("previous") != F.col("mac"))
@@ -145,7 +153,7 @@ def stp_tc_flood(events: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
 def cdp_flood(events: DataFrame, cfg: Settings = DEFAULTS, fired: DataFrame | None = None
               ) -> DataFrame:
     """Many frames of one MAC in the window, which an alert empties."""
-    fired = mac_flood_events(events, cfg) if fired is None else fired
+    fired = flood_firings(events, cfg) if fired is None else fired
     frames = without_flood(_of_type(events, "CDP").select(*_EVENT), fired) \
         .withColumn("mac", F.coalesce("src_mac", F.lit(_NO_MAC)))
     flooded = reset_on_fire(frames, [SEG, "mac"], TS, SEQ, cfg.cdp_flood_window_s * _US,
@@ -182,7 +190,7 @@ def vlan_hopping(events: DataFrame) -> DataFrame:
 
 def l2_alerts(events: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """All rules, at most one alert per event."""
-    fired = mac_flood_events(events, cfg)
+    fired = flood_firings(events, cfg)
     parts = [mac_flooding(events, cfg, fired), arp_spoofing(events, cfg, fired),
              stp_root_hijack(events, cfg), stp_tc_flood(events, cfg),
              cdp_flood(events, cfg, fired), dtp_spoofing(events, cfg), vtp_attack(events, cfg),
@@ -195,7 +203,7 @@ def l2_alerts(events: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
 
 def l2_status(events: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """What the rules have learned so far, one row per segment."""
-    fired = mac_flood_events(events, cfg)
+    fired = flood_firings(events, cfg)
     when = F.struct(TS, SEQ)
     arp = (without_flood(arp_bindings(events).select(SEG, SEQ, "ip"), fired)
            .select(SEG, "ip").distinct().groupBy(SEG)

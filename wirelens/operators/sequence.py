@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelens.config import DEFAULTS, Settings
@@ -18,11 +16,16 @@ SCALE = 10.0
 _US = 1_000_000
 
 
-def spread(columns: Sequence[str] = FEATURE_NAMES) -> Column:
-    """Population variance across the values of one row, as one generated expression."""
-    values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
-    mean = reduce(add, values) / len(values)
-    return reduce(add, [(v - mean) * (v - mean) for v in values]) / len(values)
+def with_spread(df: DataFrame, out: str, columns: Sequence[str] = FEATURE_NAMES) -> DataFrame:
+    """Add the population variance across the values of each row, in generated code.
+
+    The mean is a step of its own; inlined it would be repeated once per column.
+    """
+    values = [f"coalesce(double({c}), 0d)" for c in columns]
+    mean = " + ".join(values)
+    squares = " + ".join(f"({v} - _mean) * ({v} - _mean)" for v in values)
+    return (df.withColumn("_mean", F.expr(f"({mean}) / {len(values)}"))
+            .withColumn(out, F.expr(f"({squares}) / {len(values)}")).drop("_mean"))
 
 
 def sequence_score(df: DataFrame, keys: Sequence[str] = ("src_ip",), ts: str = "last_us",
@@ -34,9 +37,10 @@ def sequence_score(df: DataFrame, keys: Sequence[str] = ("src_ip",), ts: str = "
     per-row variance can be named by ``variance``.
     """
     keys = list(keys)
-    var = F.col(variance) if variance else spread(columns)
+    spread = df.withColumn("_var", F.col(variance)) if variance else with_spread(
+        df, "_var", columns)
     # only order, key and spread travel through the ordering shuffles
-    slim = df.select(*keys, ts, tie, var.alias("_var"))
+    slim = spread.select(*keys, ts, tie, "_var")
     numbered = row_index(slim, keys, ts, tie, "_index", cfg.slot_s * _US)
     chunks = neighbour_chunks(numbered, "_index", before=RECENT - 1, after=0)
     recent = (Window.partitionBy(*keys, SLOT).orderBy("_index")

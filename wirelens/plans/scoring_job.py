@@ -16,6 +16,7 @@ from wirelens.operators.models import AttackClassifier, AttackClassifierModel
 from wirelens.operators.scoring import threat_score
 from wirelens.operators.sequence import sequence_score
 from wirelens.schemas import FLOWS
+from wirelens.session import cut_lineage
 
 
 @dataclass
@@ -42,8 +43,15 @@ def train(labelled: DataFrame, row_id: str, vector: str, label: str = "label",
 
 
 def score_features(features: DataFrame, models: Models, cfg: Settings = DEFAULTS,
-                   history: Sequence[str] = ("src_ip",)) -> DataFrame:
-    """Flow features -> scored flows. ``history=()`` keeps one sequence history for all flows."""
+                   history: Sequence[str] = ("src_ip",), materialise: bool = False
+                   ) -> DataFrame:
+    """Flow features -> scored flows. ``history=()`` keeps one sequence history for all flows.
+
+    The sequence score reads the features three times, so ``materialise`` writes them once instead
+    of assembling the flows again; leave it off for features that are read from a table.
+    """
+    if materialise:
+        features = cut_lineage(features)
     sequenced = sequence_score(features, history, cfg=cfg)
     with_vector = sequenced.withColumn("vector", feature_array())
     scored = models.classifier.transform(
@@ -57,8 +65,9 @@ def score_features(features: DataFrame, models: Models, cfg: Settings = DEFAULTS
 
 def score_flows(packets: DataFrame, models: Models, cfg: Settings = DEFAULTS,
                 mode: str = "tumbling", history: Sequence[str] = ("src_ip",)) -> DataFrame:
-    """Packets -> flows -> features -> inspection -> scores, one lazy plan."""
-    return score_features(flow_features(packets, mode, cfg=cfg), models, cfg, history)
+    """Packets -> flows -> features -> inspection -> scores."""
+    return score_features(flow_features(packets, mode, cfg=cfg), models, cfg, history,
+                          materialise=True)
 
 
 def suspicious(scored: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:

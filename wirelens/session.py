@@ -37,3 +37,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back, so lost executors lose no work."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# rows of a few narrow columns that are cheap to send to every executor
+BROADCAST_ROWS = 1_000_000
