@@ -79,18 +79,22 @@ def _feature_sql() -> dict[str, str]:
     }
 
 
+def features_of(sums: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """Features from flow sums (``flow_sums`` or their streaming counterpart)."""
+    value = _feature_sql()
+    return sums.filter(F.col("n") >= cfg.min_flow_packets).withColumn("duration", duration()) \
+        .select(
+            flow_id(), F.expr("last_us / 1e6 AS timestamp"), *FLOW_KEY, FLOW_NO,
+            "first_us", "last_us", F.expr("n AS packet_count"), F.expr("bytes AS total_bytes"),
+            "duration",
+            *[F.expr(f"cast({value[f]} as {'bigint' if f in INTEGER_FEATURES else 'double'})"
+                     f" AS {f}") for f in FEATURE_NAMES])
+
+
 def flow_features(packets: DataFrame, mode: str = "tumbling", bidirectional: bool = False,
                   cfg: Settings = DEFAULTS) -> DataFrame:
     """Flow records with the 55 features as flat columns, integer-valued ones as BIGINT."""
-    sums = flow_sums(packets, mode, bidirectional, cfg).filter(
-        F.col("n") >= cfg.min_flow_packets)
-    value = _feature_sql()
-    return sums.withColumn("duration", duration()).select(
-        flow_id(), F.expr("last_us / 1e6 AS timestamp"), *FLOW_KEY, FLOW_NO,
-        "first_us", "last_us", F.expr("n AS packet_count"), F.expr("bytes AS total_bytes"),
-        "duration",
-        *[F.expr(f"cast({value[f]} as {'bigint' if f in INTEGER_FEATURES else 'double'}) AS {f}")
-          for f in FEATURE_NAMES])
+    return features_of(flow_sums(packets, mode, bidirectional, cfg), cfg)
 
 
 def feature_array(missing: float = 0.0) -> Column:

@@ -27,9 +27,9 @@ _US = 1_000_000
 # entropy is summed in integer millionths, so sums do not depend on the order of addition
 ENTROPY_SCALE = 1_000_000
 
-_FLAG_COUNTS = {"fin": "F", "syn": "S", "rst": "R", "psh": "P", "ack": "A", "urg": "U", "ece": "E"}
+FLAG_COUNTS = {"fin": "F", "syn": "S", "rst": "R", "psh": "P", "ack": "A", "urg": "U", "ece": "E"}
 # slot sums that simply add up over the slots of a flow
-_ADDED = ["n", "bytes", "bytes_sq", "entropy", "gap_n", "gap_sum", "gap_sq", *_FLAG_COUNTS]
+ADDED = ["n", "bytes", "bytes_sq", "entropy", "gap_n", "gap_sum", "gap_sq", *FLAG_COUNTS]
 
 
 def _endpoint_key(packets: DataFrame) -> DataFrame:
@@ -47,21 +47,25 @@ def _endpoint_key(packets: DataFrame) -> DataFrame:
         F.when(forward, 0).otherwise(1).alias("side"))
 
 
+def packet_measures() -> list[Column]:
+    """The per-packet integers that are summed: length, entropy and one 0/1 per TCP flag."""
+    flags = F.coalesce(F.col("flags"), F.lit(""))
+    return [
+        F.col("length").cast("long").alias("length"),
+        F.floor(F.coalesce(F.col("payload_entropy"), F.lit(0.0)) * ENTROPY_SCALE + 0.5)
+        .alias("entropy"),
+        *[F.contains(flags, F.lit(c)).cast("long").alias(n) for n, c in FLAG_COUNTS.items()]]
+
+
 def slot_sums(packets: DataFrame, cfg: Settings = DEFAULTS, bidirectional: bool = False
               ) -> DataFrame:
     """One row per (5-tuple, slot, side) with every sum the features need.
 
     Within a slot all sums fit 64-bit integers: gaps in a slot add up to at most the slot width.
     """
-    width = cfg.slot_s * _US
     df = _endpoint_key(packets) if bidirectional else packets.withColumn("side", F.lit(0))
-    flags = F.coalesce(F.col("flags"), F.lit(""))
-    df = df.select(
-        *FLOW_KEY, "side", slot_start("ts_us", width).alias(SLOT), "ts_us", "packet_id",
-        F.col("length").cast("long").alias("length"),
-        F.floor(F.coalesce(F.col("payload_entropy"), F.lit(0.0)) * ENTROPY_SCALE + 0.5)
-        .alias("entropy"),
-        *[F.contains(flags, F.lit(c)).cast("long").alias(n) for n, c in _FLAG_COUNTS.items()])
+    df = df.select(*FLOW_KEY, "side", slot_start("ts_us", cfg.slot_s * _US).alias(SLOT),
+                   "ts_us", "packet_id", *packet_measures())
     order = Window.partitionBy(*FLOW_KEY, SLOT, "side").orderBy("ts_us", "packet_id")
     df = df.withColumn("gap", F.col("ts_us") - F.lag("ts_us").over(order))
     return df.groupBy(*FLOW_KEY, SLOT, "side").agg(
@@ -76,7 +80,7 @@ def slot_sums(packets: DataFrame, cfg: Settings = DEFAULTS, bidirectional: bool
         F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0)).alias("gap_sq"),
         F.min(F.struct("ts_us", "packet_id")).getField("packet_id").alias("first_id")
         if bidirectional else F.lit(0).alias("first_id"),
-        *[F.sum(n).alias(n) for n in _FLAG_COUNTS])
+        *[F.sum(n).alias(n) for n in FLAG_COUNTS])
 
 
 def number_flows(sums: DataFrame, mode: str, cfg: Settings = DEFAULTS) -> DataFrame:
@@ -122,17 +126,14 @@ def flow_sums(packets: DataFrame, mode: str = "tumbling", bidirectional: bool =
     if not bidirectional:
         out = sums.groupBy(*flow).agg(*map(F.expr, [
             "min(first_us) AS first_us", "max(last_us) AS last_us",
-            *[f"sum({c}) AS f_{c}" for c in _ADDED],
+            *[f"sum({c}) AS f_{c}" for c in ADDED],
             "min(len_min) AS f_len_min", "max(len_max) AS f_len_max"]))
-        return out.selectExpr(
-            "*", *[f"if(src_ip = dst_ip, f_{c}, cast(0 as {t})) AS b_{c}"
-                   for c in _ADDED for n, t in out.dtypes if n == f"f_{c}"],
-            *[f"f_{c} AS {c}" for c in [*_ADDED, "len_min", "len_max"]])
+        return complete_directional(out)
     sided = sums.groupBy(*flow).agg(*map(F.expr, [
         "min(first_us) AS first_us", "max(last_us) AS last_us",
         "min_by(side, struct(first_us, first_id, side)) AS starter",
         *[f"coalesce(sum({c}) FILTER (WHERE side = {s}), 0) AS s{s}_{c}"
-          for s in (0, 1) for c in _ADDED],
+          for s in (0, 1) for c in ADDED],
         *[f"min(len_min) FILTER (WHERE side = {s}) AS s{s}_len_min" for s in (0, 1)],
         "min(len_min) AS len_min", "max(len_max) AS len_max"]))
 
@@ -143,9 +144,18 @@ def flow_sums(packets: DataFrame, mode: str = "tumbling", bidirectional: bool =
         swapped("src_ip", "dst_ip", "src_ip"), swapped("dst_ip", "src_ip", "dst_ip"),
         swapped("src_port", "dst_port", "src_port"), swapped("dst_port", "src_port", "dst_port"),
         "protocol", FLOW_NO, "first_us", "last_us", "len_min", "len_max",
-        *[swapped(f"s0_{c}", f"s1_{c}", f"f_{c}") for c in [*_ADDED, "len_min"]],
-        *[swapped(f"s1_{c}", f"s0_{c}", f"b_{c}") for c in _ADDED],
-        *[f"s0_{c} + s1_{c} AS {c}" for c in _ADDED])
+        *[swapped(f"s0_{c}", f"s1_{c}", f"f_{c}") for c in [*ADDED, "len_min"]],
+        *[swapped(f"s1_{c}", f"s0_{c}", f"b_{c}") for c in ADDED],
+        *[f"s0_{c} + s1_{c} AS {c}" for c in ADDED])
+
+
+def complete_directional(forward: DataFrame) -> DataFrame:
+    """Backward and overall sums of directional flows from their forward sums."""
+    types = dict(forward.dtypes)
+    return forward.selectExpr(
+        "*", *[f"if(src_ip = dst_ip, f_{c}, cast(0 as {types[f'f_{c}']})) AS b_{c}"
+               for c in ADDED],
+        *[f"f_{c} AS {c}" for c in [*ADDED, "len_min", "len_max"]])
 
 
 def flow_id() -> Column:
