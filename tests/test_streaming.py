@@ -91,3 +91,61 @@ def test_scored_flows_are_stored_once(spark, packet_files, tmp_path):
     assert stored.count() == 157
     expected = stored.filter("threat_score >= 70").count()
     assert sinks.read_table(spark, root, "alerts").count() == expected > 0
+
+
+@pytest.mark.parametrize("delay_s", [0, 20])
+def test_l2_alerts(spark, tmp_path, delay_s):
+    from test_l2 import BASE, random_trace
+    from wirelens.operators import l2
+    from wirelens.schemas import L2_EVENTS
+    from wirelens.streaming import l2 as sl2
+
+    rng = random.Random(11)
+    cfg = Settings(mac_flood_new_macs=8, cdp_flood_count=4, stp_tc_count=3, l2_slot_s=15)
+    rows = []
+    for e in random_trace(rng, 500, 300):
+        full = dict.fromkeys(L2_EVENTS.fieldNames()) | {k: v for k, v in e.items() if k != "t"}
+        full["ts_us"] = BASE + round(e["t"] * 1e6)
+        full["timestamp"] = full["ts_us"] / 1e6
+        rows.append(tuple(full[f] for f in L2_EVENTS.fieldNames()))
+    trace_df = spark.createDataFrame(rows, L2_EVENTS)
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    if delay_s:
+        # arrival out of order by less than the delay
+        ordered = sorted(ordered, key=lambda r: r[1] + rng.random() * (delay_s - 1) * 1e6)
+    cuts = [0, 120, 130, 300, 500]
+    if not delay_s:
+        # events of one instant stay together when nothing is held back
+        cuts = [next((i for i in range(c, len(ordered)) if i == 0 or
+                      ordered[i][1] != ordered[i - 1][1]), len(ordered)) for c in cuts]
+    far = (10 ** 9, FAR, FAR / 1e6, "a", "UDLD") + (None,) * 15
+    parts = [ordered[a:b] for a, b in zip(cuts, cuts[1:])] + [[far]]
+    for i, part in enumerate(parts):
+        sl2.process_batch(spark.createDataFrame(part, L2_EVENTS), i, f"{tmp_path}/s",
+                          f"{tmp_path}/out", cfg, delay_s)
+        if i == 1:  # a repeated batch changes nothing
+            sl2.process_batch(spark.createDataFrame(part, L2_EVENTS), i, f"{tmp_path}/s",
+                              f"{tmp_path}/out", cfg, delay_s)
+    got = sinks.read_table(spark, f"{tmp_path}/out", "alerts")
+    want = l2.l2_alerts(trace_df, cfg)
+    cols = ["id", "category", "timestamp", "description"]
+    assert sorted(map(str, got.select(cols).collect())) == \
+        sorted(map(str, want.select(cols).collect()))
+    status = sl2.current_status(spark, f"{tmp_path}/s", len(parts) - 1, cfg).collect()
+    assert sorted(map(str, status)) == sorted(map(str, l2.l2_status(trace_df, cfg).collect()))
+
+
+def test_l2_stream_runs(spark, tmp_path):
+    from wirelens.streaming import l2 as sl2
+
+    path = str(tmp_path / "events")
+    trace.l2_events(spark, DATA).orderBy("seq").coalesce(1).write.parquet(path)
+    stream = readers.read_l2_events(spark, path, streaming=True)
+    run(sl2.l2_alert_stream(stream, f"{tmp_path}/out", f"{tmp_path}/state", f"{tmp_path}/cp",
+                            delay_s=0))
+    counts = {r.category: r["count"] for r in
+              sinks.read_table(spark, f"{tmp_path}/out", "alerts").groupBy("category").count()
+              .collect()}
+    assert counts == {"MAC_FLOODING": 4, "ARP_SPOOFING": 13, "STP_ROOT_HIJACK": 11,
+                      "STP_TC_FLOOD": 19, "CDP_FLOOD": 8, "DTP_SWITCH_SPOOFING": 4,
+                      "VTP_ATTACK": 3, "VLAN_DOUBLE_TAGGING": 25}
