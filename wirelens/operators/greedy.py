@@ -1,9 +1,14 @@
 """Greedy spacing: fire at the first candidate, then at each next one at least ``gap`` further on.
 
 Whether a candidate fires depends on the previous firing, so the rule is sequential. It is still cut
-into chunks of positions: (1) each chunk maps every possible entry point to the last firing it leads
-to, (2) a small per-key pass follows these maps from chunk to chunk, (3) each chunk is replayed from
-its now known entry point. Only entries within one ``gap`` of a chunk start are looked at in step 2.
+into chunks of positions:
+
+1. each chunk maps every possible entry point to the last firing it leads to; only entries within one
+   ``gap`` of the chunk start can be reached from outside, so little is kept of a chunk;
+2. these maps are chunked and mapped again in the same way, ``LEVELS`` times in all;
+3. one pass per key follows the few maps that are left, and each level passes the entry points it
+   found down to the next finer one;
+4. each chunk is replayed from its now known entry point.
 """
 
 from __future__ import annotations
@@ -12,28 +17,36 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wirelens.operators.ordered import dense_rows
 
-_CHUNK, _POS, _EXIT, _FROM = "_chunk", "_pos", "_exit", "_from"
-# chunk length in gaps: step 2 sees about 1/CHUNK_GAPS of a dense key's candidates
+_CHUNK, _PARENT, _POS, _EXIT, _FROM = "_chunk", "_parent", "_pos", "_exit", "_from"
+# chunk length in gaps, and in chunks of the level below: the pass per key sees at most about one
+# in CHUNK_GAPS ** LEVELS of a dense key's candidates
 CHUNK_GAPS = 64
+LEVELS = 2
+# chunk length where positions are row numbers
+ROWS_PER_CHUNK = 100_000
 _UNSET = -(2 ** 62)
 
 
-def last_firing(pos: np.ndarray, gap: int) -> np.ndarray:
-    """For each sorted position: the last firing in the array when that position fires."""
+def last_firing(pos: np.ndarray, exits: np.ndarray, gap: int) -> np.ndarray:
+    """Follow the chain from every entry to its last firing in the array.
+
+    ``pos`` is sorted; entry i leads to a firing at ``exits[i]`` and from there to the first entry
+    at least ``gap`` further on.
+    """
     n = len(pos)
-    jump = np.append(np.searchsorted(pos, pos + gap), n)
+    jump = np.append(np.searchsorted(pos, exits + gap), n)
     last = np.append(np.arange(n), n)
     while True:
         ahead = jump[last]
         step = ahead < n
         if not step.any():
-            return pos[last[:n]]
+            return exits[last[:n]]
         # pointer doubling: each round doubles the number of jumps taken
         last = np.where(step, last[ahead], last)
 
@@ -47,67 +60,97 @@ def firings(pos: np.ndarray, gap: int, start: int) -> np.ndarray:
     return np.array(out, dtype="int64")
 
 
-def greedy_spacing(df: DataFrame, keys: Sequence[str], pos: str, tie: str, gap: int) -> DataFrame:
+def _longs(table: pa.Table, column: str) -> np.ndarray:
+    return table.column(column).to_numpy().astype("int64")
+
+
+def _rows_of(table: pa.Table, keys: Sequence[str], values: dict) -> pa.Table:
+    """Arrays of equal length next to the key of the group ``table``."""
+    n = len(next(iter(values.values())))
+    first = pa.array(np.zeros(n, dtype="int64"))
+    head = {k: table.column(k).combine_chunks().take(first) for k in keys}
+    return pa.table({**head, **{c: pa.array(v, type=pa.int64()) for c, v in values.items()}})
+
+
+def _follow(entries: pa.Table, start: int, gap: int) -> tuple[np.ndarray, list[int]]:
+    """Chunks in order, each with the position from which its candidates may fire."""
+    chunks, p, exits = (_longs(entries, c) for c in (_CHUNK, _POS, _EXIT))
+    order = np.lexsort((p, chunks))
+    chunks, p, exits = chunks[order], p[order], exits[order]
+    names, first = np.unique(chunks, return_index=True)
+    bounds = np.append(first, len(chunks))
+    starts = []
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        starts.append(start)
+        j = lo + int(np.searchsorted(p[lo:hi], start))
+        if j < hi:
+            start = int(exits[j]) + gap
+    return names, starts
+
+
+def greedy_spacing(df: DataFrame, keys: Sequence[str], pos: str, tie: str, gap: int,
+                   chunk_gaps: int = CHUNK_GAPS, levels: int = LEVELS) -> DataFrame:
     """Rows of ``df`` that fire. Of rows equal in (keys, pos) only the lowest ``tie`` can.
 
-    Both Python steps read the candidates in the same layout, so one shuffle of them is written and
-    read twice, and ``df`` is evaluated once.
+    Candidates are read twice in the same layout (mapping and replay), so one shuffle of them is
+    written and ``df`` is evaluated once.
     """
     keys = list(keys)
-    span = gap * CHUNK_GAPS
-    key_fields = [f for k in keys for f in df.schema.fields if f.name == k]
-    long = T.LongType()
+    widths = [gap * chunk_gaps ** (i + 1) for i in range(levels)]
     payload = [c for c in df.columns if c not in {*keys, pos, tie}]
+
+    def chunk_at(column: str, level: int) -> Column:
+        at = F.col(column).cast("long")
+        return at - F.pmod(at, F.lit(widths[level]))
+
     spots = (df.groupBy(*keys, pos).agg(F.min(F.struct(tie, *payload)).alias("_row"))
-             .select(*keys, F.col(pos), "_row.*",
-                     (F.col(pos) - F.pmod(F.col(pos), F.lit(span))).cast("long").alias(_CHUNK)))
-
-    def longs(table: pa.Table, column: str) -> np.ndarray:
-        return table.column(column).to_numpy().astype("int64")
-
-    def rows_of(table: pa.Table, values: dict) -> pa.Table:
-        """Arrays of equal length next to the group's key."""
-        n = len(next(iter(values.values())))
-        first = pa.array(np.zeros(n, dtype="int64"))
-        head = {k: table.column(k).combine_chunks().take(first) for k in keys}
-        return pa.table({**head, **{c: pa.array(v, type=pa.int64()) for c, v in values.items()}})
-
-    def summarise(table: pa.Table) -> pa.Table:
-        p = np.sort(longs(table, pos))
-        exits = last_firing(p, gap)
-        chunk = longs(table, _CHUNK)[0]
-        # one entry past the reachable range stands for "first candidate after it"
-        reach = min(len(p), int(np.searchsorted(p, chunk + gap)) + 1)
-        p, exits = p[:reach], exits[:reach]
-        keep = np.append(exits[1:] != exits[:-1], True)  # last entry of each run of equal exits
-        return rows_of(table, {_CHUNK: np.full(keep.sum(), chunk), _POS: p[keep],
-                               _EXIT: exits[keep]})
-
-    def link(table: pa.Table) -> pa.Table:
-        chunks, p, exits = (longs(table, c) for c in (_CHUNK, _POS, _EXIT))
-        order = np.lexsort((p, chunks))
-        chunks, p, exits = chunks[order], p[order], exits[order]
-        names, first = np.unique(chunks, return_index=True)
-        bounds = np.append(first, len(chunks))
-        start, out_from = _UNSET, []
-        for i in range(len(names)):
-            out_from.append(start)
-            lo, hi = bounds[i], bounds[i + 1]
-            j = lo + int(np.searchsorted(p[lo:hi], start))
-            if j < hi:
-                start = int(exits[j]) + gap
-        return rows_of(table, {_CHUNK: names, _FROM: out_from})
+             .select(*keys, F.col(pos), "_row.*", chunk_at(pos, 0).alias(_CHUNK)))
+    long = T.LongType()
+    key_fields = [f for k in keys for f in df.schema.fields if f.name == k]
+
+    def schema(*columns: str) -> T.StructType:
+        return T.StructType(key_fields + [T.StructField(c, long) for c in columns])
+
+    def mapper(at: str, exit_column: str, chunk_column: str):
+        def run(table: pa.Table) -> pa.Table:
+            p, exits = _longs(table, at), _longs(table, exit_column)
+            order = np.argsort(p, kind="stable")
+            p = p[order]
+            exits = last_firing(p, exits[order], gap)
+            chunk = _longs(table, chunk_column)[0]
+            # one entry past the reachable range stands for "first candidate after it"
+            reach = min(len(p), int(np.searchsorted(p, chunk + gap)) + 1)
+            p, exits = p[:reach], exits[:reach]
+            keep = np.append(exits[1:] != exits[:-1], True)  # last of each run of equal exits
+            return _rows_of(table, keys, {_CHUNK: np.full(keep.sum(), chunk), _POS: p[keep],
+                                          _EXIT: exits[keep]})
+        return run
+
+    def link_all(table: pa.Table) -> pa.Table:
+        names, starts = _follow(table, _UNSET, gap)
+        return _rows_of(table, keys, {_CHUNK: names, _FROM: starts})
+
+    def link_within(table: pa.Table, entry: pa.Table) -> pa.Table:
+        names, starts = _follow(table, int(_longs(entry, _FROM)[0]), gap)
+        return _rows_of(table, keys, {_CHUNK: names, _FROM: starts})
 
     def replay(table: pa.Table, entry: pa.Table) -> pa.Table:
-        p = longs(table, pos)
-        hits = firings(np.sort(p), gap, int(longs(entry, _FROM)[0]))
+        p = _longs(table, pos)
+        hits = firings(np.sort(p), gap, int(_longs(entry, _FROM)[0]))
         return table.filter(pa.array(np.isin(p, hits))).drop_columns([_CHUNK])
 
-    entry = T.StructType(key_fields + [T.StructField(c, long) for c in (_CHUNK, _POS, _EXIT)])
-    start = T.StructType(key_fields + [T.StructField(c, long) for c in (_CHUNK, _FROM)])
-    fired = T.StructType([f for f in spots.schema.fields if f.name != _CHUNK])
     by_chunk = spots.groupBy(*keys, _CHUNK)
-    starts = by_chunk.applyInArrow(summarise, entry).groupBy(*keys).applyInArrow(link, start)
+    maps = [by_chunk.applyInArrow(mapper(pos, pos, _CHUNK), schema(_CHUNK, _POS, _EXIT))]
+    for level in range(1, levels):
+        maps[-1] = maps[-1].withColumn(_PARENT, chunk_at(_CHUNK, level))
+        maps.append(maps[-1].groupBy(*keys, _PARENT).applyInArrow(
+            mapper(_POS, _EXIT, _PARENT), schema(_CHUNK, _POS, _EXIT)))
+    starts = maps[-1].groupBy(*keys).applyInArrow(link_all, schema(_CHUNK, _FROM))
+    for finer in reversed(maps[:-1]):
+        parent = starts.withColumnRenamed(_CHUNK, _PARENT).groupBy(*keys, _PARENT)
+        starts = finer.groupBy(*keys, _PARENT).cogroup(parent).applyInArrow(
+            link_within, schema(_CHUNK, _FROM))
+    fired = T.StructType([f for f in spots.schema.fields if f.name != _CHUNK])
     return (by_chunk.cogroup(starts.groupBy(*keys, _CHUNK)).applyInArrow(replay, fired)
             .select(*df.columns))
 
@@ -125,5 +168,7 @@ def reset_on_fire(df: DataFrame, keys: Sequence[str], ts: str, tie: str, window:
     the window and none of these came before the last firing: greedy spacing by ``count`` rows over
     the rows whose plain rolling count is at least ``count``.
     """
-    return greedy_spacing(dense_rows(df, keys, ts, tie, window, count, "_index", width),
-                          keys, "_index", tie, count).drop("_index")
+    dense = dense_rows(df, keys, ts, tie, window, count, "_index", width)
+    # positions are row numbers, so a chunk holds a fixed number of rows and one level is enough
+    chunk_gaps = max(1, ROWS_PER_CHUNK // count)
+    return greedy_spacing(dense, keys, "_index", tie, count, chunk_gaps, levels=1).drop("_index")

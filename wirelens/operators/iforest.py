@@ -165,12 +165,13 @@ class IsolationForest:
         rows = data.count()
         size = min(self.sample, rows)
         pool = self._pool(data, "id", rows)
-        # each pool row is offered to every tree; the pool has a fixed size, so this has too
-        offers = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))))
+        # each pool row is offered to every tree, by id only; the pool has a fixed size
+        offers = pool.select("id", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1)))
+                             .alias("tree"))
         draw = F.xxhash64("id", "tree", F.lit(self.seed))
         rank = F.row_number().over(Window.partitionBy("tree").orderBy(draw, "id"))
         drawn = (offers.withColumn("_rank", rank).filter(F.col("_rank") <= size)
-                 .select("tree", "id", "v"))
+                 .select("tree", "id").join(pool, "id"))
         seed = self.seed
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -463,10 +463,9 @@ def flow_detail(s, d):
     p = packets(s, d)
     linked = fl.link_packets(p).select("flow_id", "packet_id", "ts_us", "length", "flags",
                                        "payload_entropy")
-    one = (F.col("src_ip") == "192.168.100.10") & (F.col("dst_ip") == "10.0.0.1") \
-        & (F.col("dst_port") == 53) & (F.col("src_port") == 40000) \
-        & (F.col("flow_no") == 1704067200000000)
-    out = rp.flow_detail(scored(s, d), linked, one)
+    wanted = F.xxhash64(F.lit("192.168.100.10"), F.lit("10.0.0.1"), F.lit(40000), F.lit(53),
+                        F.lit("UDP"), F.lit(1704067200000000).cast("bigint"))
+    out = rp.flow_detail(scored(s, d), linked, wanted)
     return out.select(*_SCORED, "packet_id", "packet_ts_us", "packet_length", "packet_flags")
 
 

@@ -54,18 +54,16 @@ def recent_flows(flows: DataFrame, limit: int = 100, offset: int = 0, src_ip: st
     return _newest(flows, limit, offset, ties)
 
 
-def flow_detail(flows: DataFrame, packets: DataFrame, condition: Column, key: str = "id"
-                ) -> DataFrame:
-    """H2: the flow that meets ``condition`` with one row per packet, oldest first.
+def flow_detail(flows: DataFrame, packets: DataFrame, flow_id: int | Column) -> DataFrame:
+    """H2: one flow with one row per packet, oldest first; no row when the id is unknown.
 
-    ``packets`` hold the flow's key as ``flow_id``. The filter runs before the join, so the packet
-    side is narrowed by the join on a single id.
+    The id filters both sides before the join, so it reaches the scan of stored packets.
     """
-    flow = flows.filter(condition)
-    own = packets.select("flow_id", *[F.col(c).alias(f"packet_{c}") for c in
-                                      ("ts_us", "length", "flags", "payload_entropy")],
-                         F.col("packet_id"))
-    return (flow.join(own, flow[key] == own["flow_id"], "left")
+    fid = F.lit(flow_id) if isinstance(flow_id, int) else flow_id
+    own = packets.filter(F.col("flow_id") == fid).select(
+        F.col("flow_id").alias("id"), "packet_id",
+        *[F.col(c).alias(f"packet_{c}") for c in ("ts_us", "length", "flags", "payload_entropy")])
+    return (flows.filter(F.col("id") == fid).join(own, "id", "left")
             .orderBy("packet_ts_us", "packet_id"))
 
 

@@ -16,8 +16,11 @@ def _dated(df: DataFrame) -> DataFrame:
 
 
 def append_table(df: DataFrame, path: str, mode: str = "append") -> None:
-    """A5: day-partitioned parquet, ordered by time inside files so row groups can be skipped."""
-    (_dated(df).sortWithinPartitions("dt", "timestamp")
+    """A5: day-partitioned parquet. Inside files packets are ordered by flow and all else by time,
+    so lookups by flow or time skip row groups."""
+    order = ["flow_id", "timestamp"] if {"flow_id", "packet_id"} <= set(df.columns) \
+        else ["timestamp"]
+    (_dated(df).sortWithinPartitions("dt", *order)
      .write.mode(mode).partitionBy("dt").parquet(path))
 
 
