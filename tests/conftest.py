@@ -13,6 +13,8 @@ os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "
 def spark():
     from wirelens.session import local_session
 
-    session = local_session(8, "tests")
+    # tiny inputs: planning dominates, so skip the runtime re-planning the benches and jobs use
+    session = local_session(8, "tests", **{"spark.sql.adaptive.enabled": "false",
+                                           "spark.sql.shuffle.partitions": "3"})
     yield session
     session.stop()
