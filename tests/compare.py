@@ -26,11 +26,11 @@ _KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "V
           "boolean": "BOOLEAN"}
 
 
-def difference(spark, con, sf_dir: str, name: str) -> str | None:
+def difference(spark, con, sf_dir: str, name: str, df=None) -> str | None:
     """None when equal, else a short description."""
     from __spark_entry__ import oracle_sql, queries
 
-    df = queries()[name](spark, sf_dir)
+    df = queries()[name](spark, sf_dir) if df is None else df
     rel = con.sql(oracle_sql()[name])
     want_types = dict(zip(rel.columns, map(str, rel.types), strict=True))
     got_types = {c: _KINDS.get(t, t) for c, t in df.dtypes}

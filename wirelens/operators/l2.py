@@ -247,10 +247,13 @@ def l2_status(events: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
         F.max_by("revision", F.when(F.col("type").isin("VTP", VTP_LAST)
                                             & F.col("revision").isNotNull(),
                                     when)).alias("vtp_last_revision"))
-    return (learned.join(arp, SEG, "left").join(macs, SEG, "left")
-            .na.fill(0, ["arp_table_size", "known_mac_count"])
-            .select(SEG, "arp_table_size", "known_mac_count", "stp_root_id", "stp_root_mac",
-                    "vtp_last_revision"))
+    # one small row per segment and part, put side by side by an aggregation
+    parts = learned.unionByName(arp, allowMissingColumns=True) \
+        .unionByName(macs, allowMissingColumns=True)
+    counts = ["arp_table_size", "known_mac_count"]
+    return parts.groupBy(SEG).agg(
+        *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in counts],
+        *[F.max(c).alias(c) for c in ("stp_root_id", "stp_root_mac", "vtp_last_revision")])
 
 
 def learned_rows(events: DataFrame, cfg: Settings, fired: DataFrame, now_us: int) -> DataFrame:
