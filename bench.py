@@ -13,7 +13,6 @@ import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
 from wirelens.plans.catalog import QUERIES  # noqa: E402
 from wirelens.session import local_session  # noqa: E402

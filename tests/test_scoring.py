@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from wirelens.config import Settings
 from wirelens.operators import models, scoring, sequence
-from wirelens.operators.iforest import (IsolationForest, IsolationForestModel, _Forest, grow_tree,
-                                        path_constant)
+from wirelens.operators.iforest import (IsolationForest, IsolationForestModel, forest_arrays,
+                                        forest_score, grow_tree, path_constant)
 from wirelens.plans import reports as rp
 from wirelens.plans import scoring_job
 from wirelens.sources import trace
@@ -88,7 +88,7 @@ def test_forest_traversal_matches_a_plain_walk():
     cols = ["tree", "node", "feature", "threshold", "left", "right", "size"]
     trees = [grow_tree(x[rng.choice(200, 64, replace=False)], t, 1) for t in range(5)]
     nodes = pd.DataFrame([n for t in trees for n in t], columns=cols)
-    got = _Forest(nodes, 64).score(x)
+    got = forest_score(forest_arrays(nodes, 64), x)
     for row, value in zip(x, got, strict=True):
         total = 0.0
         for t in trees:

@@ -64,40 +64,42 @@ def grow_tree(x: np.ndarray, tree: int, seed: int) -> list[tuple]:
     return [tuple(n) for n in nodes]
 
 
-class _Forest:
-    """Node arrays of all trees for batch traversal."""
-
-    def __init__(self, nodes: pd.DataFrame, sample_size: int) -> None:
-        nodes = nodes.sort_values(["tree", "node"])
-        first = nodes.groupby("tree")["node"].size().cumsum().shift(fill_value=0)
-        base = nodes["tree"].map(first).to_numpy()
-        self.roots = first.to_numpy()
-        self.feature = nodes["feature"].to_numpy()
-        self.threshold = nodes["threshold"].to_numpy()
-        leaf = self.feature < 0
-        own = base + nodes["node"].to_numpy()
-        # leaves lead to themselves, so all rows can take the same number of steps
-        self.left = np.where(leaf, own, base + nodes["left"].to_numpy())
-        self.right = np.where(leaf, own, base + nodes["right"].to_numpy())
-        depth = np.zeros(len(nodes))
-        for i in np.flatnonzero(~leaf):
-            depth[self.left[i]] = depth[self.right[i]] = depth[i] + 1
-        self.path = depth + path_constant(nodes["size"].to_numpy())
-        self.steps = int(depth.max()) if len(depth) else 0
-        self.norm = float(path_constant(sample_size))
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """-2^(-E[h]/c): close to -1 for outliers, above -0.5 for ordinary rows."""
-        total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for root in self.roots:
-            at = np.full(len(x), root)
-            for _ in range(self.steps):
-                go_left = x[rows, np.maximum(self.feature[at], 0)] <= self.threshold[at]
-                at = np.where(go_left, self.left[at], self.right[at])
-            total += self.path[at]
-        mean = total / max(len(self.roots), 1)
-        return -np.power(2.0, -mean / self.norm) if self.norm else np.full(len(x), -0.5)
+def forest_arrays(nodes: pd.DataFrame, sample_size: int) -> dict:
+    """All trees as flat node arrays, plain values that any worker can read."""
+    nodes = nodes.sort_values(["tree", "node"])
+    first = nodes.groupby("tree")["node"].size().cumsum().shift(fill_value=0)
+    base = nodes["tree"].map(first).to_numpy()
+    feature = nodes["feature"].to_numpy()
+    leaf = feature < 0
+    own = base + nodes["node"].to_numpy()
+    # leaves lead to themselves, so all rows can take the same number of steps
+    left = np.where(leaf, own, base + nodes["left"].to_numpy())
+    right = np.where(leaf, own, base + nodes["right"].to_numpy())
+    depth = np.zeros(len(nodes))
+    for i in np.flatnonzero(~leaf):
+        depth[left[i]] = depth[right[i]] = depth[i] + 1
+    return {
+        "roots": first.to_numpy(), "feature": np.maximum(feature, 0), "left": left,
+        "right": right, "threshold": nodes["threshold"].to_numpy(),
+        "path": depth + path_constant(nodes["size"].to_numpy()),
+        "steps": int(depth.max()) if len(depth) else 0,
+        "norm": float(path_constant(sample_size))}
+
+
+def forest_score(forest: dict, x: np.ndarray) -> np.ndarray:
+    """-2^(-E[h]/c): close to -1 for outliers, above -0.5 for ordinary rows."""
+    total = np.zeros(len(x))
+    rows = np.arange(len(x))
+    for root in forest["roots"]:
+        at = np.full(len(x), root)
+        for _ in range(forest["steps"]):
+            go_left = x[rows, forest["feature"][at]] <= forest["threshold"][at]
+            at = np.where(go_left, forest["left"][at], forest["right"][at])
+        total += forest["path"][at]
+    mean = total / max(len(forest["roots"]), 1)
+    if not forest["norm"]:
+        return np.full(len(x), -0.5)
+    return -np.power(2.0, -mean / forest["norm"])
 
 
 @dataclass
@@ -109,13 +111,13 @@ class IsolationForestModel:
     offset: float
 
     def raw_score(self, spark: SparkSession, vector: Column) -> Column:
-        shared = spark.sparkContext.broadcast(_Forest(self.nodes, self.sample_size))
+        shared = spark.sparkContext.broadcast(forest_arrays(self.nodes, self.sample_size))
 
         @F.pandas_udf(T.DoubleType())
         def score(v: pd.Series) -> pd.Series:
             if not len(v):
                 return pd.Series([], dtype="float64")
-            return pd.Series(shared.value.score(np.stack(v.to_numpy())))
+            return pd.Series(forest_score(shared.value, np.stack(v.to_numpy())))
 
         return score(vector)
 
