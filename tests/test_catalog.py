@@ -5,6 +5,7 @@ import re
 import pytest
 from compare import connect, difference
 
+from wirelens.config import Settings
 from wirelens.operators import features as ft
 from wirelens.operators import flows as fl
 from wirelens.operators import l2, ordered
@@ -14,6 +15,7 @@ from wirelens.sources import trace
 
 DATA = "/root/testdata/sf0.001"
 # fits of models have no SQL counterpart
+UNTIED = Settings(combine_ties=False)
 ROWS_ONLY = {"isolation_forest_scores", "rf_attack_classes", "gbt_attack_classes",
              "sequence_classifier", "score_flows"}
 
@@ -59,8 +61,8 @@ def raw_shuffles(df):
 
 
 @pytest.mark.parametrize("build", [
-    lambda s: ft.flow_features(trace.packets(s, DATA)),
-    lambda s: ft.flow_features(trace.packets(s, DATA), "session"),
+    lambda s: ft.flow_features(trace.packets(s, DATA), cfg=UNTIED),
+    lambda s: ft.flow_features(trace.packets(s, DATA), "session", cfg=UNTIED),
     lambda s: fl.packet_gaps(trace.packets(s, DATA)),
     lambda s: fl.link_packets(trace.packets(s, DATA), "session").hint("shuffle_merge"),
     lambda s: l2.arp_spoofing(trace.l2_events(s, DATA)),
@@ -79,6 +81,10 @@ def test_raw_rows_shuffle_by_slot(spark, build):
     assert shuffles and all("_slot" in s for s in shuffles), shuffles
 
 
+def test_simultaneous_packets_are_combined_before_the_shuffle(spark):
+    assert not raw_shuffles(ft.flow_features(trace.packets(spark, DATA)))
+
+
 def test_scans_read_only_what_is_needed(spark):
     plan = plan_of(fl.assemble_flows(trace.packets(spark, DATA)).groupBy("src_ip").sum(
         "total_bytes"))

@@ -140,12 +140,25 @@ def test_slot_width_does_not_matter(make):
                   for i in range(120)])
     for mode in fl.MODES:
         results = []
-        for slot in (1, 10, 60):
-            f = ft.flow_features(rows, mode, cfg=Settings(slot_s=slot))
+        for cfg in (Settings(slot_s=1), Settings(slot_s=60), Settings(combine_ties=False)):
+            f = ft.flow_features(rows, mode, cfg=cfg)
             results.append(sorted(map(str, f.select(*FLOW_KEY, *FEATURE_NAMES).collect())))
         assert results[0] == results[1] == results[2]
 
 
+def test_copies(make):
+    """A third of the packets are copies of one: sums and gaps count every copy."""
+    rows = [packet(1, 50)] * 40 + [packet(i * 0.5, 60) for i in range(80)]
+    f = one(ft.flow_features(make(*rows)))
+    times = sorted([1.0] * 40 + [i * 0.5 for i in range(80)])
+    gaps = [b - a for a, b in zip(times, times[1:])]
+    mean = sum(gaps) / len(gaps)
+    assert (f.packet_count, f.total_bytes) == (120, 40 * 50 + 80 * 60)
+    assert f.fwd_iat_mean == pytest.approx(mean)
+    assert f.fwd_iat_std == pytest.approx(
+        (sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5)
+
+
 def test_feature_labels(spark):
     df = spark.createDataFrame([(n,) for n in ("fwd_iat_mean", "syn_flag_count", "idle_max",
                                                "down_up_ratio", "other")], "n string")

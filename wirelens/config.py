@@ -29,6 +29,9 @@ class Settings:
     vtp_revision_jump: int = 50
     # time slot by which hot keys are split; must divide the flow window and not exceed the timeout
     slot_s: int = 10
+    # sum packets of equal time before ordering them: one more shuffle, but no burst or group of
+    # copies can overfill a slot; turn off for traces whose busiest 5-tuple is known to fit
+    combine_ties: bool = True
     # time slot of the Layer-2 ordered scans; at least the widest rolling window
     l2_slot_s: int = 60
 

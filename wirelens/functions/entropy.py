@@ -14,8 +14,14 @@ from wirelens.functions.numbers import round_half_up
 def batch_entropy(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Bits per byte of each of the byte strings laid end to end in ``data``; 0 when empty."""
     rows = len(sizes)
+    if rows == 1:  # a long text by itself needs no row index per byte
+        cells = np.bincount(data, minlength=256)
+        return _entropy_of(cells, sizes, rows)
     owner = np.repeat(np.arange(rows, dtype="int64"), sizes)
-    cells = np.bincount(owner * 256 + data, minlength=rows * 256)
+    return _entropy_of(np.bincount(owner * 256 + data, minlength=rows * 256), sizes, rows)
+
+
+def _entropy_of(cells: np.ndarray, sizes: np.ndarray, rows: int) -> np.ndarray:
     hit = np.flatnonzero(cells)
     counts = cells[hit].astype("float64")
     n = np.maximum(sizes, 1).astype("float64")
@@ -23,21 +29,33 @@ def batch_entropy(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.bincount(hit // 256, weights=-share * np.log2(share), minlength=rows) + 0.0
 
 
-# histogram cells held at once: 4096 rows x 256 byte values
+# one histogram pass takes at most this many rows (x 256 cells) and, beyond one row, bytes
 _ROWS = 4096
+_BYTES = 4 << 20
+
+
+def _passes(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Row ranges that respect both limits."""
+    ends = np.cumsum(sizes)
+    out, at = [], 0
+    while at < len(sizes):
+        done = ends[at - 1] if at else 0
+        to = int(np.searchsorted(ends, done + _BYTES, side="right"))
+        to = min(max(to, at + 1), at + _ROWS)
+        out.append((at, to))
+        at = to
+    return out
 
 
 @F.arrow_udf(T.DoubleType())
 def _entropy_udf(payload: pa.Array) -> pa.Array:
-    out = []
-    for at in range(0, len(payload), _ROWS):
-        part = payload.slice(at, _ROWS).cast(pa.large_binary()).fill_null(b"")
-        offsets = np.frombuffer(part.buffers()[1], dtype="int64")[
-            part.offset:part.offset + len(part) + 1]
-        raw = part.buffers()[2]
-        data = (np.frombuffer(raw, dtype="uint8")[offsets[0]:offsets[-1]] if raw is not None
-                else np.empty(0, dtype="uint8"))
-        out.append(batch_entropy(data, np.diff(offsets)))
+    payload = payload.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(payload.buffers()[1], dtype="int64")[
+        payload.offset:payload.offset + len(payload) + 1]
+    raw = payload.buffers()[2]
+    data = np.frombuffer(raw, dtype="uint8") if raw is not None else np.empty(0, dtype="uint8")
+    sizes = np.diff(offsets)
+    out = [batch_entropy(data[offsets[a]:offsets[b]], sizes[a:b]) for a, b in _passes(sizes)]
     return pa.array(np.concatenate(out) if out else np.empty(0), type=pa.float64())
 
 

@@ -57,30 +57,44 @@ def packet_measures() -> list[Column]:
         *[F.contains(flags, F.lit(c)).cast("long").alias(n) for n, c in FLAG_COUNTS.items()]]
 
 
-def slot_sums(packets: DataFrame, cfg: Settings = DEFAULTS, bidirectional: bool = False
-              ) -> DataFrame:
+def slot_sums(packets: DataFrame, cfg: Settings = DEFAULTS, bidirectional: bool = False,
+              gaps: bool = True) -> DataFrame:
     """One row per (5-tuple, slot, side) with every sum the features need.
 
-    Within a slot all sums fit 64-bit integers: gaps in a slot add up to at most the slot width.
+    Only the squared gaps depend on packet order. With ``combine_ties`` packets of equal time are
+    summed first, with map-side combining, so however many copies or simultaneous packets there are,
+    the ordered window of a slot holds at most one row per microsecond. ``gaps=False`` leaves the
+    ordering out. Within a slot all sums fit 64-bit integers.
     """
     df = _endpoint_key(packets) if bidirectional else packets.withColumn("side", F.lit(0))
-    df = df.select(*FLOW_KEY, "side", slot_start("ts_us", cfg.slot_s * _US).alias(SLOT),
-                   "ts_us", "packet_id", *packet_measures())
-    order = Window.partitionBy(*FLOW_KEY, SLOT, "side").orderBy("ts_us", "packet_id")
-    df = df.withColumn("gap", F.col("ts_us") - F.lag("ts_us").over(order))
-    return df.groupBy(*FLOW_KEY, SLOT, "side").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("length").alias("bytes"),
-        F.sum(F.col("length") * F.col("length")).alias("bytes_sq"),
-        F.min("length").alias("len_min"), F.max("length").alias("len_max"),
-        F.sum("entropy").alias("entropy"),
-        F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"),
-        F.count("gap").alias("gap_n"),
-        F.coalesce(F.sum("gap"), F.lit(0)).alias("gap_sum"),
-        F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0)).alias("gap_sq"),
-        F.min(F.struct("ts_us", "packet_id")).getField("packet_id").alias("first_id")
-        if bidirectional else F.lit(0).alias("first_id"),
-        *[F.sum(n).alias(n) for n in FLAG_COUNTS])
+    df = df.select(*FLOW_KEY, "side", "ts_us", "packet_id", *packet_measures())
+    key = [*FLOW_KEY, "side"]
+    if gaps and cfg.combine_ties:
+        df = df.groupBy(*key, "ts_us").agg(*map(F.expr, [
+            "count(1) AS n", "sum(length) AS bytes", "sum(length * length) AS bytes_sq",
+            "min(length) AS len_min", "max(length) AS len_max", "sum(entropy) AS entropy",
+            "min(packet_id) AS first_id", *[f"sum({f}) AS {f}" for f in FLAG_COUNTS]]))
+    else:
+        df = df.selectExpr(
+            *key, "ts_us", "1L AS n", "length AS bytes", "length * length AS bytes_sq",
+            "length AS len_min", "length AS len_max", "entropy", "packet_id AS first_id",
+            *FLAG_COUNTS)
+    df = df.withColumn(SLOT, slot_start("ts_us", cfg.slot_s * _US))
+    if gaps:
+        order = Window.partitionBy(*FLOW_KEY, SLOT, "side").orderBy("ts_us", "first_id")
+        df = df.withColumn("gap", F.col("ts_us") - F.lag("ts_us").over(order))
+    else:
+        df = df.withColumn("gap", F.lit(0).cast("long"))
+    return df.groupBy(*FLOW_KEY, SLOT, "side").agg(*map(F.expr, [
+        "sum(n) AS n", "sum(bytes) AS bytes", "sum(bytes_sq) AS bytes_sq",
+        "min(len_min) AS len_min", "max(len_max) AS len_max", "sum(entropy) AS entropy",
+        "min(ts_us) AS first_us", "max(ts_us) AS last_us",
+        # every packet of a slot but the first closes a gap, and the gaps add up to its span
+        "sum(n) - 1 AS gap_n", "max(ts_us) - min(ts_us) AS gap_sum",
+        "coalesce(sum(gap * gap), 0L) AS gap_sq",
+        "min(struct(ts_us, first_id)).first_id AS first_id" if bidirectional
+        else "0L AS first_id",
+        *[f"sum({f}) AS {f}" for f in FLAG_COUNTS]]))
 
 
 def number_flows(sums: DataFrame, mode: str, cfg: Settings = DEFAULTS) -> DataFrame:
@@ -102,13 +116,13 @@ def number_flows(sums: DataFrame, mode: str, cfg: Settings = DEFAULTS) -> DataFr
 
 
 def flow_sums(packets: DataFrame, mode: str = "tumbling", bidirectional: bool = False,
-              cfg: Settings = DEFAULTS) -> DataFrame:
+              cfg: Settings = DEFAULTS, gaps: bool = True) -> DataFrame:
     """One row per flow: forward (``f_``) and backward (``b_``) sums, and sums over both.
 
     Directional flows hold only packets of their own source, so backward sums are empty unless
     source and destination are the same address, when every packet counts in both directions.
     """
-    sums = number_flows(slot_sums(packets, cfg, bidirectional), mode, cfg)
+    sums = number_flows(slot_sums(packets, cfg, bidirectional, gaps), mode, cfg)
     # gaps across slot borders: previous slot of the same flow and side
     prior = Window.partitionBy(*FLOW_KEY, FLOW_NO, "side").orderBy(SLOT)
     sums = sums.withColumn("gap", F.col("first_us") - F.lag("last_us").over(prior))
@@ -167,12 +181,12 @@ def assemble_flows(packets: DataFrame, mode: str = "tumbling", bidirectional: bo
                    cfg: Settings = DEFAULTS) -> DataFrame:
     """Flow records with at least ``min_flow_packets`` packets.
 
-    Unused sums and the gap ordering are pruned by the optimizer, which leaves two map-side combined
-    aggregations.
+    Without gaps and with unused sums pruned by the optimizer, two map-side combined aggregations
+    are left.
     """
     from wirelens.operators.features import duration
 
-    sums = flow_sums(packets, mode, bidirectional, cfg)
+    sums = flow_sums(packets, mode, bidirectional, cfg, gaps=False)
     return sums.filter(F.col("n") >= cfg.min_flow_packets).select(
         flow_id(), (F.col("last_us") / 1e6).alias("timestamp"), *FLOW_KEY, FLOW_NO,
         "first_us", "last_us",

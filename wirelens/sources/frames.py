@@ -16,10 +16,13 @@ _FLAG_BITS = "FSRPAUECN"
 
 
 class _Hex:
-    """Byte-offset access to a frame through its lower-case hex text."""
+    """Byte-offset access to the headers of a frame through their lower-case hex text."""
+
+    # Ethernet with one tag, the longest IP header and a TCP header end within this many bytes
+    HEADERS = 128
 
     def __init__(self, column: str) -> None:
-        self.text = F.lower(F.hex(F.col(column)))
+        self.text = F.lower(F.hex(F.substring(F.col(column), 1, self.HEADERS)))
         self.size = F.octet_length(F.col(column))
 
     def take(self, offset: int | Column, count: int) -> Column:
