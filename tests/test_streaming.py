@@ -91,6 +91,14 @@ def test_scored_flows_are_stored_once(spark, packet_files, tmp_path):
     assert stored.count() == 157
     expected = stored.filter("threat_score >= 70").count()
     assert sinks.read_table(spark, root, "alerts").count() == expected > 0
+    run(sf.store_packets(source(spark, path), root, str(tmp_path / "cp_packets")))
+    kept = sinks.read_table(spark, root, "packets").filter(f"ts_us < {FAR}")
+    assert kept.count() == 1000
+    from wirelens.plans.reports import flow_detail
+    one = stored.orderBy("id").first()
+    detail = flow_detail(stored, kept, one.id).collect()
+    size = ft.flow_features(packets).filter(f"id = {one.id}").first().packet_count
+    assert len(detail) == size and all(r.src_ip == one.src_ip for r in detail)
 
 
 def test_l2_alerts(spark, tmp_path):

@@ -227,6 +227,15 @@ def link_packets(packets: DataFrame, mode: str = "tumbling", cfg: Settings = DEF
             .join(slots, [*FLOW_KEY, SLOT]).drop(SLOT))
 
 
+def with_flow_id(packets: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """B9 for tumbling flows without a join: the id follows from the packet alone.
+
+    Packets of flows below the size limit get an id as well; no flow row carries it.
+    """
+    numbered = packets.withColumn(FLOW_NO, slot_start("ts_us", cfg.flow_window_s * _US))
+    return numbered.withColumn("flow_id", F.xxhash64(*FLOW_KEY, FLOW_NO)).drop(FLOW_NO)
+
+
 def sample_packets(packets: DataFrame, mode: str = "tumbling", cfg: Settings = DEFAULTS
                    ) -> DataFrame:
     """Per flow the first packets as an array, and whether more followed.

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from wirelens.config import DEFAULTS, Settings
 from wirelens.operators.features import duration, features_of
 from wirelens.operators.flows import (ADDED, FLAG_COUNTS, FLOW_NO, complete_directional, flow_id,
-                                      packet_measures)
+                                      packet_measures, with_flow_id)
 from wirelens.schemas import FLOW_KEY
 from wirelens.sources.sinks import store
 
@@ -126,3 +126,13 @@ def store_scored_flows(features: DataFrame, root: str, checkpoint: str, score: S
 
     return (features.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
             .foreachBatch(write))
+
+
+def store_packets(packets: DataFrame, root: str, checkpoint: str, cfg: Settings = DEFAULTS
+                  ) -> DataStreamWriter:
+    """A5: append every packet with the id of its flow. No state: the id is computed per row."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store(root, packets=with_flow_id(batch, cfg), batch_id=batch_id)
+
+    return (packets.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+            .foreachBatch(write))
