@@ -203,6 +203,7 @@ class Archive:
 
     def members(self, start: int, end: int, with_payload: bool) -> Iterator[tuple[int, Member]]:
         pos: int | None = start
+        end = min(end, self.size)
         while (pos := self.magic(pos, end)) is not None:
             found = self.member(pos, with_payload)
             if found is None:
