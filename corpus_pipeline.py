@@ -22,13 +22,12 @@ NEAR_BITS = 4
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the machine, trained on the labelled ones, predicts to be toxic go."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return (toxicity.score(docs, model, keep=docs.columns).where("predicted = 0")
-            .select(*docs.columns))
+    return toxicity.judged(docs, model, docs.columns).where("predicted = 0").select("row.*")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that fail the base rules or the limits of their language and source go."""
-    return quality.quality(docs).where("kept").select(*docs.columns)
+    return quality.judged(docs).where("kept").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

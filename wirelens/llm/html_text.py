@@ -154,12 +154,9 @@ def items(page: str) -> Iterator[tuple[str, str, bool, str]]:
 def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     """Scores by kind from counts inside and outside of labelled content: words between 0.05 and 1,
     tags between -2 and -0.1, the more negative the more they belong outside."""
-    inside = sum(n for (_, c), n in counts.items() if c) or 1
-    outside = sum(n for (_, c), n in counts.items() if not c) or 1
     out = {}
     for kind in {k for k, _ in counts}:
-        odds = math.log((counts.get((kind, True), 0) + 1) / inside) - math.log(
-            (counts.get((kind, False), 0) + 1) / outside)
+        odds = math.log(counts.get((kind, True), 0) + 1) - math.log(counts.get((kind, False), 0) + 1)
         if kind.startswith("w:"):
             out[kind] = min(1.0, max(0.05, 0.5 + odds / 8))
         elif kind.startswith("t:"):

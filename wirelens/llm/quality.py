@@ -143,11 +143,11 @@ def thresholds(cells: DataFrame, groups: list[str], reach: float, least: int) ->
         F.max(F.when(F.col("rate") == r, F.col("limit"))).alias(r) for r in GUARDS])
 
 
-def quality(docs: DataFrame, reach: float = 6.0, least: int = 50, text_col: str = "text",
+def judged(docs: DataFrame, reach: float = 6.0, least: int = 50, text_col: str = "text",
             groups: tuple[str, ...] = ("lang", "source"),
             keep: list[str] | None = None) -> DataFrame:
-    """Every row with the columns ``keep`` of the input (all by default), its counts, ``base_failed``
-    and ``kept``. The measured rows are stored once, for the sketches and for the verdict."""
+    """(row, counts, base_failed, kept): ``row`` holds the columns ``keep`` of the input (all by
+    default), so that none can clash. The measured rows are stored once, for the sketches and for the verdict."""
     keep = docs.columns if keep is None else keep
     names = [f"g{i}" for i in range(len(groups))]
     inner = docs.select(*dict.fromkeys([*keep, *groups, text_col]))
@@ -169,6 +169,11 @@ def quality(docs: DataFrame, reach: float = 6.0, least: int = 50, text_col: str
             good = good & (F.col(rate) >= F.col(f"limits.{rate}.low"))
         good = good & (F.col(rate) <= F.col(f"limits.{rate}.high"))
     return joined.select(
-        *[F.col("row")[c].alias(c) for c in keep], "n_words", "word_chars", "n_symbols",
-        "n_dup_lines", "n_repeat_words", "base_failed",
+        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.when(F.col("base_failed"), False).otherwise(F.coalesce(good, F.lit(True))).alias("kept"))
+
+
+def quality(docs: DataFrame, keep: list[str] | None = None, **settings: object) -> DataFrame:
+    """Every row with the columns ``keep``, its counts, ``base_failed`` and ``kept``."""
+    found = judged(docs, keep=keep, **settings)
+    return found.select("row.*", *found.columns[1:])

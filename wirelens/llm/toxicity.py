@@ -33,7 +33,7 @@ FACTORS = 4
 FOLDS = 5
 _TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
 _PREFIX = 4
-_KNOWN = 300_000  # words whose cells a worker remembers before it starts anew
+_KNOWN = 100_000  # words whose cells a worker remembers before it starts anew
 
 
 def held_out(doc_id: Column) -> Column:
@@ -103,10 +103,10 @@ def telling(texts: list[np.ndarray], toxic: np.ndarray, share: float, least: int
     """Cells of at least ``least`` texts whose toxic share is off the general one by ``sigmas``
     standard errors. Thousands of harmless words each a little off would else outweigh an insult in a
     long text."""
-    flat = np.concatenate(texts)
-    owner = np.repeat(np.arange(len(texts)), [t.size for t in texts])
-    seen = np.bincount(flat, minlength=CELLS)
-    bad = np.bincount(flat, toxic[owner], CELLS)
+    seen, bad = np.zeros(CELLS), np.zeros(CELLS)
+    for text, label in zip(texts, toxic, strict=True):  # a text names a cell once
+        seen[text] += 1
+        bad[text] += label
     apart = np.abs(bad - share * seen) / np.sqrt(np.maximum(seen, 1) * share * (1 - share))
     return (seen >= least) & (apart >= sigmas)
 
@@ -195,10 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 16_384, id_col: str
     return bytes(_featured(chosen).coalesce(1).mapInArrow(run, "model binary").first()["model"])
 
 
-def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text",
-          keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of every row (doc_id by default), ``score`` and ``predicted``."""
-    keep = [id_col] if keep is None else keep
+def judged(docs: DataFrame, model: bytes, keep: list[str], text_col: str = "text") -> DataFrame:
+    """(row, score, predicted): ``row`` holds the columns ``keep``, so that none can clash."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 5 MB, by its cells
     rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"),
                        F.col(text_col).cast("string").alias("t"))
@@ -216,6 +214,11 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
                     [batch.column(0), pa.array(scores, pa.float64())], ["row", "score"])
 
     row_type = rows.schema["row"].dataType.simpleString()
-    return (rows.mapInArrow(run, f"row {row_type}, score double")
-            .select(*[F.col("row")[c].alias(c) for c in keep], "score",
-                    (F.col("score") >= 0.5).cast("int").alias("predicted")))
+    return rows.mapInArrow(run, f"row {row_type}, score double").withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text",
+          keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of every row (doc_id by default), ``score`` and ``predicted``."""
+    return judged(docs, model, keep or [id_col], text_col).select("row.*", "score", "predicted")
