@@ -231,9 +231,12 @@ def learn(pages: DataFrame, sample: int = 2000, html_col: str = "html") -> dict[
 
     marked = pages.select(F.col(html_col).cast("string").alias("h")).where(
         F.lower("h").rlike("<(article|main)[ >]"))
-    chosen = marked.orderBy(F.xxhash64("h"), "h").limit(sample)
+    # the hashes are chosen first, so that no task gathers pages of all others; copies count once
+    marked = marked.withColumn("hash", F.xxhash64("h"))
+    cut = marked.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash")).first()
+    chosen = marked.where(F.col("hash") <= F.lit(cut[0])).dropDuplicates(["hash"])
     # element names are the page authors' own: keep the thousand most frequent kinds
-    rows = (chosen.repartition(8, "h").mapInArrow(run, "kind string, inside boolean, n long")
+    rows = (chosen.select("h").mapInArrow(run, "kind string, inside boolean, n long")
             .groupBy("kind", "inside").agg(F.sum("n").alias("n"))
             .orderBy(F.desc("n"), "kind", "inside").limit(1000).collect())
     return weights({(r["kind"], r["inside"]): r["n"] for r in rows})
