@@ -26,10 +26,13 @@ def local_session(cpus: int | str = 8, name: str = "wirelens", **conf: str) -> S
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only an unset one gets a local default (tests)."""
+    """Use the shared folder the cluster names. Without one only a local master gets a default; on a
+    cluster executors could not read each other's files, so that is an error."""
     if spark.sparkContext.getCheckpointDir() is not None:
         return
     named = spark.conf.get(CHECKPOINT_CONF, None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="wirelens-checkpoint-"))
 
 
