@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from compare import connect, difference
 
 from wirelens.config import Settings
@@ -93,6 +94,17 @@ def test_scans_read_only_what_is_needed(spark):
     assert "Window" not in plan  # gap ordering is pruned when no gap feature is used
 
 
+@pytest.mark.parametrize("mode", fl.MODES)
+def test_null_ports_keep_their_packets(spark, mode):
+    packets = trace.packets(spark, DATA).withColumns(
+        {c: F.expr(f"if(protocol = 'TCP', NULL, {c})") for c in ("src_port", "dst_port")})
+    assembled = fl.assemble_flows(packets, mode).agg(F.sum("packet_count")).first()[0]
+    linked = fl.link_packets(packets, mode)
+    assert linked.count() == assembled and linked.filter("src_port IS NULL").count() > 0
+    assert fl.packet_gaps(packets).filter("gap_us IS NOT NULL").count() == \
+        packets.count() - packets.select(*fl.FLOW_KEY).distinct().count()
+
+
 def test_hot_segment_equals_even_load(spark):
     """A third of all events in one key and instant: results stay whole."""
     hot = spark.range(3000).selectExpr(

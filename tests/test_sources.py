@@ -61,6 +61,19 @@ def test_ip_frames(spark):
     assert 5 not in out and (out[6].src_port, out[6].flags) == (7, "S")
 
 
+def test_stacked_tags_and_fragments(spark):
+    body = ipv4(6, tcp(7, 8, 2))
+
+    def at(offset):
+        return body[:6] + struct.pack(">H", offset) + body[8:]
+
+    out = rows(spark, frames.decode_ip_frames, ether(0x0800, body, tags=(5, 6)),
+               ether(0x0800, at(0x2000)), ether(0x0800, at(185)))
+    assert (out[0].protocol, out[0].src_port, out[0].src_ip) == ("TCP", 7, "192.168.1.2")
+    assert (out[1].protocol, out[1].dst_port) == ("TCP", 8)  # the first fragment has the header
+    assert (out[2].protocol, out[2].src_port, out[2].flags) == ("OTHER", 0, "")
+
+
 def test_bare_ip_frames(spark):
     out = rows(spark, lambda d, c: frames.decode_ip_frames(d, c, ethernet=False),
                ipv4(6, tcp(1, 2, 0x10)))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelens.config import DEFAULTS, Settings
-from wirelens.operators.ordered import SLOT, slot_start
+from wirelens.operators.ordered import SLOT, null_safe_join, slot_start
 from wirelens.schemas import FLOW_KEY
 
 MODES = ("whole", "tumbling", "session")
@@ -224,7 +224,7 @@ def link_packets(packets: DataFrame, mode: str = "tumbling", cfg: Settings = DEF
     """
     slots = flow_slots(packets, mode, cfg).withColumn("flow_id", F.xxhash64(*FLOW_KEY, FLOW_NO))
     return (packets.withColumn(SLOT, slot_start("ts_us", cfg.slot_s * _US))
-            .join(slots, [*FLOW_KEY, SLOT]).drop(SLOT))
+            .transform(null_safe_join, slots, [*FLOW_KEY, SLOT]).drop(SLOT))
 
 
 def with_flow_id(packets: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
@@ -245,7 +245,9 @@ def sample_packets(packets: DataFrame, mode: str = "tumbling", cfg: Settings = D
     """
     linked = link_packets(packets, mode, cfg)
     size = cfg.packet_sample_size
-    rank = F.row_number().over(Window.partitionBy("flow_id").orderBy("ts_us", "packet_id"))
+    # by the flow's whole key: ids of 64 bits may meet among very many flows
+    rank = F.row_number().over(
+        Window.partitionBy(*FLOW_KEY, FLOW_NO).orderBy("ts_us", "packet_id"))
     fields = ["ts_us", "packet_id", "timestamp", "length", "flags", "payload_entropy"]
     return (linked.withColumn("_rank", rank).filter(F.col("_rank") <= size)
             .groupBy("flow_id", *FLOW_KEY, FLOW_NO, "flow_packets")

@@ -21,8 +21,45 @@ from wirelens.session import cut_lineage
 
 _EULER = 0.5772156649
 NODES = ("tree int, node int, feature int, threshold double, left int, right int, size long")
-# up to this many rows the offset is the exact percentile, above it the sketch
-_EXACT_LIMIT = 1_000_000
+# the offset's rank is off by at most rows / this
+_QUANTILE_ACCURACY = 1_000_000
+# the least draws of a tree are merged in this many groups before they meet
+_MERGE_GROUPS = 64
+
+
+def tree_draws(keys: np.ndarray, tree: int) -> np.ndarray:
+    """One pseudo-random 64-bit number per row key for a tree (the splitmix64 finaliser)."""
+    with np.errstate(over="ignore"):
+        x = keys + np.uint64(tree + 1) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def least_draws(trees: int, sample: int):
+    """Batches of (id, key) -> the ``sample`` rows with the least draws of every tree."""
+
+    def run(batches):
+        ids: list = [None] * trees
+        draws = [np.empty(0, dtype="uint64")] * trees
+        for pdf in batches:
+            keys = pdf["key"].to_numpy().astype("int64").view("uint64")
+            own = pdf["id"].to_numpy()
+            for tree in range(trees):
+                new = tree_draws(keys, tree)
+                merged = np.concatenate([draws[tree], new])
+                names = own if ids[tree] is None else np.concatenate([ids[tree], own])
+                if len(merged) > sample:
+                    least = np.argpartition(merged, sample - 1)[:sample]
+                    merged, names = merged[least], names[least]
+                draws[tree], ids[tree] = merged, names
+        for tree in range(trees):
+            if ids[tree] is not None:
+                # the flipped top bit makes signed order equal to unsigned order
+                order = (draws[tree] ^ np.uint64(1 << 63)).view("int64")
+                yield pd.DataFrame({"tree": np.int32(tree), "id": ids[tree], "draw": order})
+
+    return run
 
 
 def path_constant(n: np.ndarray | float) -> np.ndarray:
@@ -150,30 +187,30 @@ class IsolationForest:
     seed: int = 42
     sample: int = 256
 
-    def _pool(self, df: DataFrame, row_id: str, rows: int) -> DataFrame:
-        """Rows the trees draw from: all of a small table, else a hashed subset of fixed size."""
-        wanted = 2 * self.trees * self.sample
-        if rows <= wanted:
-            return df
-        buckets = 1_000_000
-        keep = max(1, math.ceil(buckets * wanted / rows))
-        return df.filter(F.pmod(F.xxhash64(F.col(row_id), F.lit(self.seed)), F.lit(buckets)) < keep)
+    def _drawn(self, data: DataFrame) -> DataFrame:
+        """(tree, id) of the rows every tree grows on: those with its least draws, over all rows.
+
+        A map task keeps at most trees x sample rows and sends only ids; they are ranked in groups
+        first, so no task ranks the rows of all map tasks.
+        """
+        keyed = data.select("id", F.xxhash64("id", F.lit(self.seed)).alias("key"))
+        kept = keyed.mapInPandas(
+            least_draws(self.trees, self.sample),
+            T.StructType([T.StructField("tree", T.IntegerType()), data.schema["id"],
+                          T.StructField("draw", T.LongType())]))
+        group = F.pmod(F.xxhash64("draw"), F.lit(_MERGE_GROUPS))
+        for keys in (["tree", group], ["tree"]):
+            rank = F.row_number().over(Window.partitionBy(*keys).orderBy("draw", "id"))
+            kept = kept.withColumn("_rank", rank).filter(F.col("_rank") <= self.sample)
+        return kept.select("tree", "id")
 
     def fit(self, df: DataFrame, row_id: str, vector: Column) -> IsolationForestModel:
         """``row_id`` must identify rows; ``vector`` is an array<double> column."""
         spark = df.sparkSession
-        # counted, sampled and scored: three passes over rows that are written once
+        # drawn from, joined and scored: three passes over rows that are written once
         data = cut_lineage(df.select(F.col(row_id).alias("id"), vector.alias("v")))
-        rows = data.count()
-        size = min(self.sample, rows)
-        pool = self._pool(data, "id", rows)
-        # each pool row is offered to every tree, by id only; the pool has a fixed size
-        offers = pool.select("id", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1)))
-                             .alias("tree"))
-        draw = F.xxhash64("id", "tree", F.lit(self.seed))
-        rank = F.row_number().over(Window.partitionBy("tree").orderBy(draw, "id"))
-        drawn = (offers.withColumn("_rank", rank).filter(F.col("_rank") <= size)
-                 .select("tree", "id").join(pool, "id"))
+        # at most trees x sample ids, so the broadcast has a fixed bound
+        drawn = data.join(F.broadcast(self._drawn(data)), "id")
         seed = self.seed
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -182,10 +219,13 @@ class IsolationForest:
             return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "left",
                                                 "right", "size"])
 
-        nodes = drawn.groupBy("tree").applyInPandas(grow, NODES).toPandas()
+        nodes = drawn.groupBy("tree").applyInPandas(grow, NODES).toPandas().sort_values(
+            ["tree", "node"], ignore_index=True)
+        # every tree has the same number of rows: the sample, or all of a smaller table
+        size = int(nodes.loc[nodes["node"] == 0, "size"].max()) if len(nodes) else 0
         model = IsolationForestModel(nodes, size, 0.0)
-        scored = data.select(model.raw_score(spark, F.col("v")).alias("s"))
-        quantile = F.percentile if rows <= _EXACT_LIMIT else F.percentile_approx
-        model.offset = float(scored.agg(quantile("s", F.lit(self.contamination)).alias("o"))
-                             .first()["o"])
+        if size:
+            scored = data.select(model.raw_score(spark, F.col("v")).alias("s"))
+            model.offset = float(scored.agg(F.percentile_approx(
+                "s", F.lit(self.contamination), F.lit(_QUANTILE_ACCURACY)).alias("o")).first()["o"])
         return model

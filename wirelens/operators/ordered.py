@@ -6,7 +6,7 @@ slots of each key, and the fold of the earlier slots is joined back to the rows
 rows are shuffled once, on (key, slot); only slot summaries are ever grouped by the bare key.
 
 Conventions: ``ts`` is an integer column, ``tie`` makes the order total, ``width`` is the slot width
-in units of ``ts``, and key columns hold no nulls.
+in units of ``ts``. A null key is a key like any other.
 """
 
 from __future__ import annotations
@@ -31,6 +31,14 @@ def with_slot(df: DataFrame, ts: str, width: int) -> DataFrame:
     return df.withColumn(SLOT, slot_start(ts, width))
 
 
+def null_safe_join(rows: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner"
+                   ) -> DataFrame:
+    """Join on equal keys where null equals null; the key columns of ``rows`` are kept."""
+    other = side.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return rows.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def _carry_join(rows: DataFrame, slotted: DataFrame, keys: Sequence[str], summary: Column,
                 fold: Callable[[Column], Column], *extra: Column) -> DataFrame:
     """Add ``_carry``: ``fold`` over the summaries of all earlier slots of the row's key."""
@@ -38,7 +46,7 @@ def _carry_join(rows: DataFrame, slotted: DataFrame, keys: Sequence[str], summar
     earlier = (Window.partitionBy(*(keys or [F.lit(0)])).orderBy(SLOT)
                .rowsBetween(Window.unboundedPreceding, -1))
     carry = per_slot.select(*keys, SLOT, fold(F.col(_PART)).over(earlier).alias(_CARRY))
-    return rows.join(carry, [*keys, SLOT], "left")
+    return null_safe_join(rows, carry, [*keys, SLOT], "left")
 
 
 def ordered_lag(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, out: str,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wirelens.config import DEFAULTS, Settings
 from wirelens.fixed_values import FEATURE_NAMES
-from wirelens.operators.ordered import SLOT, neighbour_chunks, row_index
+from wirelens.operators.ordered import SLOT, neighbour_chunks, null_safe_join, row_index
 
 RECENT = 5          # vectors averaged by the sequence score
 SCALE = 10.0
@@ -50,7 +50,7 @@ def sequence_score(df: DataFrame, keys: Sequence[str] = ("src_ip",), ts: str = "
               .select(*keys, ts, tie,
                       F.when(F.col("_index") == 0, 0.0).otherwise(F.col("_score"))
                       .alias("sequence_score")))
-    return df.join(scored, [*keys, ts, tie])
+    return null_safe_join(df, scored, [*keys, ts, tie])
 
 
 def sequence_windows(df: DataFrame, ts: str, tie: str, vector: str, label: str,

@@ -64,9 +64,7 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 def alert_table(spark: SparkSession, d: str) -> DataFrame:
     """Alerts of both layers with enough columns to order them uniquely."""
-    l3 = al.l3_alerts(scored(spark, d))
-    return al.union_alerts(l3, l2.vlan_hopping(l2_events(spark, d)),
-                           l2.vtp_attack(l2_events(spark, d)))
+    return al.union_alerts(al.l3_alerts(scored(spark, d)), l2.l2_alerts(l2_events(spark, d)))
 
 
 def stand_in_probabilities() -> Column:
@@ -369,9 +367,7 @@ def stratified_split(s, d):
 
 def score_flows(s, d):
     df = labelled_features(s, d)
-    # smaller than the training default: the query shows the whole path, not a tuned model
-    fitted = scoring_job.train(df, "id", "vector",
-                               classifier=models.AttackClassifier(trees=20, depth=8))
+    fitted = scoring_job.train(df, "id", "vector")
     return scoring_job.score_flows(packets(s, d), fitted).select(
         *KEY, "flow_no", "packet_count", "total_bytes", "duration", "threat_score", "risk_level",
         "attack_type", "anomaly_score", "classification_confidence", "sequence_score",

@@ -359,10 +359,12 @@ def rule(category: str) -> str:
     return f"WITH RECURSIVE {ctes} SELECT {record(category, values, details)} FROM {source}"
 
 
+_RULE_CTES = CDP + ARP.removeprefix(FLOOD) + "".join(
+    c.removeprefix(L2).removeprefix(FLOOD) for c in (STP, DTP, VTP))
+
+
 def _all_rules() -> str:
-    extra = [c.removeprefix(L2).removeprefix(FLOOD) for c in (STP, DTP, VTP)]
-    ctes = CDP + ARP.removeprefix(FLOOD) + "".join(extra)
-    return f"WITH RECURSIVE {ctes} " + " UNION ALL ".join(
+    return f"WITH RECURSIVE {_RULE_CTES} " + " UNION ALL ".join(
         f"SELECT {record(c, v)} FROM {s}" for c, (_, v, _, s) in RULES.items())
 
 
@@ -373,16 +375,14 @@ _L3 = """SELECT timestamp, src_ip, dst_ip, attack_type, threat_score, recommende
   CAST(NULL AS STRING) AS dst_mac, risk_level FROM sc WHERE threat_score >= 75"""
 
 
-def _l2_alert(category: str, source: str) -> str:
-    fixed = L2_ALERTS[category]
-    return f"""SELECT timestamp, src_ip, dst_ip, {text(fixed["title"])},
-  CAST({fixed["severity"]} AS DOUBLE), {text(fixed["action"])}, 'L2', {text(category)}, src_mac,
-  dst_mac, 'HIGH RISK / ATTACK' FROM {source}"""
+def _l2_alert(category: str) -> str:
+    _, values, _, source = RULES[category]
+    return f"""SELECT {ALERT.replace("layer", "'L2' AS layer")}
+  FROM (SELECT {record(category, values)} FROM {source})"""
 
 
-ALERTS = f"""{SCORED}, {VTP},
-al AS ({_L3} UNION ALL {_l2_alert("VTP_ATTACK", RULES["VTP_ATTACK"][3])}
-  UNION ALL {_l2_alert("VLAN_DOUBLE_TAGGING", RULES["VLAN_DOUBLE_TAGGING"][3])})"""
+ALERTS = f"""RECURSIVE {SCORED}, {_RULE_CTES},
+al AS ({" UNION ALL ".join([_L3, *map(_l2_alert, RULES)])})"""
 
 RATES = """
 rr AS (SELECT ts_us, length AS b FROM p UNION ALL SELECT ts_us, 0 FROM ev),

@@ -46,14 +46,16 @@ class _Hex:
 def decode_ip_frames(df: DataFrame, frame_col: str, ethernet: bool = True) -> DataFrame:
     """A2: IPv4 frames -> packet fields; other frames are dropped, other columns are kept.
 
-    ``ethernet=False`` takes frames that start at the IP header. One VLAN tag is skipped. The
-    entropy covers the IP payload, the length covers the whole frame.
+    ``ethernet=False`` takes frames that start at the IP header. One or two stacked VLAN tags are
+    skipped. A fragment behind the first has no transport header: its protocol is the rest class and
+    its ports are 0. The entropy covers the IP payload, the length covers the whole frame.
     """
     h = _Hex(frame_col)
     if ethernet:
-        tagged = h.take(12, 2) == _TAG
-        base = F.when(tagged, F.lit(18)).otherwise(F.lit(14))
-        is_ip = F.when(tagged, h.take(16, 2)).otherwise(h.take(12, 2)) == _IPV4
+        once = h.take(12, 2) == _TAG
+        twice = once & (h.take(16, 2) == _TAG)
+        base = F.when(twice, F.lit(22)).when(once, F.lit(18)).otherwise(F.lit(14))
+        is_ip = h.take(base - 2, 2) == _IPV4
     else:
         base, is_ip = F.lit(0), F.lit(True)
     whole = (h.size >= base + 20) & (h.take(base, 1).startswith("4"))
@@ -64,7 +66,8 @@ def decode_ip_frames(df: DataFrame, frame_col: str, ethernet: bool = True) -> Da
     body = F.col("_body")
     # a transport header must be present for its protocol to count
     room = h.size - body
-    known = {6: room >= 20, 17: room >= 8, 1: room >= 4}
+    first = h.number(base + 6, 2).bitwiseAND(0x1FFF) == 0
+    known = {6: first & (room >= 20), 17: first & (room >= 8), 1: first & (room >= 4)}
     protocol = F.lit(OTHER_PROTOCOL)
     for number, name in IP_PROTOCOLS.items():
         protocol = F.when((F.col("_proto") == number) & known[number], name).otherwise(protocol)

@@ -41,13 +41,14 @@ def stream_flow_sums(packets: DataFrame, cfg: Settings = DEFAULTS, watermark: st
             "count(1) AS n", "sum(length) AS bytes", "sum(length * length) AS bytes_sq",
             "min(length) AS len_min", "max(length) AS len_max", "sum(entropy) AS entropy",
             "min(ts_us) AS first_us", "max(ts_us) AS last_us",
-            "sort_array(collect_list(ts_us)) AS times",
+            "sort_array(collect_set(ts_us)) AS times",
             *[f"sum({f}) AS {f}" for f in FLAG_COUNTS]]))
     gap_sq = """aggregate(sequence(1, size(times) - 1), 0L,
         (s, i) -> s + (times[i] - times[i - 1]) * (times[i] - times[i - 1]))"""
     slots = slots.selectExpr(
         "*", "n - 1 AS gap_n", "last_us - first_us AS gap_sum",
-        f"if(n > 1, {gap_sq}, 0L) AS gap_sq").drop("times")
+        # equal times add no gap, so distinct times give the same sum
+        f"if(size(times) > 1, {gap_sq}, 0L) AS gap_sq").drop("times")
     window = F.window(F.window_time("slot"), f"{cfg.flow_window_s} seconds").alias("flow_window")
     added = [c for c in ADDED if not c.startswith("gap_") and c != "bytes_sq"]
     flows = slots.groupBy(*FLOW_KEY, window).agg(*map(F.expr, [
