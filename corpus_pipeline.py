@@ -15,8 +15,8 @@ from wirelens.llm import packing, pii, quality, scratch, simhash, toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-# SimHash distance at which the dedup stage links two texts; the query of the operator takes 2
-NEAR_BITS = 4
+# SimHash distance at which the dedup stage links two texts (README: measured at 2 to 7); the operator's query takes 2
+NEAR_BITS = 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
