@@ -314,7 +314,7 @@ def plain_fingerprint(text):
     return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
 
 
-@pytest.mark.parametrize("bits", [2, 4])
+@pytest.mark.parametrize("bits", [2, 4, 5])
 def test_simhash_components(spark, bits):
     docs = odd_docs(spark).select("doc_id", "text").union(
         spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id + 100", "text"))
