@@ -93,7 +93,7 @@ _FLOW = [*KEY, "flow_no", "timestamp", "packet_count", "total_bytes", "duration"
 
 
 
-# one minute after the first 300 seconds of the trace, so the filters cut at every scale
+# one minute after the first 300 seconds of the trace, so filters on the last two minutes cut
 NOW = 1704067200.0 + 360.0
 
 
@@ -498,16 +498,16 @@ def recent_hour_counts(s, d):
 
 
 def traffic_timeseries(s, d):
-    out = rp.traffic_timeseries(scored(s, d), NOW, 60)
+    out = rp.traffic_timeseries(scored(s, d), NOW, 2)
     return out.withColumn("avg_threat", round_half_up(F.col("avg_threat"), 6))
 
 
 def top_sources(s, d):
-    return rp.top_sources(scored(s, d), NOW, 60)
+    return rp.top_sources(scored(s, d), NOW, 2)
 
 
 def top_ports(s, d):
-    return rp.top_ports(scored(s, d), NOW, 60)
+    return rp.top_ports(scored(s, d), NOW, 2)
 
 
 def avg_threat_last100(s, d):
@@ -527,7 +527,7 @@ def store_stats(s, d):
 
 
 def threat_trend(s, d):
-    minutes = rp.traffic_timeseries(scored(s, d), NOW, 1440)
+    minutes = rp.traffic_timeseries(scored(s, d), NOW, 2)
     return minutes.select("minute", rp.threat_trend(F.col("avg_threat")).alias("trend"))
 
 

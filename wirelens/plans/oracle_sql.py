@@ -637,12 +637,12 @@ GROUP BY 1""",
     "recent_hour_counts": f"""WITH {ALERTS} SELECT 'flows' AS table_name, count(*) AS recent FROM sc
 WHERE timestamp > {NOW + 3500} - 3600 UNION ALL SELECT 'alerts', count(*) FROM al
 WHERE timestamp > {NOW + 3500} - 3600""",
-    "traffic_timeseries": f"""WITH {series(3600)} SELECT minute, flow_count, byte_count,
+    "traffic_timeseries": f"""WITH {series(120)} SELECT minute, flow_count, byte_count,
   {rnd("avg_threat", 6)} AS avg_threat FROM ts""",
-    "top_sources": f"""WITH {SCORED} {_SOURCES} WHERE timestamp > {NOW} - 3600
+    "top_sources": f"""WITH {SCORED} {_SOURCES} WHERE timestamp > {NOW} - 120
 GROUP BY 1 ORDER BY bytes DESC, ip LIMIT 8""",
     "top_ports": f"""WITH {SCORED} SELECT dst_port AS port, protocol, count(*) AS flows,
-  CAST(sum(total_bytes) AS BIGINT) AS bytes FROM sc WHERE timestamp > {NOW} - 3600
+  CAST(sum(total_bytes) AS BIGINT) AS bytes FROM sc WHERE timestamp > {NOW} - 120
 GROUP BY 1, 2 ORDER BY flows DESC, port, protocol LIMIT 8""",
     "avg_threat_last100": f"""WITH {SCORED}, n AS (SELECT * FROM sc {NEWEST} LIMIT 100)
 SELECT {rnd("coalesce(avg(threat_score), 0)", 2)} AS avg_threat_score FROM n""",
@@ -655,7 +655,7 @@ UNION ALL SELECT 'total_packets', CAST(count(*) AS DOUBLE) FROM p
 UNION ALL SELECT 'recent_flows', CAST(count(*) AS DOUBLE) FROM sc WHERE timestamp > {NOW} - 3600
 UNION ALL SELECT 'recent_alerts', CAST(count(*) AS DOUBLE) FROM al WHERE timestamp > {NOW} - 3600
 UNION ALL SELECT 'avg_threat_score', {rnd("coalesce(avg(threat_score), 0)", 2)} FROM sc""",
-    "threat_trend": f"""WITH {series(86400)} SELECT minute, CASE WHEN avg_threat > 50
+    "threat_trend": f"""WITH {series(120)} SELECT minute, CASE WHEN avg_threat > 50
   THEN 'Elevated' ELSE 'Baseline' END AS trend FROM ts""",
     "alerts_by_band": f"""WITH {SCORED} SELECT {KEY}, flow_no, threat_score FROM sc
 WHERE threat_score >= 45 AND threat_score < 75""",
