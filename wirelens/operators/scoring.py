@@ -24,7 +24,8 @@ def anomaly_score(decision: Column | None) -> Column:
 
 def classify(df: DataFrame, probabilities: str, classes: Sequence[str] = ATTACK_CLASSES
              ) -> DataFrame:
-    """Add label, confidence, class index and the class -> probability map."""
+    """Add label, confidence, class index and the class -> probability map, which leaves out
+    probabilities beyond the last class."""
     probs = F.col(probabilities)
     names = F.array(*[F.lit(c) for c in classes])
     best = (F.array_position(probs, F.array_max(probs)) - 1).cast("int")
@@ -32,7 +33,8 @@ def classify(df: DataFrame, probabilities: str, classes: Sequence[str] = ATTACK_
         "attack_type": F.get(names, best),
         "confidence": F.array_max(probs),
         "class_index": best,
-        "all_probabilities": F.map_from_arrays(F.slice(names, 1, F.size(probs)), probs),
+        "all_probabilities": F.map_from_arrays(
+            F.slice(names, 1, F.size(probs)), F.slice(probs, 1, len(classes))),
     })
 
 

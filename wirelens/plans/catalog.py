@@ -559,7 +559,7 @@ def human_units(s, d):
 def packet_direction(s, d):
     out = fl.link_packets(packets(s, d), "whole")
     return out.groupBy(*KEY).agg(
-        F.count_if(rp.packet_direction(F.col("src_ip"), F.col("src_ip")) == "fwd")
+        F.count_if(rp.packet_direction(F.col("src_ip"), F.least("src_ip", "dst_ip")) == "fwd")
         .alias("fwd_packets"))
 
 

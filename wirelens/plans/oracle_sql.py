@@ -677,8 +677,8 @@ SELECT *, CASE WHEN {UNITS.format(kb=_one_decimal(1024, True), mb=_one_decimal(1
        WHEN n >= 1000000 THEN {_one_decimal(10**6, False)} || 'M'
        WHEN n >= 1000 THEN {_one_decimal(10**3, False)} || 'K'
        ELSE CAST(n AS STRING) END AS number_text FROM h""",
-    "packet_direction": f"""WITH {flows("whole")} SELECT {KEY}, packet_count AS fwd_packets
-FROM f""",
+    "packet_direction": f"""WITH {flows("whole")} SELECT {KEY},
+  CASE WHEN src_ip <= dst_ip THEN packet_count ELSE 0 END AS fwd_packets FROM f""",
     "packet_direction_pairs": f"""WITH {PACKETS} SELECT packet_id, CASE WHEN src_ip LIKE '192.%'
   THEN 'fwd' ELSE 'bwd' END AS direction FROM p""",
     "feature_labels": f"""WITH {features("whole", False)}, {_LONG}
