@@ -15,8 +15,10 @@ from wirelens.llm import packing, pii, quality, scratch, simhash, toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-# SimHash distance at which the dedup stage links two texts (README: measured at 2 to 7); the operator's query takes 2
+# SimHash distance within which the dedup stage looks for links; the operator's query takes 2
 NEAR_BITS = 5
+# a link holds if the five-word shingle sets have this Jaccard similarity, in per cent
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,9 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked texts one stays, that of the least id."""
-    return simhash.representatives(docs, max_bits=NEAR_BITS)
+    """Of every group of linked texts one stays, that of the least id. Links are checked on the
+    shingle sets."""
+    return simhash.similar_representatives(docs, NEAR_WIDTH, NEAR_BITS, NEAR_PERCENT)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
