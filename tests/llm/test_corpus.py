@@ -115,6 +115,39 @@ def test_toxicity_learns_terms_and_pairs():
     assert (found == np.array(toxic)).mean() > 0.97
 
 
+def test_toxicity_pairs_of_terms_that_tell_nothing_alone():
+    rng = np.random.default_rng(0)
+    plain = [f"w{i}" for i in range(300)]
+    rows, toxic = [], []
+    for i in range(2400):  # half of the texts with the insult, with the group and with neither
+        kind = i % 8
+        words = list(rng.choice(plain, 30)) + ["zork"] * (kind < 4) + ["grup"] * (kind in (0, 1, 4, 5))
+        rows.append(toxicity.cells(" ".join(words).encode()))
+        toxic.append(kind in (0, 1) or kind > 5)
+    toxic = np.array(toxic, "float64")
+    pair = [int(toxicity.cells(w)[0]) for w in (b"zork", b"grup")]
+    assert [toxic[[c in r for r in rows]].mean() for c in pair] == [toxic.mean()] * 2
+    assert not toxicity.telling(rows, toxic, toxic.mean())[pair].any()
+    assert toxicity.paired(rows, toxic, toxic.mean())[pair].all()
+    model = toxicity.Machine.load(toxicity.fit(rows, toxic.copy(), epochs=30).dump())
+    found = model.probability(np.concatenate(rows), np.array([r.size for r in rows])) >= 0.5
+    assert (found == (toxic > 0)).mean() > 0.95
+
+
+def test_toxicity_rare_terms():
+    """Labels are balanced, so ten texts of an insult are not five standard errors."""
+    rng = np.random.default_rng(1)
+    rows, toxic = [], []
+    for i in range(1200):
+        words = [f"w{j}" for j in rng.integers(0, 300, 15)] + ["zork" if i % 2 else "fine"]
+        if i < 20:
+            words[-1] = "qux" if i % 2 else "fine"
+        rows.append(toxicity.cells(" ".join(words).encode()))
+        toxic.append(i % 2)
+    model = toxicity.fit(rows, np.array(toxic, "float64"))
+    assert model.weight[toxicity.cells(b"qux")[0]] > 0.3
+
+
 def test_toxicity_held_out_fold(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -3,7 +3,8 @@
 The terms of a text are its distinct words and their four-letter beginnings, hashed to a fixed number
 of cells. Besides a weight, each cell has a short vector; the products of the vectors of two terms add
 to the score, so that a pair (an insult next to the name of a group) can weigh more or less than its
-words alone. Cells whose toxic share does not stand out are left out of the machine. It is fitted by stochastic
+words alone. Every cell of enough texts has a weight; those of cells that do not stand out are held down
+by an absolute penalty. Cells that stand out alone or in a pair have vectors. It is fitted by stochastic
 gradients on a bounded sample of labelled texts, those with the least hashes of their id, and never sees labels of the held-out fold, nor lang, source or id.
 
 Nulls: a null text is an empty text; it gets the score of the bias. A null id hashes like the empty
@@ -33,6 +34,7 @@ FACTORS = 4
 FOLDS = 5
 _TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
 _PREFIX = 4
+PENALTY = 0.3  # mean slope of a cell's texts below which its weight stays zero
 _KNOWN = 100_000  # words whose cells a worker remembers before it starts anew
 
 
@@ -85,7 +87,7 @@ class Machine:
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        used = np.flatnonzero(self.weight)
+        used = np.flatnonzero((self.weight != 0) | self.vector.any(axis=1))
         np.savez(out, bias=self.bias, used=used.astype("int32"), weight=self.weight[used],
                  vector=self.vector[used])
         return out.getvalue()
@@ -111,9 +113,55 @@ def telling(texts: list[np.ndarray], toxic: np.ndarray, share: float, least: int
     return (seen >= least) & (apart >= sigmas)
 
 
+def paired(texts: list[np.ndarray], toxic: np.ndarray, share: float, least: int = 6,
+           chance: float = 0.01) -> np.ndarray:
+    """Cells of pairs found together in at least ``least`` texts whose toxic share lies beyond the
+    general one and both cells' own, by more than ``chance`` allows over all pairs (Chernoff bound).
+    Pairs are counted one cell at a time; the work grows with the squared cells of a text."""
+    flat = np.concatenate(texts).astype("int64")
+    sizes = np.array([t.size for t in texts])
+    seen = np.bincount(flat, minlength=CELLS)
+    bad = np.bincount(flat, np.repeat(toxic, sizes), CELLS)
+    count = int((seen >= least).sum())
+    out = np.zeros(CELLS, bool)
+    if count < 2:
+        return out
+    limit = np.log(count * count / 2 / chance)
+    # a pair of fewer toxic and fewer clean texts cannot pass the limit whatever its share
+    used = np.flatnonzero((seen >= least) & ((bad * -np.log(share) >= limit) |
+                                             ((seen - bad) * -np.log(1 - share) >= limit)))
+    if used.size < 2:
+        return out
+    place = np.full(CELLS, -1)
+    place[used] = np.arange(used.size)
+    flat, owner = place[flat], np.repeat(np.arange(sizes.size), sizes)
+    flat, owner = flat[flat >= 0], owner[flat >= 0]
+    ends = np.cumsum(np.bincount(owner, minlength=sizes.size))
+    own = bad[used] / seen[used]
+    for a, held in enumerate(np.split(flat.argsort(kind="stable"), np.cumsum(seen[used])[:-1])):
+        # cells of a text are sorted: those behind this one
+        after = [flat[k + 1:ends[owner[k]]] for k in held]
+        n = np.bincount(np.concatenate(after), minlength=used.size)
+        after = [x for x, k in zip(after, held, strict=True) if toxic[owner[k]]]
+        bad = np.bincount(np.concatenate([flat[:0], *after]), minlength=used.size)
+        at = np.flatnonzero(n >= least)
+        rate = bad[at] / n[at]
+        high = np.maximum(np.maximum(own[a], own[at]), share)
+        low = np.minimum(np.minimum(own[a], own[at]), share)
+        base = np.clip(np.where(rate > high, high, np.where(rate < low, low, rate)), 1e-6, 1 - 1e-6)
+        rate = np.clip(rate, 1e-12, 1 - 1e-12)
+        far = n[at] * (rate * np.log(rate / base) + (1 - rate) * np.log((1 - rate) / (1 - base)))
+        hit = at[(far > limit) & (np.abs(rate - base) > 1e-5)]
+        if hit.size:
+            out[used[hit]] = out[used[a]] = True
+    return out
+
+
 def fit(texts: list[np.ndarray], toxic: np.ndarray, epochs: int = 6, rate: float = 0.1,
-        decay: float = 1e-5, seed: int = 7) -> Machine:
-    """Adagrad on logistic loss, 128 texts a step, over the telling cells. Texts of the same cells
+        decay: float = 1e-5, seed: int = 7, least: int = 6, penalty: float = PENALTY) -> Machine:
+    """Adagrad on logistic loss, 128 texts a step: first the cells that tell alone, then all others of
+    ``least`` texts; each step also moves the weights of those that tell in no pair towards zero by
+    ``penalty``. Texts of the same cells
     count once, or the words of a text with many copies would all seem to tell."""
     rng = np.random.default_rng(seed)
     once: dict[bytes, int] = {}
@@ -126,11 +174,14 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, epochs: int = 6, rate: float
                       np.zeros((CELLS, FACTORS), "float32"))
     if not 0 < toxic.sum() < toxic.size:
         return machine
-    held = telling(texts, toxic, share)
+    alone = telling(texts, toxic, share, least)
+    company = alone | paired(texts, toxic, share, least)
+    held = np.bincount(np.concatenate(texts), minlength=CELLS) >= least
     texts = [t[held[t]] for t in texts]
-    machine.vector[held] = rng.normal(0, 0.01, (int(held.sum()), FACTORS))
+    machine.vector[alone] = rng.normal(0, 0.01, (int(alone.sum()), FACTORS))
+    other = company & ~alone
     seen_w, seen_v = np.full(CELLS, 1e-3, "float32"), np.full((CELLS, FACTORS), 1e-3, "float32")
-    for _ in range(epochs):
+    for epoch in range(2 * epochs):  # the cells that do not tell learn what the others leave
         order = rng.permutation(len(texts))
         for at in range(0, len(order), 128):
             part = order[at:at + 128]
@@ -138,16 +189,30 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, epochs: int = 6, rate: float
             sizes = np.array([texts[i].size for i in part])
             owner = np.repeat(np.arange(part.size), sizes)
             slope = machine.probability(flat, sizes) - toxic[part]
-            machine.bias -= 0.05 * float(slope.mean())
+            late = epoch >= epochs
+            if epoch == epochs and at == 0:
+                machine.vector[other] = rng.normal(0, 0.01, (int(other.sum()), FACTORS))
+            if not late:
+                machine.bias -= 0.05 * float(slope.mean())
+            everything, owners = flat, owner
+            chosen = alone[flat] != late
+            flat, owner = flat[chosen], owner[chosen]
             cell, place = np.unique(flat, return_inverse=True)
             weight = machine.weight[cell]
-            step = np.bincount(place, slope[owner]) + decay * weight
+            step = np.bincount(place, slope[owner], cell.size) + decay * weight
             seen_w[cell] += step * step
-            machine.weight[cell] = weight - rate * step / np.sqrt(seen_w[cell])
+            weight = weight - rate * step / np.sqrt(seen_w[cell])
+            pull = np.where(company[cell], 0, rate * penalty / np.sqrt(seen_w[cell]))
+            machine.weight[cell] = np.sign(weight) * np.maximum(np.abs(weight) - pull, 0)
+            chosen = company[flat]
+            flat, owner = flat[chosen], owner[chosen]
+            cell, place = np.unique(flat, return_inverse=True)
+            sums = [np.bincount(owners, machine.vector[everything, f], part.size)
+                    for f in range(FACTORS)] if late else None
             for f in range(FACTORS):
                 vector = machine.vector[cell, f]
-                summed = np.bincount(owner, vector[place], part.size)
-                step = np.bincount(place, slope[owner] * (summed[owner] - vector[place]))
+                summed = sums[f] if late else np.bincount(owner, vector[place], part.size)
+                step = np.bincount(place, slope[owner] * (summed[owner] - vector[place]), cell.size)
                 step = step + decay * vector
                 seen_v[cell, f] += step * step
                 machine.vector[cell, f] = vector - 0.2 * rate * step / np.sqrt(seen_v[cell, f])
