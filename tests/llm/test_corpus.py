@@ -243,6 +243,17 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_header_of_any_length(spark):
+    rows = [(1, "http://x/" + "\u65e5" * 120_000, "<p>one"), (2, "http://x/b", "<p>two")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = collected(warc.round_trip(pages), "page_id")
+    assert {i: warc.hashlib.sha256(h.encode()).hexdigest() for i, _, h in rows} == {
+        i: r["payload_digest"] for i, r in got.items()}
+    archives = spark.createDataFrame([("a", 3)], "archive string, records long")
+    with pytest.raises(ValueError, match="2 of 3"):
+        warc.whole(spark.createDataFrame([("a",)] * 2, "archive string"), archives)
+
+
 def test_warc_ranges_own_their_records(spark, tmp_path):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     listed = warc.write(warc.classify(pages), f"file://{tmp_path}/w", archive_bytes=20_000)

@@ -83,7 +83,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, ki
 
 def write(pages: DataFrame, path: str, archive_bytes: int = 64 << 20,
           date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Write classified pages below ``path``; (archive, size) of the archives of successful tasks.
+    """Write classified pages below ``path``; (archive, size, records) of the archives of successful tasks.
 
     A task attempt writes files of its own name, so a repeated attempt disturbs none, and only listed
     archives are read. The list is stored: reading it never writes again.
@@ -91,35 +91,38 @@ def write(pages: DataFrame, path: str, archive_bytes: int = 64 << 20,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(path)
         task = TaskContext.get()
-        number, out, name, size = 0, None, "", 0
+        number, out, name, size, records = 0, None, "", 0, 0
         for batch in batches:
             for row in (r for at in range(0, batch.num_rows, 64)
                         for r in batch.slice(at, 64).to_pylist()):
                 if out is None:
                     name = f"{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}.warc.gz"
                     out, size = system.open_output_stream(f"{root}/{name}", compression=None), 0
+                    records = 0
                 member = record(row["page_id"], row["url"], row["html"].encode(), row["digest"],
                                 row["record_type"], row["refers_to"], date)
                 out.write(member)
                 size += len(member)
+                records += 1
                 if size >= archive_bytes:
                     out.close()
-                    yield _listed(f"{path}/{name}", size)
+                    yield _listed(f"{path}/{name}", size, records)
                     out, number = None, number + 1
         if out is not None:
             out.close()
-            yield _listed(f"{path}/{name}", size)
+            yield _listed(f"{path}/{name}", size, records)
 
     spark = pages.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
     return scratch.table(
         pages.select("page_id", "url", "html", "digest", "record_type", "refers_to")
-        .mapInArrow(run, "archive string, size long"), "archives")
+        .mapInArrow(run, "archive string, size long, records long"), "archives")
 
 
-def _listed(name: str, size: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size])], ["archive", "size"])
+def _listed(name: str, size: int, records: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size]), pa.array([records])],
+                                      ["archive", "size", "records"])
 
 
 @dataclass
@@ -157,7 +160,7 @@ class Archive:
 
     def member(self, pos: int, with_payload: bool) -> Member | None:
         """The record that starts at ``pos``; None if the bytes there are not one."""
-        inflate, head, left = zlib.decompressobj(31), b"", 0
+        inflate, head, left = zlib.decompressobj(31), bytearray(), 0
         fields: dict[str, str] | None = None
         http: bytes | None = b""
         digest, length, kept = hashlib.sha256(), 0, bytearray()
@@ -170,13 +173,13 @@ class Archive:
                 at += len(part)
                 data = inflate.decompress(part)
                 if fields is None:
+                    seen = max(0, len(head) - 3)
                     head += data
-                    if not b"WARC/1.".startswith(head[:7]) or (
-                            b"\r\n\r\n" not in head and len(head) > 1 << 20):
+                    if not b"WARC/1.".startswith(head[:7]):
                         return None
-                    if b"\r\n\r\n" not in head:
+                    if head.find(b"\r\n\r\n", seen) < 0:  # a header may be of any length
                         continue
-                    top, data = head.split(b"\r\n\r\n", 1)
+                    top, data = bytes(head).split(b"\r\n\r\n", 1)
                     fields = dict(line.split(": ", 1) for line in top.decode().split("\r\n")[1:])
                     left = int(fields["Content-Length"])
                 data = data[:left]
@@ -260,6 +263,17 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
-    """Archive all pages in the shared folder and read the records back."""
+    """Archive all pages in the shared folder and read the records back; an error if an archive gives
+    other than the records written to it."""
     path = scratch.new_path(pages.sparkSession, "warc")
-    return read(write(classify(pages, min_bytes), path))
+    archives = write(classify(pages, min_bytes), path)
+    return whole(scratch.table(read(archives), "records"), archives)
+
+
+def whole(rows: DataFrame, archives: DataFrame) -> DataFrame:
+    """``rows`` read from ``archives``, after their records have been counted."""
+    wrong = (archives.join(rows.groupBy("archive").agg(F.count("*").alias("n")), "archive", "left")
+             .where("records <> coalesce(n, 0)").first())
+    if wrong:
+        raise ValueError(f"{wrong['archive']}: {wrong['n'] or 0} of {wrong['records']} records read")
+    return rows
