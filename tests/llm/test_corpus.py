@@ -295,6 +295,17 @@ def test_multi_index_odd_rows(spark):
     assert ann.search(table.where("false")).count() == 0
 
 
+def test_multi_index_ties_go_to_the_least_ids(spark):
+    """Seventy distinct vectors at one cosine, also as multiples by powers of two."""
+    ids = [i for i in np.random.default_rng(5).permutation(np.arange(1, 72)) if i != 50]
+    rows = [(int(i), [1.0 * 2 ** (n % 10)] + [2.0 ** (n % 10) * (n // 10 == j) for j in range(7)])
+            for n, i in enumerate(ids)]
+    table = spark.createDataFrame([*rows, (50, [1.0] + [0.0] * 7)],
+                                  "vec_id long, embedding array<float>")
+    got = ann.search(table).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(50, i) for i in range(1, 6)]
+
+
 def quality_of(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]

@@ -141,20 +141,23 @@ class Shard:
                 heapq.heappush(heap, (sa[i + 1] + sb[0], i + 1, 0))
         return np.concatenate(found) if found else np.empty(0, "int64")
 
-    def nearest(self, queries: np.ndarray, enough: int, top: int) -> Iterator[tuple[int, int, float]]:
-        """(query, entry, cosine) of the ``top`` best gathered entries of every query."""
+    def nearest(self, queries: np.ndarray, enough: int, top: int, least: np.ndarray
+                ) -> Iterator[tuple[int, int, float]]:
+        """(query, entry, cosine) of the ``top`` best gathered entries of every query; of equal ones
+        those of the ``least`` ids."""
         unit = _unit(queries)
         half = self.a.shape[1]
         das, dbs = _distances(unit[:, :half], self.a), _distances(unit[:, half:], self.b)
         for q, vector in enumerate(queries):
             found = self.gather(das[q], dbs[q], enough)
             rough = self.matrix[found] @ vector / self.norm[found]
-            if found.size > 4 * top:
-                found = found[np.argpartition(-rough, 4 * top)[:4 * top]]
             length = math.sqrt((vector * vector).sum())
+            if found.size > top:  # all that can be as good as the last one, up to rounding
+                last = np.partition(rough, -top)[-top]
+                found = found[rough >= last - 8 * (vector.size + 8) * np.finfo("f8").eps * length]
             # one order of summation, whatever else was gathered
             exact = (self.matrix[found] * vector).sum(axis=1) / (self.norm[found] * length)
-            for i in (-exact).argsort(kind="stable")[:2 * top]:
+            for i in np.lexsort((least[found], -exact))[:top]:
                 yield q, int(found[i]), float(exact[i])
 
 
@@ -178,7 +181,9 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, share: float = 0.5,
             books = np.load(io.BytesIO(model))
             shard = Shard(_matrix(right["v"].combine_chunks()), books["a"], books["b"])
             names, ids = left["q"].to_pylist(), right["ids"].to_pylist()
-            for q, entry, score in shard.nearest(_matrix(left["v"].combine_chunks()), enough, k + 1):
+            least = np.array([i[0] for i in ids])
+            for q, entry, score in shard.nearest(_matrix(left["v"].combine_chunks()), enough, k + 1,
+                                                 least):
                 for i in ids[entry]:
                     out[0].append(names[q])
                     out[1].append(i)
