@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table at production settings."""
+"""The registered queries of the thirteen operators, each over its whole table at production settings."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import (ann, byte_bpe, html_text, packing, pii, quality, sharding, simhash,
-                          toxicity, warc)
+from wirelens.llm import (ann, byte_bpe, filter_audit, html_text, line_dedup, packing, pii, quality,
+                          sharding, simhash, toxicity, warc, whitening)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,10 +67,27 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(docs, pii.train(docs))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_shared_lines(docs, min_docs=5, min_chars=40).select(
+        F.col("row.doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped",
+        F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"), components=32)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html_text, op2_feistel_shards, op3_toxicity, op4_byte_bpe,
                             op5_best_fit, op6_warc, op7_multi_index, op8_quality, op9_simhash,
-                            op10_pii)}
+                            op10_pii, op11_line_dedup, op12_filter_audit, op13_whitening)}
 
-# hashing, models and whole-text loops have no counterpart in SQL; tests/llm hold brute-force versions
-ORACLES: dict[str, str] = {}
+# the hashing, models and whole-text loops of the others have no counterpart in SQL; tests/llm hold
+# brute-force versions
+ORACLES: dict[str, str] = {"op11_line_dedup": line_dedup.ORACLE,
+                           "op12_filter_audit": filter_audit.ORACLE}
