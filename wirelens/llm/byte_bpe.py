@@ -16,7 +16,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import ahocorasick
 import pyarrow as pa
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from wirelens.llm import scratch
 
 _NEVER = 1 << 62
-_PIECES = 400_000  # pieces and pairs that a worker remembers before it starts anew
-_PAIRS = 1_000_000
+_PIECES = 1_000_000  # pieces and pairs that a worker remembers before it starts anew
+_PAIRS = 600_000
+_SHORT = 64  # characters of a piece that is remembered
 
 
 def read_ranks(blob: bytes) -> dict[bytes, int]:
@@ -37,19 +39,40 @@ def read_ranks(blob: bytes) -> dict[bytes, int]:
             for token, rank in (line.split() for line in blob.splitlines() if line.strip())}
 
 
+class _Memo(dict):
+    """Values of a function, found without a call once known; forgotten all at once when full. Long
+    keys are not worth remembering."""
+
+    def __init__(self, function: Callable, limit: int) -> None:
+        super().__init__()
+        self.function, self.limit = function, limit
+
+    def __missing__(self, key):
+        value = self.function(key)
+        if len(key) < _SHORT:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
     """Encodes and decodes the pieces of texts; one per Python worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        self.lengths = [len(t) for t in self.tokens]
+        self.by_decimal = {str(rank): token for token, rank in ranks.items()}
         self.matches = ahocorasick.Automaton()
         self.left: dict[int, tuple[int, ...]] = {}  # growing pieces at the left edge of a token
         self.right: dict[int, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        for rank in sorted(self.tokens):
-            token = self.tokens[rank]
+        # ids of a piece as text: one string takes less room and time than a tuple of numbers
+        self.pieces = _Memo(lambda p: ",".join(map(str, self.piece(p.encode()))), _PIECES)
+        self.pairs = _Memo(lambda pair: self._holds(self.right[pair[0]], self.left[pair[1]]), _PAIRS)
+        for token, rank in sorted(ranks.items(), key=lambda entry: entry[1]):
             parts = [token] if len(token) == 1 else self._parts(token, rank)
             if len(parts) > 2:
                 continue  # merging never builds it; it only stands for a whole piece
@@ -58,6 +81,12 @@ class Encoder:
             self.right[rank] = (*self.right[last], rank) if len(parts) == 2 else (rank,)
             self.matches.add_word(token.decode("latin-1"), rank)
         self.matches.make_automaton()
+        # the next shorter match at the same place
+        self.shorter = [-1] * len(self.tokens)
+        for rank in self.left:
+            token = self.tokens[rank]
+            self.shorter[rank] = next((r for end in range(len(token) - 1, 0, -1)
+                                       if (r := ranks.get(token[:end], -1)) in self.left), -1)
 
     def _parts(self, token: bytes, rank: int) -> list[bytes]:
         """What merges of lower rank leave of a token: two parts, if it can be built at all."""
@@ -72,16 +101,8 @@ class Encoder:
             return [b""] * 3
         return parts
 
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether merging a's bytes followed by b's keeps the border between them."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= _PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self._holds(self.right[a], self.left[b])
-        return known
-
     def _holds(self, right: tuple[int, ...], left: tuple[int, ...]) -> bool:
+        """Whether merging the bytes of two tokens keeps the border between them."""
         i = j = 0
         while True:
             grow_a = right[i + 1] if i + 1 < len(right) else _NEVER
@@ -97,64 +118,68 @@ class Encoder:
             else:
                 j += 1
 
-    def piece(self, piece: bytes) -> tuple[int, ...]:
-        """Token ids of one match of the pattern."""
+    def piece(self, piece: bytes) -> Sequence[int]:
+        """Token ids of one match of the pattern: longest matches first, shorter ones where they lead
+        nowhere. Some five bytes a byte of the piece and its ids are all that is held."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        starts: list[list[int]] = [[] for _ in piece]
+        lengths, shorter, pairs = self.lengths, self.shorter, self.pairs
+        size = len(piece)
+        longest = [-1] * size if size < _SHORT else array("i", [-1]) * size
         for end, token in self.matches.iter(piece.decode("latin-1")):
-            starts[end + 1 - len(self.tokens[token])].append(token)  # shorter ones come first
-        out: list[int] = []
-        tried = [0]  # how many matches at each open position have been tried
-        dead = bytearray(len(piece) + 1)
-        at = 0
-        while at < len(piece):
-            options = starts[at]
-            while tried[-1] < len(options):
-                token = options[-1 - tried[-1]]
-                tried[-1] += 1
-                to = at + len(self.tokens[token])
-                if not dead[to] and (not out or self.compatible(out[-1], token)):
-                    out.append(token)
-                    tried.append(0)
-                    at = to
+            longest[end + 1 - lengths[token]] = token  # ends rise: the last one of a start stays
+        out = [] if size < _SHORT else array("i")
+        dead = bytearray(size + 1)
+        at, token, last = 0, longest[0], -1
+        while True:
+            while token >= 0:
+                to = at + lengths[token]
+                if not dead[to] and (last < 0 or pairs[last, token]):
                     break
+                token = shorter[token]
+            if token >= 0:
+                out.append(token)
+                if to == size:
+                    return out
+                at, last, token = to, token, longest[to]
             else:
                 if not out:
                     raise ValueError("the vocabulary lacks a byte of the text")
                 dead[at] = 1
-                tried.pop()
-                at -= len(self.tokens[out.pop()])
-        return tuple(out)
-
-    def known(self, piece: str) -> tuple[int, ...]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.piece(piece.encode())
-            if len(piece) < 64:
-                if len(self.pieces) >= _PIECES:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
-        return ids
+                token = out.pop()
+                at -= lengths[token]
+                last, token = out[-1] if out else -1, shorter[token]
 
-    def encode(self, text: str) -> Iterator[list[int]]:
-        """Ids of a whole text, in runs of bounded length."""
+    def written(self, text: str) -> Iterator[str]:
+        """Ids of a whole text in decimals, joined by commas, in runs of bounded length."""
         found = (m[0] for m in self.pattern.finditer(text)) if len(text) > 1 << 21 else iter(
             self.pattern.findall(text))
         while run := list(itertools.islice(found, 1 << 18)):
-            yield list(itertools.chain.from_iterable(map(self.known, run)))
+            yield ",".join(map(self.pieces.__getitem__, run))
+
+    def encode(self, text: str) -> Iterator[list[int]]:
+        """Ids of a whole text, in runs of bounded length."""
+        for run in self.written(text):
+            yield list(map(int, run.split(",")))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def read(self, written: str) -> list[bytes]:
+        """The tokens that written ids stand for."""
+        return list(map(self.by_decimal.__getitem__, written.split(",")))
+
 
 def _digests(coder: Encoder, text: str) -> tuple[int, str, str]:
     ids_hash, text_hash, count = hashlib.sha256(), hashlib.sha256(), 0
-    for ids in coder.encode(text):
-        ids_hash.update(("," if count else "").encode() + ",".join(map(str, ids)).encode())
-        text_hash.update(coder.decode(ids))
-        count += len(ids)
+    for run in coder.written(text):
+        if count:
+            ids_hash.update(b",")
+        ids_hash.update(run.encode())
+        tokens = coder.read(run)
+        text_hash.update(b"".join(tokens))
+        count += len(tokens)
     return count, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
