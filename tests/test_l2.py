@@ -210,20 +210,54 @@ def test_rules_equal_replay(make, seed):
     assert len({c for _, c, _ in got}) == 8
 
 
-@pytest.mark.parametrize("gap", [1, 7, 40])
-def test_greedy_spacing(spark, gap):
+def spaced(rows, gap):
+    """Rows (key, position, tie) that fire, one after the other."""
+    want, last = [], {}
+    for k, pos, tie in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        if k not in last or pos - last[k] >= gap:
+            last[k] = pos
+            want.append((k, pos, tie))
+    return sorted(want, key=str)
+
+
+@pytest.mark.parametrize("gap,chunk", [(1, 16), (7, 100_000), (40, 16), (40, 300), (900, 16)])
+def test_greedy_spacing(spark, gap, chunk):
     rng = random.Random(gap)
-    rows = [(rng.choice("ab"), rng.randrange(5000), i) for i in range(1500)]
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(5000), i) for i in range(1500)]
+    rows += [("c", 10, 1), ("d", 7, 1), ("d", 9000, 2)]  # keys of one chunk next to keys of many
     df = spark.createDataFrame(rows, "k string, pos long, tie long")
-    want = []
-    for k in "ab":
-        last = None
-        for _, pos, tie in sorted(r for r in rows if r[0] == k):
-            if last is None or pos - last >= gap:
-                last = pos
-                want.append((k, pos, tie))
-    got = [tuple(r) for r in greedy.greedy_spacing(df, ["k"], "pos", "tie", gap).collect()]
-    assert sorted(got) == sorted(want)
+    got = greedy.greedy_spacing(df, ["k"], "pos", "tie", gap, chunk)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == spaced(rows, gap)
+
+
+def test_greedy_spacing_chunks_are_bounded(spark, tmp_path, monkeypatch):
+    """A candidate at every tick of several gaps: no Arrow group is larger than a chunk."""
+    plain, sizes = greedy._longs, str(tmp_path / "sizes")
+
+    def noted(table, column):
+        with open(sizes, "a") as file:
+            file.write(f"{table.num_rows}\n")
+        return plain(table, column)
+
+    monkeypatch.setattr(greedy, "_longs", noted)
+    rows = [("k", i, i) for i in range(4000)] + [("sparse", 997 * i, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, pos long, tie long")
+    got = greedy.greedy_spacing(df, ["k"], "pos", "tie", 1500, 128)
+    assert sorted(map(tuple, got.collect()), key=str) == spaced(rows, 1500)
+    with open(sizes) as file:
+        assert max(map(int, file)) == 128
+
+
+def test_ordered_next(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), rng.randrange(300), i, rng.choice([None, i])) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, t long, tie long, v long")
+    got = {r.tie: r.n for r in ordered.ordered_next(df, ["k"], "t", "tie", "v", "n", 20).collect()}
+    for k, t, tie, _ in rows:
+        later = [v for (_, _, v) in sorted((x[1], x[2], x[3]) for x in rows if x[0] == k
+                                           and x[3] is not None and (x[1], x[2]) >= (t, tie))]
+        assert got[tie] == (later[0] if later else None)
 
 
 def test_rolling_distinct_and_count(spark):

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,10 +11,12 @@ from wirelens.fixed_values import FEATURE_NAMES
 from wirelens.operators import features as ft
 from wirelens.operators.alerts import l3_alerts
 from wirelens.operators.scoring import threat_score
+from wirelens.operators.sequence import sequence_score
 from wirelens.plans.catalog import stand_in_scores
 from wirelens.schemas import FLOW_KEY, PACKETS
 from wirelens.sources import readers, sinks, trace
 from wirelens.streaming import flows as sf
+from wirelens.streaming import history
 
 DATA = "/root/testdata/sf0.001"
 FAR = 4_000_000_000_000_000
@@ -61,6 +64,56 @@ def test_flow_features(spark, packet_files, tmp_path):
     assert got == want and len(got) == 157
 
 
+@pytest.fixture()
+def keyed_state(spark):
+    before = spark.conf.get(history.STATE_STORE)
+    history.use_keyed_state(spark)
+    yield
+    spark.conf.set(history.STATE_STORE, before)
+
+
+def test_sequence_history_across_batches(spark, packet_files, tmp_path, keyed_state):
+    """Scores of a stream in several batches are those of the batch job, below the cap too."""
+    packets, path = packet_files
+    cfg = Settings(flow_window_s=5, slot_s=5, min_flow_packets=1)
+    small = (F.col("total_bytes") + F.col("duration")) / 1e6  # a spread that no score caps
+    stream = history.stream_sequence_scores(
+        sf.stream_flow_features(source(spark, path), cfg, "2 seconds").withColumn("small", small),
+        variance="small")
+    query = run(stream.writeStream.outputMode("append").format("memory").queryName("scores_out")
+                .option("checkpointLocation", str(tmp_path / "cp")))
+    assert sum(p["sink"]["numOutputRows"] > 0 for p in query.recentProgress) >= 3
+    cols = ["id", "src_ip", "last_us", "sequence_score"]
+    got = sorted(map(str, spark.table("scores_out").select(cols).collect()))
+    want = sequence_score(ft.flow_features(packets, cfg=cfg).withColumn("small", small),
+                          variance="small")
+    assert got == sorted(map(str, want.select(cols).collect()))
+    scores = [r.sequence_score for r in want.select("sequence_score").collect()]
+    assert len(set(scores)) > 100 and max(scores) < 1
+
+
+def test_sequence_history_is_forgotten(spark, packet_files, tmp_path, keyed_state):
+    """With no idle time a source starts anew in every batch that is a watermark later."""
+    _, path = packet_files
+    cfg = Settings(flow_window_s=5, slot_s=5, min_flow_packets=1)
+    stream = history.stream_sequence_scores(
+        sf.stream_flow_features(source(spark, path), cfg, "2 seconds"), idle_s=0)
+    run(stream.writeStream.outputMode("append").format("memory").queryName("short_out")
+        .option("checkpointLocation", str(tmp_path / "cp")))
+    out = spark.table("short_out").agg(
+        F.count_if(F.col("sequence_score") == 0), F.count_distinct("src_ip")).first()
+    assert out[0] > out[1]
+
+
+def test_recent_means():
+    rng = random.Random(1)
+    spreads = [rng.random() for _ in range(30)]
+    for cut in (0, 1, 3, 4, 17):
+        got = history.recent_means(spreads[max(0, cut - 4):cut], np.array(spreads[cut:]))
+        want = [sum(spreads[max(0, i - 4):i + 1]) / min(i + 1, 5) for i in range(cut, 30)]
+        assert np.allclose(got, want, rtol=0, atol=1e-15)
+
+
 def test_sessions_and_rates(spark, packet_files, tmp_path):
     packets, path = packet_files
     run(sf.stream_session_flows(source(spark, path)).writeStream.outputMode("append")
@@ -137,6 +190,53 @@ def test_l2_alerts(spark, tmp_path):
     assert sorted(map(str, status)) == sorted(map(str, l2.l2_status(trace_df, cfg).collect()))
 
 
+def test_l2_state_written_is_that_of_touched_keys(spark, tmp_path):
+    """Many MACs and addresses are known; a batch about two of them writes these two only."""
+    from test_l2 import BASE
+    from wirelens.schemas import L2_EVENTS
+    from wirelens.streaming import l2 as sl2
+
+    def batch(number, hosts, at):
+        rows = []
+        for i, host in enumerate(hosts):
+            full = dict.fromkeys(L2_EVENTS.fieldNames()) | {
+                "segment": "s", "seq": number * 1000 + i, "type": "ARP", "op": "reply",
+                "src_ip": f"10.0.0.{host}", "src_mac": f"m{host}", "ts_us": BASE + at * 10**6 + i}
+            full["timestamp"] = full["ts_us"] / 1e6
+            rows.append(tuple(full[f] for f in L2_EVENTS.fieldNames()))
+        sl2.process_batch(spark.createDataFrame(rows, L2_EVENTS), number, f"{tmp_path}/s",
+                          f"{tmp_path}/out", Settings(mac_flood_new_macs=1000), delay_s=0)
+        return spark.read.parquet(f"{tmp_path}/s/lasting/level=0/run={number}").count()
+
+    assert batch(0, range(200), 0) == 400
+    assert batch(1, [3, 7], 100) == 4
+    assert batch(2, [3, 500], 200) == 4
+    assert sl2._lasting(spark, f"{tmp_path}/s").read(3).count() == 402
+    status = sl2.current_status(spark, f"{tmp_path}/s", 2).first()
+    assert (status.arp_table_size, status.known_mac_count) == (201, 201)
+
+
+def test_keyed_table_runs(spark, tmp_path):
+    """Latest rows after every batch, few runs, nothing left over, repeated batches included."""
+    import glob
+
+    from pyspark.sql import types as T
+    from wirelens.streaming.keyed_table import KeyedTable, runs
+
+    assert runs(0) == [] and runs(8) == [(1, 0)] and runs(74, 8) == [(2, 0), (1, 8), (0, 72), (0, 73)]
+    schema = T.StructType().add("k", "long").add("v", "long")
+    table, held = KeyedTable(spark, str(tmp_path / "t"), schema, ["k"], fanout=2), {}
+    for b in range(7):
+        rows = [(k, 10 * b + k) for k in {b, b // 2, 0}]
+        for _ in range(1 + (b in (3, 4))):
+            assert {r.k: r.v for r in table.read(b).collect()} == held
+            table.write(b, spark.createDataFrame(rows, schema))
+        held |= dict(rows)
+        assert {r.k: r.v for r in table.read(b + 1).collect()} == held
+        kept = {*runs(b + 1, 2), *runs(b, 2)}
+        assert len(glob.glob(f"{tmp_path}/t/level=*/run=*")) == len(kept)
+
+
 def test_l2_stream_runs(spark, tmp_path):
     from wirelens.streaming import l2 as sl2
 

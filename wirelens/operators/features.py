@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,8 +81,9 @@ def _feature_sql() -> dict[str, str]:
     }
 
 
-def features_of(sums: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """Features from flow sums (``flow_sums`` or their streaming counterpart)."""
+def features_of(sums: DataFrame, cfg: Settings = DEFAULTS, extra: Sequence[str] = ()) -> DataFrame:
+    """Features from flow sums (``flow_sums`` or their streaming counterpart), and columns of the
+    sums that are passed through."""
     value = _feature_sql()
     return sums.filter(F.col("n") >= cfg.min_flow_packets).withColumn("duration", duration()) \
         .select(
@@ -88,7 +91,7 @@ def features_of(sums: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
             "first_us", "last_us", F.expr("n AS packet_count"), F.expr("bytes AS total_bytes"),
             "duration",
             *[F.expr(f"cast({value[f]} as {'bigint' if f in INTEGER_FEATURES else 'double'})"
-                     f" AS {f}") for f in FEATURE_NAMES])
+                     f" AS {f}") for f in FEATURE_NAMES], *extra)
 
 
 def flow_features(packets: DataFrame, mode: str = "tumbling", bidirectional: bool = False,

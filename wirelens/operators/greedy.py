@@ -1,14 +1,18 @@
 """Greedy spacing: fire at the first candidate, then at each next one at least ``gap`` further on.
 
 Whether a candidate fires depends on the previous firing, so the rule is sequential. It is still cut
-into chunks of positions:
-
-1. each chunk maps every possible entry point to the last firing it leads to; only entries within one
-   ``gap`` of the chunk start can be reached from outside, so little is kept of a chunk;
-2. these maps are chunked and mapped again in the same way, ``LEVELS`` times in all;
-3. one pass per key follows the few maps that are left, and each level passes the entry points it
-   found down to the next finer one;
-4. each chunk is replayed from its now known entry point.
+into chunks of a fixed number of candidates, however close together these lie:
+
+1. each chunk maps every candidate that may be entered from outside to the last firing it leads to;
+2. maps of neighbouring chunks are composed pair by pair, as often as it takes until one is left per
+   key. Composing is one ordered scan: where the left map ends, the right one is entered at the first
+   candidate a ``gap`` further on. Only candidates within one ``gap`` of a block's start can be entered,
+   so coarser maps get no larger than that;
+3. from the coarsest map down, every block learns from which position its candidates may fire: the
+   left half from where its parent may, the right half from where the left one ends;
+4. each chunk is replayed from there.
+
+No Arrow group holds more than a chunk. Keys of one chunk need steps 3 and 4 only.
 """
 
 from __future__ import annotations
@@ -17,19 +21,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wirelens.operators.ordered import dense_rows
+from wirelens.operators.ordered import dense_rows, null_safe_join, ordered_next, row_index
+from wirelens.session import cut_lineage
 
-_CHUNK, _PARENT, _POS, _EXIT, _FROM = "_chunk", "_parent", "_pos", "_exit", "_from"
-# chunk length in gaps, and in chunks of the level below: the pass per key sees at most about one
-# in CHUNK_GAPS ** LEVELS of a dense key's candidates
-CHUNK_GAPS = 64
-LEVELS = 2
-# chunk length where positions are row numbers
+_BLOCK, _POS, _EXIT, _FROM = "_block", "_pos", "_exit", "_from"
+# candidates of a chunk
 ROWS_PER_CHUNK = 100_000
+# candidates are distinct positions, so an ordered scan sees at most this many in one slot
+_SLOT_TICKS = 1 << 22
 _UNSET = -(2 ** 62)
 
 
@@ -64,95 +67,94 @@ def _longs(table: pa.Table, column: str) -> np.ndarray:
     return table.column(column).to_numpy().astype("int64")
 
 
-def _rows_of(table: pa.Table, keys: Sequence[str], values: dict) -> pa.Table:
-    """Arrays of equal length next to the key of the group ``table``."""
-    n = len(next(iter(values.values())))
-    first = pa.array(np.zeros(n, dtype="int64"))
-    head = {k: table.column(k).combine_chunks().take(first) for k in keys}
-    return pa.table({**head, **{c: pa.array(v, type=pa.int64()) for c, v in values.items()}})
-
-
-def _follow(entries: pa.Table, start: int, gap: int) -> tuple[np.ndarray, list[int]]:
-    """Chunks in order, each with the position from which its candidates may fire."""
-    chunks, p, exits = (_longs(entries, c) for c in (_CHUNK, _POS, _EXIT))
-    order = np.lexsort((p, chunks))
-    chunks, p, exits = chunks[order], p[order], exits[order]
-    names, first = np.unique(chunks, return_index=True)
-    bounds = np.append(first, len(chunks))
-    starts = []
-    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-        starts.append(start)
-        j = lo + int(np.searchsorted(p[lo:hi], start))
-        if j < hi:
-            start = int(exits[j]) + gap
-    return names, starts
+def _replayed(table: pa.Table, pos: str, gap: int, start: int) -> pa.Table:
+    p = _longs(table, pos)
+    return table.filter(pa.array(np.isin(p, firings(np.sort(p), gap, start))))
+
+
+def _chunk_maps(spots: DataFrame, keys: Sequence[str], pos: str, gap: int) -> DataFrame:
+    """(keys, _block, _pos, _exit) of the candidates of each chunk that can be entered."""
+    def run(table: pa.Table) -> pa.Table:
+        p = np.sort(_longs(table, pos))
+        # one entry past the reachable range stands for "first candidate after it"
+        reach = min(len(p), int(np.searchsorted(p, p[0] + gap)) + 1)
+        first = pa.array(np.zeros(reach, dtype="int64"))
+        head = {k: table.column(k).combine_chunks().take(first) for k in [*keys, _BLOCK]}
+        return pa.table({**head, _POS: pa.array(p[:reach]),
+                         _EXIT: pa.array(last_firing(p, p, gap)[:reach])})
+
+    slim = spots.select(*keys, _BLOCK, pos)
+    fields = [slim.schema[c] for c in (*keys, _BLOCK)]
+    schema = T.StructType(fields + [T.StructField(c, T.LongType()) for c in (_POS, _EXIT)])
+    return slim.groupBy(*keys, _BLOCK).applyInArrow(run, schema)
+
+
+def _composed(maps: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
+    """The maps of pairs of neighbouring blocks."""
+    parent = F.floor(F.col(_BLOCK) / 2)
+    sided = maps.withColumn("_right", F.pmod(_BLOCK, F.lit(2)) == 1).withColumn(_BLOCK, parent)
+    by = [*keys, _BLOCK]
+    # a left block whose map goes beyond the gap leaves nothing of the right one in reach
+    left = sided.where("not _right").groupBy(*by).agg(
+        (F.min(_POS) + gap).alias("_end"), F.max(_POS).alias("_last"))
+    right = null_safe_join(sided.where("_right"), left, by).where("_last < _end")
+    past = right.where(F.col(_POS) >= F.col("_end")).groupBy(*by).agg(F.min(_POS).alias("_stop"))
+    right = null_safe_join(right, past, by, "left").where(
+        (F.col(_POS) < F.col("_end")) | (F.col(_POS) == F.col("_stop")))
+    entered = ordered_next(
+        sided.select(*by, _POS, _EXIT, F.when(F.col("_right"), F.col(_POS)).otherwise(
+            F.col(_EXIT) + gap).alias("_at"), F.col("_right").cast("int").alias("_kind"),
+            F.when(F.col("_right"), F.col(_EXIT)).alias("_value")),
+        by, "_at", "_kind", "_value", "_next", _SLOT_TICKS)
+    followed = entered.where("_kind = 0").select(
+        *by, _POS, F.coalesce("_next", _EXIT).alias(_EXIT))
+    return followed.unionByName(right.select(*by, _POS, _EXIT))
 
 
 def greedy_spacing(df: DataFrame, keys: Sequence[str], pos: str, tie: str, gap: int,
-                   chunk_gaps: int = CHUNK_GAPS, levels: int = LEVELS) -> DataFrame:
+                   rows: int = ROWS_PER_CHUNK) -> DataFrame:
     """Rows of ``df`` that fire. Of rows equal in (keys, pos) only the lowest ``tie`` can.
 
-    Candidates are read twice in the same layout (mapping and replay), so one shuffle of them is
-    written and ``df`` is evaluated once.
+    Candidates, and the maps of every level, are written once; each is read by two steps.
     """
     keys = list(keys)
-    widths = [gap * chunk_gaps ** (i + 1) for i in range(levels)]
     payload = [c for c in df.columns if c not in {*keys, pos, tie}]
-
-    def chunk_at(column: str, level: int) -> Column:
-        at = F.col(column).cast("long")
-        return at - F.pmod(at, F.lit(widths[level]))
-
-    spots = (df.groupBy(*keys, pos).agg(F.min(F.struct(tie, *payload)).alias("_row"))
-             .select(*keys, F.col(pos), "_row.*", chunk_at(pos, 0).alias(_CHUNK)))
-    long = T.LongType()
-    key_fields = [f for k in keys for f in df.schema.fields if f.name == k]
-
-    def schema(*columns: str) -> T.StructType:
-        return T.StructType(key_fields + [T.StructField(c, long) for c in columns])
-
-    def mapper(at: str, exit_column: str, chunk_column: str):
-        def run(table: pa.Table) -> pa.Table:
-            p, exits = _longs(table, at), _longs(table, exit_column)
-            order = np.argsort(p, kind="stable")
-            p = p[order]
-            exits = last_firing(p, exits[order], gap)
-            chunk = _longs(table, chunk_column)[0]
-            # one entry past the reachable range stands for "first candidate after it"
-            reach = min(len(p), int(np.searchsorted(p, chunk + gap)) + 1)
-            p, exits = p[:reach], exits[:reach]
-            keep = np.append(exits[1:] != exits[:-1], True)  # last of each run of equal exits
-            return _rows_of(table, keys, {_CHUNK: np.full(keep.sum(), chunk), _POS: p[keep],
-                                          _EXIT: exits[keep]})
-        return run
-
-    def link_all(table: pa.Table) -> pa.Table:
-        names, starts = _follow(table, _UNSET, gap)
-        return _rows_of(table, keys, {_CHUNK: names, _FROM: starts})
-
-    def link_within(table: pa.Table, entry: pa.Table) -> pa.Table:
-        names, starts = _follow(table, int(_longs(entry, _FROM)[0]), gap)
-        return _rows_of(table, keys, {_CHUNK: names, _FROM: starts})
-
-    def replay(table: pa.Table, entry: pa.Table) -> pa.Table:
-        p = _longs(table, pos)
-        hits = firings(np.sort(p), gap, int(_longs(entry, _FROM)[0]))
-        return table.filter(pa.array(np.isin(p, hits))).drop_columns([_CHUNK])
-
-    by_chunk = spots.groupBy(*keys, _CHUNK)
-    maps = [by_chunk.applyInArrow(mapper(pos, pos, _CHUNK), schema(_CHUNK, _POS, _EXIT))]
-    for level in range(1, levels):
-        maps[-1] = maps[-1].withColumn(_PARENT, chunk_at(_CHUNK, level))
-        maps.append(maps[-1].groupBy(*keys, _PARENT).applyInArrow(
-            mapper(_POS, _EXIT, _PARENT), schema(_CHUNK, _POS, _EXIT)))
-    starts = maps[-1].groupBy(*keys).applyInArrow(link_all, schema(_CHUNK, _FROM))
-    for finer in reversed(maps[:-1]):
-        parent = starts.withColumnRenamed(_CHUNK, _PARENT).groupBy(*keys, _PARENT)
-        starts = finer.groupBy(*keys, _PARENT).cogroup(parent).applyInArrow(
-            link_within, schema(_CHUNK, _FROM))
-    fired = T.StructType([f for f in spots.schema.fields if f.name != _CHUNK])
-    return (by_chunk.cogroup(starts.groupBy(*keys, _CHUNK)).applyInArrow(replay, fired)
-            .select(*df.columns))
+    spots = (df.groupBy(*keys, F.col(pos).cast("long").alias(pos))
+             .agg(F.min(F.struct(tie, *payload)).alias("_row")).select(*keys, pos, "_row.*"))
+    numbered = row_index(spots, keys, pos, tie, "_n", _SLOT_TICKS)
+    spots = cut_lineage(numbered.withColumn(_BLOCK, F.floor(F.col("_n") / rows)).drop("_n"))
+    by = [*keys, _BLOCK]
+    last = spots.agg(F.max(_BLOCK)).first()[0] or 0
+    levels = int(last).bit_length()
+    maps = []
+    for level in range(levels):
+        finer = _composed(maps[-1], keys, gap) if level else _chunk_maps(spots, keys, pos, gap)
+        maps.append(cut_lineage(finer))
+
+    # the coarsest level has one block per key, whose candidates may fire from the first one on
+    starts = spots.select(*keys).distinct().select(
+        *keys, F.lit(0).cast("long").alias(_BLOCK), F.lit(_UNSET).cast("long").alias(_FROM))
+    for level in reversed(range(levels)):
+        left = starts.withColumn(_BLOCK, F.col(_BLOCK) * 2)
+        ends = null_safe_join(maps[level], left, by).where(F.col(_POS) >= F.col(_FROM)) \
+            .groupBy(*by).agg(F.min_by(_EXIT, _POS).alias(_EXIT))
+        right = null_safe_join(left, ends, by, "left").select(
+            *keys, (F.col(_BLOCK) + 1).alias(_BLOCK),
+            F.coalesce(F.col(_EXIT) + gap, F.col(_FROM)).alias(_FROM))
+        starts = cut_lineage(left.unionByName(right))
+
+    names = list(df.columns)
+    out = T.StructType([spots.schema[c] for c in names])
+    if not levels:  # one chunk per key: nothing came before it
+        return spots.select(*names).groupBy(*keys).applyInArrow(
+            lambda table: _replayed(table, pos, gap, _UNSET), out)
+
+    def replay(table: pa.Table, start: pa.Table) -> pa.Table:
+        if not table.num_rows:  # a block beyond the last of its key
+            return table.select(names)
+        return _replayed(table, pos, gap, int(_longs(start, _FROM)[0])).select(names)
+
+    return spots.groupBy(*by).cogroup(starts.groupBy(*by)).applyInArrow(replay, out)
 
 
 def cooldown(df: DataFrame, keys: Sequence[str], ts: str, tie: str, window: int) -> DataFrame:
@@ -169,6 +171,4 @@ def reset_on_fire(df: DataFrame, keys: Sequence[str], ts: str, tie: str, window:
     the rows whose plain rolling count is at least ``count``.
     """
     dense = dense_rows(df, keys, ts, tie, window, count, "_index", width)
-    # positions are row numbers, so a chunk holds a fixed number of rows and one level is enough
-    chunk_gaps = max(1, ROWS_PER_CHUNK // count)
-    return greedy_spacing(dense, keys, "_index", tie, count, chunk_gaps, levels=1).drop("_index")
+    return greedy_spacing(dense, keys, "_index", tie, count).drop("_index")

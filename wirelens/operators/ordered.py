@@ -59,6 +59,21 @@ def ordered_lag(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: st
     return rows.withColumn(out, F.coalesce(out, _CARRY)).drop(SLOT, _CARRY)
 
 
+def ordered_next(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, out: str,
+                 width: int) -> DataFrame:
+    """``out`` = first non-null ``value`` at or after the row, null where none follows."""
+    slotted = with_slot(df, ts, width)
+    w = (Window.partitionBy(*keys, SLOT).orderBy(ts, tie)
+         .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = slotted.withColumn(out, F.first(value, ignorenulls=True).over(w))
+    when = F.when(F.col(value).isNotNull(), F.struct(ts, tie))
+    per_slot = slotted.groupBy(*keys, SLOT).agg(F.min_by(value, when).alias(_PART))
+    later = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(1, Window.unboundedFollowing)
+    carry = per_slot.select(*keys, SLOT, F.first(_PART, ignorenulls=True).over(later).alias(_CARRY))
+    rows = null_safe_join(rows, carry, [*keys, SLOT], "left")
+    return rows.withColumn(out, F.coalesce(out, _CARRY)).drop(SLOT, _CARRY)
+
+
 def running_min_before(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str,
                        out: str, width: int) -> DataFrame:
     """``out`` = least ``value`` over all earlier rows of the key, null on the first."""

@@ -46,13 +46,15 @@ def score_features(features: DataFrame, models: Models, cfg: Settings = DEFAULTS
                    history: Sequence[str] = ("src_ip",), materialise: bool = False
                    ) -> DataFrame:
     """Flow features -> scored flows. ``history=()`` keeps one sequence history for all flows.
+    Features that carry a ``sequence_score`` (those of a stream, whose history is keyed state) keep it.
 
     The sequence score reads the features three times, so ``materialise`` writes them once instead
     of assembling the flows again; leave it off for features that are read from a table.
     """
     if materialise:
         features = cut_lineage(features)
-    sequenced = sequence_score(features, history, cfg=cfg)
+    sequenced = features if "sequence_score" in features.columns else sequence_score(
+        features, history, cfg=cfg)
     with_vector = sequenced.withColumn("vector", feature_array())
     scored = models.classifier.transform(
         models.forest.transform(with_vector, F.col("vector")), "vector")

@@ -22,6 +22,8 @@ from wirelens.schemas import FLOW_KEY
 from wirelens.sources.sinks import store
 
 WATERMARK = "30 seconds"
+# end of a flow's window, by which later stateful operators tell time
+EVENT_TIME = "event_time"
 _US = 1_000_000
 
 
@@ -67,14 +69,15 @@ def stream_flow_sums(packets: DataFrame, cfg: Settings = DEFAULTS, watermark: st
         # every packet but the first of the flow closes a gap, and the gaps add up to its duration
         "f_n - 1 AS f_gap_n", "last_us - first_us AS f_gap_sum",
         f"""cast(f_slot_gap_sq + if(size(spans) > 1, {between}, cast(0 as decimal(28,0)))
-            as decimal(38,0)) AS f_gap_sq""").drop("spans", "f_slot_gap_sq", "flow_window")
+            as decimal(38,0)) AS f_gap_sq""", f"window_time(flow_window) AS {EVENT_TIME}") \
+        .drop("spans", "f_slot_gap_sq", "flow_window")
     return complete_directional(flows)
 
 
 def stream_flow_features(packets: DataFrame, cfg: Settings = DEFAULTS,
                          watermark: str = WATERMARK) -> DataFrame:
     """Flow records with features, emitted once the watermark has passed their window."""
-    return features_of(stream_flow_sums(packets, cfg, watermark), cfg)
+    return features_of(stream_flow_sums(packets, cfg, watermark), cfg, [EVENT_TIME])
 
 
 def stream_session_flows(packets: DataFrame, cfg: Settings = DEFAULTS,
