@@ -335,10 +335,75 @@ def test_quality_counts_and_verdicts(spark):
     assert quality.quality(docs.where("false")).count() == 0
 
 
+def plain_verdicts(rows, reach=6.0, least=50):
+    """The limits of every group from quantiles of its sorted sketch values, and the verdicts."""
+    def value(x):
+        return 0.0 if x < 1e-9 else 1.02 ** math.ceil(math.log(x) / math.log(1.02)) * 2 / 2.02
+
+    def quartiles(values):
+        values = sorted(map(value, values))
+        return [values[math.ceil(q * len(values)) - 1] for q in (0.25, 0.75)]
+
+    healthy = [r for r in rows if not r["base_failed"]]
+    good = [True] * len(rows)
+    for rate, counted in quality.RATES.items():
+        at = collections.defaultdict(list)
+        for r in healthy:
+            for key in ((), (r["lang"],), (r["lang"], r["source"])):
+                at[key].append(r[rate])
+        spread = {k: quartiles(v) for k, v in at.items()}
+        full = sorted(spread[k][1] - spread[k][0] for k, v in at.items()
+                      if len(k) == 2 and len(v) >= least)
+        usual = full[math.ceil(0.5 * len(full)) - 1] if full else 0.0
+        for i, r in enumerate(rows):
+            keys = [k for k in ((r["lang"], r["source"]), (r["lang"],), ()) if k in at]
+            q1, q3 = spread[next((k for k in keys if len(at[k]) >= least or not k), ())]
+            margin = reach * max(q3 - q1, usual)
+            if counted is None:
+                good[i] &= (q1 - margin) / 1.02 <= r[rate] <= (q3 + margin) * 1.02
+            else:
+                events, trials, unit = counted
+                good[i] &= r[events] <= r[trials] * ((q3 + margin) * 1.02) + reach * unit
+    return [g and not r["base_failed"] for g, r in zip(good, rows, strict=True)]
+
+
+def test_quality_verdicts_equal_plain_sketches(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 3 > 0")
+    rows = quality.measures(docs).select("row.doc_id", "row.lang", "row.source", "n_words", "n_lines",
+                                         "n_symbols", "n_dup_lines", "n_repeat_words", "n_echoes",
+                                         "base_failed", *quality.RATES).collect()
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(docs, keep=["doc_id"], least=20).collect()}
+    want = plain_verdicts([r.asDict() for r in rows], least=20)
+    assert got == {r["doc_id"]: w for r, w in zip(rows, want, strict=True)}
+    assert 0 < sum(want) < len(want) - sum(r["base_failed"] for r in rows)
+
+
+def test_quality_milder_junk_in_a_clean_source(spark):
+    """Texts a little out of line beside spotless ones; a few events are no offence."""
+    rng = np.random.default_rng(4)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+
+    def text(i):
+        out = list(rng.permutation(words)[:120])
+        if i < 10:
+            out[::4] = [w + "*" for w in out[::4]]  # a quarter of a symbol a word
+        elif i < 20:
+            out[1:40:2] = out[0:40:2]  # twenty echoes
+        elif i < 30:
+            out[5] += "*"
+            out[8] = out[7]
+        return "\n".join(" ".join(out[j:j + 10]) for j in range(0, 120, 10))
+
+    docs = spark.createDataFrame([(i, text(i), "en", "s") for i in range(310)],
+                                 "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality(docs, keep=["doc_id"]).collect()}
+    assert [i for i in sorted(kept) if not kept[i]] == list(range(20))
+
+
 def test_quality_sketch_error(spark):
     values = [1.0 + i * 0.37 for i in range(1, 400)]
     rows = spark.createDataFrame([("g", v, v, v, v, v) for v in values],
-                                 ["g", *quality.GUARDS]).repartition(4)
+                                 ["g", *quality.RATES]).repartition(4)
     for r in quality.quartiles(quality.sketch(rows, ["g"]), ["g"]).collect():
         assert abs(r["q1"] / values[len(values) // 4] - 1) < 0.02
         assert abs(r["q3"] / values[3 * len(values) // 4] - 1) < 0.02

@@ -1,17 +1,19 @@
 """Quality rules with thresholds that adapt to each language and source.
 
 Five rates are taken from every text: symbols per word, characters per word, the shares of repeated
-lines, of repeated words and of words that echo the one before. Their values are counted in logarithmic cells of one per cent
-width (a DDSketch): such sketches are mergeable counts with a proven relative error, so a source's
-sketch, its language's and the whole corpus's come from the same counts. A rate is out of line when it
-lies beyond its quartile by more than ``reach`` interquartile ranges and by more than a least
-distance, which keeps uniform groups from rejecting harmless texts. Groups of fewer than ``least``
-texts use the sketch of their language, and languages of fewer the one of the corpus. The thresholds
-are joined back to the texts.
+lines, of repeated words and of words that echo the one before. Their values are counted in logarithmic
+cells of one per cent width (a DDSketch): such sketches are mergeable counts with a proven relative
+error, so a source's sketch, its language's and the whole corpus's come from the same counts. The limit
+of a rate lies ``reach`` interquartile ranges beyond the quartile of its group; a group that is more
+uniform than the median group is taken to spread like that one. Groups of fewer than ``least`` texts
+use the sketch of their language, and languages of fewer the one of the corpus. The limits are joined
+back to the texts, and four of them are held against counts: a text is out of line when it has more
+than ``reach`` events (symbols, repeated lines, repeated windows, echoes) over what the limit gives a
+text of its length, so that a few events in a short text of a spotless source are no offence.
 
 Nulls: a null text has no words and fails the base rules; a null language or source is a group of its
-own. Repeated rows count as often as they occur. An empty table gives an empty result. Columns of the
-input never mix with the operator's own: the row travels in one struct.
+own. Repeated rows count as often as they occur. An empty table gives an empty result. Very long texts
+are read whole. Columns of the input never mix with the operator's own: the row travels in one struct.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from wirelens.llm import scratch
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
-# how far each rate must at least lie beyond its quartile; "low" and "high" name the guarded sides
-GUARDS = {"symbol_rate": ("high", 0.3), "word_length": ("both", 3.0),
-          "dup_line_rate": ("high", 0.5), "repeat_rate": ("high", 0.25),
-          "echo_rate": ("high", 0.2)}
+# events of a rate, what they are counted against, and how many one incident makes: a repeated window
+# repeats 2 * WINDOW words. The length of words has no events; it is held against both limits.
+RATES = {"symbol_rate": ("n_symbols", "n_words", 1), "word_length": None,
+         "dup_line_rate": ("n_dup_lines", "n_lines", 1),
+         "repeat_rate": ("n_repeat_words", "n_words", 2 * WINDOW),
+         "echo_rate": ("n_echoes", "n_words", 1)}
 _GAMMA = 1.02
 
 
@@ -78,6 +82,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return counted.select(
         "row", "n_words", "word_chars", "n_symbols",
         F.col("lines.dup").cast("long").alias("n_dup_lines"), "n_repeat_words",
+        F.col("lines.n").cast("long").alias("n_lines"), F.col("echoes").cast("long").alias("n_echoes"),
         ((F.col("n_words") < 20)
          | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
         (F.col("n_symbols") / words).alias("symbol_rate"),
@@ -90,7 +95,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def sketch(values: DataFrame, groups: list[str]) -> DataFrame:
     """(groups, rate, cell, held): counts of the logarithmic cells of every rate."""
     rates = F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), F.col(r).alias("value"))
-                                for r in GUARDS]))
+                                for r in RATES]))
     cell = F.when(F.col("r.value") < 1e-9, F.lit(-2000)).otherwise(
         F.ceil(F.log(F.col("r.value")) / F.log(F.lit(_GAMMA)))).cast("int")
     return (values.select(*groups, rates.alias("r"))
@@ -135,12 +140,31 @@ def thresholds(cells: DataFrame, groups: list[str], reach: float, least: int) ->
         return F.coalesce(*options, F.col(f"{name}_0"))
 
     q1, q3 = chosen("q1"), chosen("q3")
-    apart = F.create_map(*[F.lit(x) for r, (_, d) in GUARDS.items() for x in (r, d)])[F.col("rate")]
-    margin = F.greatest(reach * (q3 - q1), apart)
-    limits = out.select(*groups, "rate", F.struct((q1 - margin).alias("low"),
-                                                  (q3 + margin).alias("high")).alias("limit"))
+    # one row per rate; a group more uniform than the median one has the spread of that one
+    finest = len(groups)
+    usual = out.groupBy("rate").agg(F.coalesce(F.percentile_approx(
+        F.when(F.col(f"n{finest}") >= least, F.col(f"q3_{finest}") - F.col(f"q1_{finest}")), 0.5),
+        F.lit(0.0)).alias("usual"))
+    margin = reach * F.greatest(q3 - q1, F.col("usual"))
+    # a cell's width further out, which is how exact the sketch is
+    limits = out.join(F.broadcast(usual), "rate").select(
+        *groups, "rate", F.struct(((q1 - margin) / _GAMMA).alias("low"),
+                                  ((q3 + margin) * _GAMMA).alias("high")).alias("limit"))
     return limits.groupBy(*groups).agg(*[
-        F.max(F.when(F.col("rate") == r, F.col("limit"))).alias(r) for r in GUARDS])
+        F.max(F.when(F.col("rate") == r, F.col("limit"))).alias(r) for r in RATES])
+
+
+def in_line(reach: float) -> Column:
+    """Whether the counts and rates of a text keep to the ``limits`` beside them."""
+    good = F.lit(True)
+    for rate, counted in RATES.items():
+        low, high = F.col(f"limits.{rate}.low"), F.col(f"limits.{rate}.high")
+        if counted is None:
+            good = good & F.col(rate).between(low, high)
+        else:
+            events, trials, unit = counted
+            good = good & (F.col(events) <= F.col(trials) * high + reach * unit)
+    return good
 
 
 def judged(docs: DataFrame, reach: float = 6.0, least: int = 50, text_col: str = "text",
@@ -161,16 +185,11 @@ def judged(docs: DataFrame, reach: float = 6.0, least: int = 50, text_col: str =
     limits = scratch.table(
         thresholds(scratch.table(sketch(healthy, names), "sketch"), names, reach, least), "limits")
     joined = rows.alias("r").join(
-        limits.select(*names, F.struct(*GUARDS).alias("limits")).alias("l"),
+        limits.select(*names, F.struct(*RATES).alias("limits")).alias("l"),
         [F.col(f"r.{n}").eqNullSafe(F.col(f"l.{n}")) for n in names], "left")
-    good = F.lit(True)
-    for rate, (side, _) in GUARDS.items():
-        if side == "both":
-            good = good & (F.col(rate) >= F.col(f"limits.{rate}.low"))
-        good = good & (F.col(rate) <= F.col(f"limits.{rate}.high"))
     return joined.select(
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.when(F.col("base_failed"), False).otherwise(F.coalesce(good, F.lit(True))).alias("kept"))
+        F.when(F.col("base_failed"), False).otherwise(F.coalesce(in_line(reach), F.lit(True))).alias("kept"))
 
 
 def quality(docs: DataFrame, keep: list[str] | None = None, **settings: object) -> DataFrame:
