@@ -12,7 +12,7 @@ into chunks of a fixed number of candidates, however close together these lie:
    left half from where its parent may, the right half from where the left one ends;
 4. each chunk is replayed from there.
 
-No Arrow group holds more than a chunk. Keys of one chunk need steps 3 and 4 only.
+No Arrow group holds more than a chunk. Where every key is one chunk, step 4 is all there is.
 """
 
 from __future__ import annotations
@@ -115,17 +115,23 @@ def greedy_spacing(df: DataFrame, keys: Sequence[str], pos: str, tie: str, gap:
                    rows: int = ROWS_PER_CHUNK) -> DataFrame:
     """Rows of ``df`` that fire. Of rows equal in (keys, pos) only the lowest ``tie`` can.
 
-    Candidates, and the maps of every level, are written once; each is read by two steps.
+    Candidates, and the maps of every level, are written once; each is read by several steps.
     """
     keys = list(keys)
     payload = [c for c in df.columns if c not in {*keys, pos, tie}]
     spots = (df.groupBy(*keys, F.col(pos).cast("long").alias(pos))
              .agg(F.min(F.struct(tie, *payload)).alias("_row")).select(*keys, pos, "_row.*"))
+    spots = cut_lineage(spots)
+    names = list(df.columns)
+    out = T.StructType([spots.schema[c] for c in names])
+    most = spots.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if most <= rows:  # every key is one chunk, and nothing came before it
+        return spots.select(*names).groupBy(*keys).applyInArrow(
+            lambda table: _replayed(table, pos, gap, _UNSET), out)
     numbered = row_index(spots, keys, pos, tie, "_n", _SLOT_TICKS)
     spots = cut_lineage(numbered.withColumn(_BLOCK, F.floor(F.col("_n") / rows)).drop("_n"))
     by = [*keys, _BLOCK]
-    last = spots.agg(F.max(_BLOCK)).first()[0] or 0
-    levels = int(last).bit_length()
+    levels = ((most - 1) // rows).bit_length()
     maps = []
     for level in range(levels):
         finer = _composed(maps[-1], keys, gap) if level else _chunk_maps(spots, keys, pos, gap)
@@ -143,12 +149,6 @@ def greedy_spacing(df: DataFrame, keys: Sequence[str], pos: str, tie: str, gap:
             F.coalesce(F.col(_EXIT) + gap, F.col(_FROM)).alias(_FROM))
         starts = cut_lineage(left.unionByName(right))
 
-    names = list(df.columns)
-    out = T.StructType([spots.schema[c] for c in names])
-    if not levels:  # one chunk per key: nothing came before it
-        return spots.select(*names).groupBy(*keys).applyInArrow(
-            lambda table: _replayed(table, pos, gap, _UNSET), out)
-
     def replay(table: pa.Table, start: pa.Table) -> pa.Table:
         if not table.num_rows:  # a block beyond the last of its key
             return table.select(names)
