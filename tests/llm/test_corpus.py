@@ -64,6 +64,60 @@ def test_html_boilerplate_is_left_out():
         assert isinstance(html_text.extract(odd, {}), str)
 
 
+BODY = " ".join(f"word{i}" for i in range(120))
+ARTICLE = f"<article><h1>Preface</h1><p>{BODY}</p></article>"
+
+
+@pytest.mark.parametrize("before", [
+    "<select>" + "<option>one" * 300 + "</select>", "<nav><table>" + "<tr><td>menu" * 200 + "</table></nav>",
+    "<nav>" + "<span>menu" * 260 + "</nav>", "<dl class=menu>" + "<dt>a<dd>b" * 200 + "</dl>",
+    "<form>" + "<label>a <input>" * 300 + "</form>", "<ul class='nav'>" + "<li><b>menu" * 300 + "</ul>"])
+def test_html_unclosed_tags_before_the_article(before):
+    page = f"<body><div>{before}</div>{ARTICLE}<footer>foot</footer>"
+    assert html_text.extract(page, {}) == f"Preface\n{BODY}"
+
+
+@pytest.mark.parametrize("wrapper", [
+    *[f"<div class='{c}'>" for c in (
+        "page has-sidebar", "no-sidebar", "share", "related", "search-page", "alert", "with-banner",
+        "sidebar-left", "widget legal")], "<form action=x>", "<div id=search-results>",
+    "<section class=comments-open><main>"])
+@pytest.mark.parametrize("marked", [True, False])
+def test_html_wrappers_do_not_hide_the_page(wrapper, marked):
+    article = ARTICLE if marked else f"<div><h1>Preface</h1><p>{BODY}</p></div>"
+    page = (f"<body>{wrapper}<nav>Home Away</nav>{article}<div class='ad-box'>Buy now</div>"
+            "<div class=comments><article>I liked it</article></div></div><footer>foot</footer>")
+    assert html_text.extract(page, {}) == f"Preface\n{BODY}"
+
+
+def test_html_marked_words_inside_the_article():
+    page = (f"<article><h2 id='reply-to-critics'>Reply</h2><p class='legal'>{BODY}</p>"
+            "<section id=search-methods><p>More of it</section><div class='share'>Share me</div>"
+            "<div class='newsletter-box'>Subscribe</div><p hidden>no</p></article>")
+    assert html_text.extract(page, {}) == f"Reply\n{BODY}\nMore of it"
+
+
+def test_html_long_comments_are_no_article():
+    talk = "".join(f"<article class=comment><p>{BODY}</p></article>" for _ in range(5))
+    page = f"<body>{ARTICLE}<section class='comments'>{talk}</section>"
+    assert html_text.extract(page, {}) == f"Preface\n{BODY}"
+
+
+def test_html_pages_of_the_table_in_wrappers_and_without_marks(spark):
+    """Every page as it is, inside a marked wrapper or form, and without its article tag."""
+    pages = texts(spark, "pages", "html", "page_id")
+    learned = html_text.learn(spark.read.parquet(f"{DATA}/pages.parquet"))
+    for page in pages.values():
+        want = html_text.extract(page, learned)
+        assert want
+        inner = re.search(r"<body[^>]*>(.*?)(?:</body>|$)", page, re.S)[1]
+        for start, end in (("<div class='page has-sidebar'>", "</div>"), ("<form>", "</form>"),
+                           ("<div class='related'>", "</div>")):
+            assert html_text.extract(page.replace(inner, start + inner + end), learned) == want
+        assert html_text.extract(page.replace("<article>", "<div>").replace(
+            "</article>", "</div>"), learned) == want
+
+
 def test_html_odd_rows(spark):
     rows = spark.createDataFrame([(1, "u", None, 5), (None, None, "<p>a b c", 5), (1, "u", "", 5)],
                                  "page_id long, url string, html string, n_chars int")

@@ -6,6 +6,10 @@ content themselves with exactly one ``article`` or ``main`` element. One linear
 contiguous region of highest total. Words that stand in an element which is never content (menus,
 sidebars, footers, forms, scripts, adverts, notices, comments, by element name or by a word of its
 class, id or role) score nothing, their tags next to nothing, and are left out of the region's text.
+A name is no verdict on what holds the page: a form or an element with such a word counts as a wrapper,
+and its word for nothing, if it holds an ``article`` or ``main`` or more than half of the page's words
+(a comment section, whose comments may be articles, only if it holds a ``main`` or ``h1``). Words that
+tell of a layout (``has-sidebar``) and ids of headings and paragraphs are no such words either.
 
 Nulls: a null html is an empty page. A page without any word outside such elements gives the empty
 string; of equally good regions the first and longest is taken. Repeated rows stay repeated; an empty table gives
@@ -46,6 +50,23 @@ MARKS = {"ad", "ads", "adv", "advert", "advertisement", "adbox", "adslot", "bann
          "recommended", "recommendations", "widget", "toolbar", "pagination", "pager", "skip",
          "masthead", "search", "alert", "disclaimer", "copyright", "legal"}
 CONTENT = ("article", "main")
+# marks of reader comments, whose parts may be articles themselves
+TALK = {"comment", "comments", "commentlist", "disqus", "respond", "replies", "reply"}
+# class names that begin so tell of the layout, not of the element
+LAYOUT = {"has", "no", "with", "without", "hide", "show", "is"}
+# words that are marks outside of an article only; inside they name a topic
+TOPICS = {"legal", "copyright", "disclaimer", "search", "reply", "login", "skip"}
+# elements whose id is a place to jump to
+PLACES = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th", "tr", "dt", "dd", "span", "a",
+          "section", "figure", "blockquote", "em", "b", "i", "strong", "img"}
+# an element of these names ends open ones of the first set, unless one of the second lies between
+ENDS = {"option": ({"option"}, {"select", "datalist", "optgroup"}),
+        "optgroup": ({"option", "optgroup"}, {"select"}),
+        "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
+        "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}),
+        "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}),
+        "tbody": ({"tbody", "thead", "tfoot"}, {"table"}),
+        "tfoot": ({"tbody", "thead", "tfoot"}, {"table"})}
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""",
                    re.I)
@@ -103,51 +124,136 @@ def _tag_end(page: str, at: int) -> int:
     return quoted.end() - 1 if quoted else first
 
 
-def _never(name: str, attributes: str, in_content: bool) -> bool:
-    if name in NEVER or name == "header" and not in_content:
-        return True
+def _marks(name: str, attributes: str, in_content: bool) -> set[str]:
+    """Words of the class, id or role that name what is never content; "" if the element is hidden."""
+    found: set[str] = set()
     if not attributes or name in ("html", "body") or name in CONTENT:
-        return False
+        return found
     for m in _ATTR.finditer(attributes):
         kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if kind == "hidden" or kind == "aria-hidden" and value == "true":
-            return True
-        if kind in ("class", "id", "role") and any(
-                w.lower() in MARKS for w in _PART.findall(value)):
-            return True
-    return False
+            found.add("")
+        if kind == "id" and name in PLACES and value.lower() not in MARKS:
+            continue
+        if kind in ("class", "id", "role"):
+            for token in value.split():
+                parts = [w.lower() for w in _PART.findall(token)]
+                if parts and parts[0] not in LAYOUT:
+                    found.update(MARKS.intersection(parts))
+    return found - TOPICS if in_content else found
+
+
+class _Open:
+    """Open elements of a page: any can be found by its name in constant time."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, bool, bool]] = []  # name, number, never content, in content
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, name: str, number: int, never: bool, content: bool) -> None:
+        depth = len(self.stack)
+        self.at.setdefault(name, []).append(depth)
+        if name in BLOCK:
+            self.blocks.append(depth)
+        self.stack.append((name, number, never, content))
+
+    def last(self, names: set[str]) -> int:
+        return max((places[-1] for name in names if (places := self.at.get(name))), default=-1)
+
+    def cut(self, depth: int) -> list[tuple[str, int, bool, bool]]:
+        gone = self.stack[depth:]
+        for name, *_ in gone:
+            self.at[name].pop()
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+        del self.stack[depth:]
+        return gone
+
+    def make_room(self, name: str) -> list[tuple[str, int, bool, bool]]:
+        """Elements that the start of one of this name ends, as HTML has it."""
+        gone = []
+        if name in BLOCK and self.blocks and self.stack[self.blocks[-1]][0] == "p":
+            gone = self.cut(self.blocks[-1])
+        if name in ENDS:
+            ended, between = ENDS[name]
+            depth = self.last(ended)
+            if depth >= 0 and depth > self.last(between):
+                gone = self.cut(depth) + gone
+        return gone
+
+
+def _wrappers(events: list[tuple[str, str, str]]) -> set[int]:
+    """Numbers of the events that open a marked element or a form which holds the page's content."""
+    open_ = _Open()
+    marked: dict[int, tuple[bool, int, bool, bool]] = {}  # talk, words before, article, main
+    held: dict[int, tuple[bool, int, bool]] = {}
+    words = 0
+    articles = mains = heads = 0
+
+    def closed(gone: list) -> None:
+        for _, number, _, _ in gone:
+            if number in marked:
+                talk, before, *seen = marked.pop(number)
+                inside = mains + heads > seen[1] if talk else articles + mains > seen[0]
+                held[number] = (talk, words - before, inside)
+
+    for number, (event, name, attributes) in enumerate(events):
+        if event == "text":
+            if not (open_.stack and open_.stack[-1][2]):
+                words += len(name.split())
+        elif event == "close":
+            places = open_.at.get(name)
+            if places:
+                closed(open_.cut(places[-1]))
+        elif event == "open":
+            closed(open_.make_room(name))
+            hard, content = (open_.stack[-1][2], open_.stack[-1][3]) if open_.stack else (False,) * 2
+            marks = _marks(name, attributes, content)
+            if not hard and "" not in marks and (name == "form" or marks and name not in NEVER):
+                marked[number] = (bool(marks & TALK), words, articles + mains, mains + heads)
+            articles += name == "article"
+            mains += name == "main"
+            heads += name == "h1"
+            hard = hard or "" in marks or name in NEVER and name != "form"
+            open_.push(name, number, hard, content or name in CONTENT)
+    closed(open_.cut(0))
+    return {number for number, (talk, size, inside) in held.items()
+            if inside or not talk and 2 * size > words}
 
 
 def items(page: str) -> Iterator[tuple[str, str, bool, str]]:
     """(kind, text, inside the content element, tag name): kind is ``w:`` and the element of a run of
     words, ``t:`` and a tag, or ``never`` and ``never-tag`` for what is no content wherever it
     stands."""
-    stack: list[tuple[str, bool, bool]] = []  # name, never content, inside article or main
-    for event, name, attributes in scan(page):
-        never, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+    events = list(scan(page))
+    wrappers = _wrappers(events)
+    open_ = _Open()
+    for number, (event, name, attributes) in enumerate(events):
+        never, content = open_.stack[-1][2:] if open_.stack else (False, False)
         if event == "text":
             if not name.isspace():
-                holder = next((s[0] for s in reversed(stack) if s[0] in BLOCK or s[0] == "a"), "")
+                block = open_.blocks[-1] if open_.blocks else -1
+                depth = max(block, open_.last({"a"}))
+                holder = open_.stack[depth][0] if depth >= 0 else ""
                 yield ("never" if never else f"w:{holder}"), name, content, ""
             else:
                 yield "space", name, content, ""
         elif event == "close":
-            depth = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 256), -1)
-                          if stack[i][0] == name), None)
-            if depth is not None:
-                never = stack[depth][1]
-                del stack[depth:]
+            places = open_.at.get(name)
+            if places:
+                never = open_.stack[places[-1]][2]
+                open_.cut(places[-1])
             yield "never-tag" if never else f"t:/{name}", "", content and name not in CONTENT, name
         elif event == "void":
             yield "never-tag" if never else f"t:{name}", "", content, name
         else:
-            if name in BLOCK:  # a new block ends an open paragraph, an item the one before
-                while stack and (stack[-1][0] == "p" or stack[-1][0] not in BLOCK and any(
-                        s[0] == "p" for s in stack[-8:]) or stack[-1][0] == name == "li"):
-                    stack.pop()
-                never, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            never = never or _never(name, attributes, content)
-            stack.append((name, never, content or name in CONTENT))
+            open_.make_room(name)
+            never, content = open_.stack[-1][2:] if open_.stack else (False, False)
+            if number not in wrappers:
+                never = (never or name in NEVER or name == "header" and not content
+                         or bool(_marks(name, attributes, content)))
+            open_.push(name, number, never, content or name in CONTENT)
             yield "never-tag" if never else f"t:{name}", "", content, name
 
 
@@ -164,15 +270,17 @@ def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     return out
 
 
-# scores of kinds that no labelled page shows
-WORD, LINK_WORD, TAG, NEVER_TAG = 0.5, 0.05, -0.5, -0.1
+# scores of kinds that no labelled page shows; a short heading outweighs its tags
+WORD, LINK_WORD, TAG, TEXT_TAG, NEVER_TAG = 0.5, 0.05, -0.5, -0.1, -0.1
+TEXT_TAGS = {f"t:{slash}{name}" for slash in ("", "/")
+             for name in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "em", "b", "i", "strong", "span")}
 
 
 def _score(learned: dict[str, float], kind: str) -> float:
     if kind.startswith("w:"):
         return learned.get(kind, LINK_WORD if kind == "w:a" else WORD)
     if kind.startswith("t:"):
-        return learned.get(kind, TAG)
+        return learned.get(kind, TEXT_TAG if kind in TEXT_TAGS else TAG)
     return NEVER_TAG if kind == "never-tag" else 0.0
 
 
