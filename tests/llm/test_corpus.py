@@ -321,6 +321,48 @@ def test_warc_ranges_own_their_records(spark, tmp_path):
         assert gzip.decompress(path.read_bytes()).startswith(b"WARC/1.1\r\n")
 
 
+def test_warc_reads_every_range_in_a_task_of_its_own(spark, tmp_path):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    listed = warc.write(warc.classify(pages), f"{tmp_path}/w", archive_bytes=20_000)
+    ranges = sum(-(-r["size"] // 5000) for r in listed.collect())
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    try:
+        read = warc.read(listed, range_bytes=5000)
+        assert read.rdd.getNumPartitions() == ranges > 10
+        assert all(r["archive"].startswith("file:///") for r in read.select("archive").collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+
+
+def test_warc_reads_records_of_other_writers(spark, tmp_path):
+    def member(fields, block, level=6):
+        head = "\r\n".join(["WARC/1.0", *fields, f"content-length:{len(block)}"])
+        return gzip.compress(head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n", level)
+
+    http = b"HTTP/1.1 200 OK\r\nServer:x\r\n\r\n"
+    inner = member(["WARC-Type:response", "Content-Type: application/http", "Page-ID: 9"], http + b"no")
+    parts = [
+        member(["WARC-Type: warcinfo", "Content-Type: application/warc-fields"], b"software: x\r\n"),
+        member(["WARC-Type:response", "CONTENT-TYPE:application/http; msgtype=response", "Page-ID:1",
+                "WARC-Payload-Digest: sha1:ABC", "WARC-Target-URI:http://a/"], http + b"<p>one"),
+        # a record that holds an archive, stored and not compressed: its members are no records
+        member(["WARC-Type: resource", "Page-ID: 2"], b"x" * 3000 + inner + b"y" * 3000, level=0),
+        member(["WARC-Type: metadata"], b""),
+        member(["WARC-Type: revisit", "Content-Type: application/http", "Page-ID: 3",
+                "WARC-Payload-Digest: sha1:ABC"], http)]
+    data = b"".join(parts)
+    (tmp_path / "other.warc.gz").write_bytes(data)
+    listed = spark.createDataFrame([(f"file://{tmp_path}/other.warc.gz", len(data))],
+                                   "archive string, size long")
+    for size in (100, 4000, 1 << 20):
+        got = sorted(map(tuple, warc.read(listed, size, with_payload=True).select(
+            "offset", "record_type", "page_id", "payload_bytes", "payload").collect()))
+        assert [r[1:4] for r in got] == [("warcinfo", None, 13), ("response", 1, 6),
+                                         ("resource", 2, 6000 + len(inner)), ("metadata", None, 0),
+                                         ("revisit", 3, 0)]
+        assert bytes(got[1][4]) == b"<p>one" and got[4][4] is None
+
+
 def test_multi_index_recall_and_scores(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = {r["vec_id"]: np.array(r["embedding"], float) for r in table.collect()}

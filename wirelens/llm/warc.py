@@ -2,8 +2,10 @@
 
 Each record is a gzip member of its own. The writer fills archives of bounded size in the shared
 folder; the reader cuts every archive into byte ranges and gives each to a task. A task scans its
-range for the gzip magic, takes a candidate for a member only if it inflates to a WARC header, owns
-the records that start inside its range and reads the last one beyond the range's end.
+range for the gzip magic, takes a candidate for a member only if it inflates to a WARC header and is
+followed by another member or the end, owns the records that start inside its range and reads the last
+one beyond the range's end. Records of other writers are read too: field names in any case, records
+without an HTTP block (``warcinfo``, ``metadata``), digests of other kinds (not checked), missing fields.
 
 Of equal payloads of at least ``min_bytes`` bytes, the one with the least page id is stored
 (``response``), the others refer to it (``revisit``). Nulls: a null html is an empty payload; a null
@@ -24,7 +26,7 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelens.llm import scratch
@@ -32,6 +34,7 @@ from wirelens.llm import scratch
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _STEP = 16 << 10
+_TASKS = 100_000  # tasks that read ranges, at most
 RECORDS = ("page_id long, payload_bytes long, payload_digest string, record_type string, "
            "refers_to long, url string, archive string, offset long")
 
@@ -112,14 +115,25 @@ def write(pages: DataFrame, path: str, archive_bytes: int = 64 << 20,
             out.close()
             yield _listed(f"{path}/{name}", size, records)
 
-    spark = pages.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
+    path = shared_uri(pages.sparkSession, path)
     return scratch.table(
         pages.select("page_id", "url", "html", "digest", "record_type", "refers_to")
         .mapInArrow(run, "archive string, size long, records long"), "archives")
 
 
+def shared_uri(spark: SparkSession, path: str) -> str:
+    """``path``, made, as a URI that tasks on any machine resolve alike: a folder without a scheme lies
+    in Hadoop's default file system, not on the disk of whoever opens it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop)
+    uri = system.makeQualified(hadoop).toString()
+    scheme, rest = uri.split(":", 1)
+    if scheme == "file" and not rest.startswith("//"):
+        return f"file://{rest}"
+    return f"{'s3' if scheme == 's3a' else scheme}:{rest}"
+
+
 def _listed(name: str, size: int, records: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size]), pa.array([records])],
                                       ["archive", "size", "records"])
@@ -134,6 +148,12 @@ class Member:
     payload: bytes | None
 
 
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Header fields by lower-case name; a line that is none is an error."""
+    pairs = [line.split(":", 1) for line in lines if line]
+    return {name.strip().lower(): value.strip() for name, value in pairs}
+
+
 class Archive:
     """Byte positions of an open archive, read a window at a time."""
 
@@ -180,8 +200,10 @@ class Archive:
                     if head.find(b"\r\n\r\n", seen) < 0:  # a header may be of any length
                         continue
                     top, data = bytes(head).split(b"\r\n\r\n", 1)
-                    fields = dict(line.split(": ", 1) for line in top.decode().split("\r\n")[1:])
-                    left = int(fields["Content-Length"])
+                    fields = _fields(top.decode().split("\r\n")[1:])
+                    left = int(fields["content-length"])
+                    if not fields.get("content-type", "").startswith("application/http"):
+                        http = None
                 data = data[:left]
                 left -= len(data)
                 if http is not None:
@@ -189,9 +211,9 @@ class Archive:
                     if b"\r\n\r\n" not in http:
                         continue
                     top, data = http.split(b"\r\n\r\n", 1)
-                    fields |= {"http-length": line.split(": ", 1)[1]
-                               for line in top.decode("latin-1").split("\r\n")
-                               if line.lower().startswith("content-length: ")}
+                    inner = _fields(top.decode("latin-1").split("\r\n")[1:])
+                    if "content-length" in inner:
+                        fields["http-length"] = inner["content-length"]
                     http = None
                 digest.update(data)
                 length += len(data)
@@ -199,9 +221,11 @@ class Archive:
                     kept += data
         except (zlib.error, ValueError, KeyError):
             return None
-        if fields is None or left:
+        end = at - len(inflate.unused_data)
+        # a member inside the block of a larger record is followed by other bytes of that record
+        if fields is None or left or self.at(end, len(MAGIC)) not in (MAGIC, b""):
             return None
-        return Member(at - len(inflate.unused_data), fields, length, digest.hexdigest(),
+        return Member(end, fields, length, digest.hexdigest(),
                       bytes(kept) if with_payload else None)
 
     def members(self, start: int, end: int, with_payload: bool) -> Iterator[tuple[int, Member]]:
@@ -222,6 +246,8 @@ def read(archives: DataFrame, range_bytes: int = 16 << 20,
     their digest. ``payload`` (null for revisits) comes only if asked for."""
     ranges = archives.select("archive", "size", F.explode(
         F.expr(f"sequence(0L, size - 1, {range_bytes}L)")).alias("start"))
+    # their number is given: the rows are tiny, and adaptive execution would merge them into one task
+    tasks = max(1, min(_TASKS, ranges.count()))
     names = [c.split()[0] for c in RECORDS.split(", ")] + ["payload"] * with_payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,19 +266,23 @@ def read(archives: DataFrame, range_bytes: int = 16 << 20,
                     if rows:
                         yield _batch(rows, names)
 
-    return ranges.repartition("archive", "start").mapInArrow(
+    return ranges.repartition(tasks).mapInArrow(
         run, RECORDS + (", payload binary" if with_payload else ""))
 
 
 def _row(archive: str, pos: int, m: Member, with_payload: bool) -> tuple:
-    kind, head = m.head["WARC-Type"], m.head
-    digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
-    if kind == "response" and (m.digest != digest or m.length != int(head["http-length"])):
+    head = m.head
+    kind = head.get("warc-type", "")
+    named = head.get("warc-payload-digest", "")
+    told = named.removeprefix("sha256:").lower() if named.startswith("sha256:") else None
+    if kind != "revisit" and told is not None and m.digest != told:
         raise ValueError(f"damaged record at {pos} of {archive}")
-    page, refers = head.get("Page-ID"), head.get("Refers-To-Page-ID")
-    row = (page and int(page), int(head["http-length"]), digest, kind, refers and int(refers),
-           head.get("WARC-Target-URI"), archive, pos)
-    return row + ((m.payload if kind == "response" else None,) if with_payload else ())
+    size = int(head.get("http-length", m.length)) if kind == "revisit" else m.length
+    digest = (told or named or None) if kind == "revisit" else m.digest
+    page, refers = head.get("page-id"), head.get("refers-to-page-id")
+    row = (page and int(page), size, digest, kind, refers and int(refers),
+           head.get("warc-target-uri"), archive, pos)
+    return row + ((None if kind == "revisit" else m.payload,) if with_payload else ())
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
