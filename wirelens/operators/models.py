@@ -6,14 +6,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, MultilayerPerceptronClassifier, OneVsRest,
-                                       OneVsRestModel, RandomForestClassifier)
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wirelens.fixed_values import FEATURE_NAMES
+from wirelens.operators import boosting
 from wirelens.operators.scoring import classify
 from wirelens.session import cut_lineage
 
@@ -88,70 +88,65 @@ class AttackClassifier:
     seed: int = 42
     scale: bool = True
 
-    def _estimator(self):
-        if self.boosted:
-            # boosted trees are binary in Spark, hence one model per class
-            base = GBTClassifier(maxIter=self.rounds, maxDepth=self.boost_depth,
-                                 stepSize=self.step, seed=self.seed)
-            return OneVsRest(classifier=base, featuresCol="scaled", labelCol="label_index",
-                             parallelism=4)
-        return RandomForestClassifier(
-            numTrees=self.trees, maxDepth=self.depth, seed=self.seed, weightCol="weight",
-            featuresCol="scaled", labelCol="label_index")
-
     def fit(self, df: DataFrame, label: str = "label", vector: str = "vector"
             ) -> "AttackClassifierModel":
-        """``vector`` is an array<double> column. Boosting takes no class weights, as before."""
+        """``vector`` is an array<double> column. Boosting takes no class weights, as before, and cuts
+        features into quantile bins, which scaling would not change."""
+        if self.boosted:
+            return AttackClassifierModel(boosting.fit(
+                df, label, vector, self.rounds, self.boost_depth, self.step))
         # several passes follow, so the rows are written once instead of being derived each time
         rows = cut_lineage(df.select(F.col(label).alias("label"),
                                      array_to_vector(vector).alias("raw")))
-        if not self.boosted:
-            rows = with_class_weights(rows)
+        rows = with_class_weights(rows)
         scaler = StandardScaler(inputCol="raw", outputCol="scaled",
                                 withMean=self.scale, withStd=self.scale)
         indexer = StringIndexer(inputCol="label", outputCol="label_index",
                                 stringOrderType="alphabetAsc")
-        fitted = Pipeline(stages=[indexer, scaler, self._estimator()]).fit(rows)
-        return AttackClassifierModel(fitted)
+        forest = RandomForestClassifier(
+            numTrees=self.trees, maxDepth=self.depth, seed=self.seed, weightCol="weight",
+            featuresCol="scaled", labelCol="label_index")
+        return AttackClassifierModel(Pipeline(stages=[indexer, scaler, forest]).fit(rows))
 
 
 @dataclass
 class AttackClassifierModel:
-    fitted: PipelineModel
+    fitted: PipelineModel | boosting.BoostedModel
 
     @property
     def classes(self) -> list[str]:
+        if isinstance(self.fitted, boosting.BoostedModel):
+            return self.fitted.classes
         indexer = next(s for s in self.fitted.stages if isinstance(s, StringIndexerModel))
         return list(indexer.labels)
 
     def probabilities(self, df: DataFrame, vector: str = "vector",
                       out: str = "probabilities") -> DataFrame:
-        """Boosted margins are turned into probabilities by a softmax (an approximation)."""
+        if isinstance(self.fitted, boosting.BoostedModel):
+            return self.fitted.probabilities(df, vector, out)
         scored = df.withColumn("raw", array_to_vector(vector))
         for stage in self.fitted.stages[1:]:
             scored = stage.transform(scored)
-        if isinstance(self.fitted.stages[-1], OneVsRestModel):
-            margins = vector_to_array("rawPrediction")
-            top = F.array_max(margins)
-            odds = F.transform(margins, lambda m: F.exp(m - top))
-            total = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
-            probs: Column = F.transform(odds, lambda o: o / total)
-        else:
-            probs = vector_to_array("probability")
         helper = ["raw", "scaled", "rawPrediction", "probability", "prediction"]
-        return scored.withColumn(out, probs).drop(*helper)
+        return scored.withColumn(out, vector_to_array("probability")).drop(*helper)
 
     def transform(self, df: DataFrame, vector: str = "vector") -> DataFrame:
         """E6 on top of the model."""
         return classify(self.probabilities(df, vector), "probabilities", self.classes)
 
     def save(self, path: str) -> None:
-        """The class list travels inside the label indexer."""
-        self.fitted.write().overwrite().save(path)
+        """The class list travels inside the label indexer or the boosted model."""
+        if isinstance(self.fitted, boosting.BoostedModel):
+            self.fitted.save(SparkSession.active(), path)
+        else:
+            self.fitted.write().overwrite().save(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "AttackClassifierModel":
-        return AttackClassifierModel(PipelineModel.load(path))
+        stages = spark._jvm.org.apache.hadoop.fs.Path(path, "stages")
+        if stages.getFileSystem(spark._jsc.hadoopConfiguration()).exists(stages):
+            return AttackClassifierModel(PipelineModel.load(path))
+        return AttackClassifierModel(boosting.BoostedModel.load(spark, path))
 
 
 def fit_sequence_classifier(windows: DataFrame, width: int, length: int = 10, rounds: int = 10,

@@ -340,14 +340,10 @@ def rf_attack_classes(s, d):
 
 def gbt_attack_classes(s, d):
     df = labelled_features(s, d)
-    model = models.AttackClassifier(boosted=True, rounds=GBT_QUERY_ROUNDS, boost_depth=4).fit(df)
+    model = models.AttackClassifier(boosted=True).fit(df)
     return model.transform(df).select(*KEY, "flow_no", "attack_type", "confidence", "class_index")
 
 
-# rounds of the boosting query; the operator's own default is 200
-GBT_QUERY_ROUNDS = 5
-
-
 def sequence_classifier(s, d):
     rows = labelled_features(s, d)
     windows = sequence.sequence_windows(rows, "last_us", "id", "vector", "label",
