@@ -17,7 +17,7 @@ from wirelens.sources import trace
 DATA = "/root/testdata/sf0.001"
 # fits of models have no SQL counterpart
 UNTIED = Settings(combine_ties=False)
-ROWS_ONLY = {"isolation_forest_scores", "rf_attack_classes", "gbt_attack_classes",
+ROWS_ONLY = {"isolation_forest_scores", "rf_attack_classes", "gbt_attack_classes", "training_report",
              "sequence_classifier", "score_flows"}
 
 

@@ -165,6 +165,41 @@ def test_classifier_split_and_report(spark, tmp_path):
             sorted(map(str, model.transform(split).select("id", "attack_type").collect()))
 
 
+@pytest.mark.parametrize("ranked", [100_000, 3])
+def test_stratified_split_is_exact_and_moves_no_rows(spark, monkeypatch, ranked):
+    monkeypatch.setattr(models, "_RANKED", ranked)
+    df = spark.range(20_000).selectExpr(
+        "id", "CASE WHEN id % 500 = 0 THEN NULL WHEN id % 7 = 0 THEN 'x' WHEN id = 3 THEN 'one' "
+        "ELSE 'BENIGN' END AS label")
+    split = models.stratified_split(df, "label", "id")
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    sizes = {r.label: (r.t, r.n) for r in split.groupBy("label").agg(
+        F.count_if("is_train").alias("t"), F.count("*").alias("n")).collect()}
+    assert sizes == {k: (int(n * 0.8 + 0.5), n) for k, (_, n) in sizes.items()} and len(sizes) == 4
+    first = {r.id for r in split.where("is_train").collect()}
+    again = models.stratified_split(df.repartition(7), "label", "id")
+    assert first == {r.id for r in again.where("is_train").collect()}
+    other = models.stratified_split(df, "label", "id", seed=1).where("is_train").collect()
+    assert first != {r.id for r in other}
+
+
+def test_training_report_is_of_rows_the_model_has_not_seen(spark):
+    from wirelens.plans.scoring_job import training_report
+
+    # labels that follow from the vector, but for noise that only a model shown the row could know
+    df = spark.range(600).selectExpr(
+        "id", "array(double(id % 3), double(id)) AS vector",
+        "IF(xxhash64(id) % 10 = 0, 'noise', concat('k', id % 3)) AS label")
+    model, report = training_report(df, "id", "vector", classifier=models.AttackClassifier(40, 5))
+    rows = {r["class"]: r for r in report.collect()}
+    held = df.groupBy("label").count().collect()
+    for r in held:
+        assert rows[r.label].support == r["count"] - int(r["count"] * 0.8 + 0.5)
+    assert model.classes == sorted(r.label for r in held)
+    assert rows["k1"].recall > 0.9 and rows["noise"].recall < 0.3
+
+
 def test_score_flows_end_to_end(spark, tmp_path):
     from wirelens.operators.features import feature_array, flow_features
     from wirelens.plans.catalog import stand_in_scores

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wirelens.fixed_values import FEATURE_NAMES
 from wirelens.operators import boosting
+from wirelens.operators.ordered import null_safe_join
 from wirelens.operators.scoring import classify
 from wirelens.session import cut_lineage
 
@@ -33,7 +34,9 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    return df.join(class_weights(df, label).select(label, F.col("weight").alias(out)), label)
+    """One row per class goes to every task, so that a dominant class is not shuffled."""
+    weights = class_weights(df, label).select(label, F.col("weight").alias(out))
+    return df.join(F.broadcast(weights), label)
 
 
 def scaling_stats(df: DataFrame, columns: Sequence[str] = FEATURE_NAMES) -> DataFrame:
@@ -45,34 +48,60 @@ def scaling_stats(df: DataFrame, columns: Sequence[str] = FEATURE_NAMES) -> Data
     return stats.select(F.inline(rows))
 
 
+# rows of a class among which the last row of its training part is found by ranking
+_RANKED = 100_000
+_CELL_BITS = 12
+
+
+def split_cuts(df: DataFrame, label: str, row_id: str, train_share: float, seed: int) -> DataFrame:
+    """(label, _quota, _cut_h, _cut_id): the last training row of each class in the order of hash and
+    id. The hash range that holds it is narrowed by counts per cell, one pass per 12 bits, until few rows
+    are left to rank."""
+    hashed = df.select(F.col(label).alias("_label"), F.col(row_id).alias("_id"),
+                       F.xxhash64(F.col(row_id), F.lit(seed)).alias("_h"))
+    # unsigned order by the top bits first; one row per class
+    state = cut_lineage(hashed.groupBy("_label").agg(F.count(F.lit(1)).alias("_held")).select(
+        "_label", "_held", F.floor(F.col("_held") * train_share + 0.5).alias("_left"),
+        F.floor(F.col("_held") * train_share + 0.5).alias("_quota"), F.lit(0).cast("long").alias("_prefix")))
+    shift = 64
+    while True:
+        inside = null_safe_join(hashed, F.broadcast(state), ["_label"]).where("_left > 0")
+        if shift < 64:
+            inside = inside.where(F.shiftrightunsigned("_h", shift) == F.col("_prefix"))
+        if shift < _CELL_BITS or (state.agg(F.max("_held")).first()[0] or 0) <= _RANKED:
+            break
+        shift -= _CELL_BITS
+        cells = inside.groupBy("_label", "_left", "_quota", F.shiftrightunsigned("_h", shift)
+                               .alias("_prefix")).agg(F.count(F.lit(1)).alias("_held"))
+        upto = F.sum("_held").over(Window.partitionBy("_label").orderBy("_prefix"))
+        state = cut_lineage(cells.withColumn("_upto", upto).where(
+            (F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_held") < F.col("_left")))
+            .select("_label", "_held", (F.col("_left") - F.col("_upto") + F.col("_held")).alias("_left"),
+                    "_quota", "_prefix"))
+    rank = F.row_number().over(Window.partitionBy("_label").orderBy(_unsigned("_h"), "_id"))
+    return cut_lineage(inside.withColumn("_rank", rank).where("_rank = _left").select(
+        "_label", _unsigned("_h").alias("_cut_h"), F.col("_id").alias("_cut_id")))
+
+
+def _unsigned(h: str) -> Column:
+    """A 64-bit hash in its unsigned order."""
+    return F.col(h).bitwiseXOR(F.lit(-(2 ** 63)))
+
+
 def stratified_split(df: DataFrame, label: str, row_id: str, train_share: float = 0.8,
                      seed: int = 42) -> DataFrame:
     """Add ``is_train``, exactly round(share * n) rows of every class.
 
-    Rows are ordered by a hash within their class. Hash cells are counted first; only the one cell
-    per class that straddles the cut is ranked, so a dominant class is never sorted as a whole.
+    Rows are ordered by a hash of ``row_id``, which must be unique, within their class. Only the cut of
+    each class is worked out beforehand; the split itself compares each row with one row per class
+    and moves none. A null label is a class of its own.
     """
-    cells = 4096
-    hashed = df.withColumn("_h", F.xxhash64(F.col(row_id), F.lit(seed))) \
-        .withColumn("_cell", F.pmod(F.col("_h"), F.lit(cells)).cast("int"))
-    counts = hashed.groupBy(label, "_cell").agg(F.count(F.lit(1)).alias("_c"))
-    by_class = Window.partitionBy(label)
-    upto = by_class.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    quota = F.floor(F.sum("_c").over(by_class) * train_share + 0.5)
-    cut = (counts.select(label, "_cell", "_c", F.sum("_c").over(upto).alias("_upto"),
-                         quota.alias("_quota"))
-           .filter((F.col("_upto") >= F.col("_quota"))
-                   & (F.col("_upto") - F.col("_c") < F.col("_quota")))
-           .select(label, F.col("_cell").alias("_cut"),
-                   (F.col("_quota") - F.col("_upto") + F.col("_c")).alias("_left")))
-    placed = hashed.join(cut, label, "left")
-    clear = placed.filter(F.col("_cut").isNull() | (F.col("_cell") != F.col("_cut"))).withColumn(
-        "is_train", F.coalesce(F.col("_cell") < F.col("_cut"), F.lit(False)))
-    rank = F.row_number().over(Window.partitionBy(label, "_cell").orderBy("_h", row_id))
-    straddling = placed.filter(F.col("_cell") == F.col("_cut")) \
-        .withColumn("_rank", rank).withColumn("is_train", F.col("_rank") <= F.col("_left"))
-    cols = [*df.columns, "is_train"]
-    return clear.select(*cols).unionByName(straddling.select(*cols))
+    cuts = split_cuts(df, label, row_id, train_share, seed)
+    rows = df.withColumns({"_label": F.col(label), "_h": F.xxhash64(F.col(row_id), F.lit(seed))})
+    h, cut = _unsigned("_h"), F.col("_cut_h")
+    chosen = (h < cut) | ((h == cut) & (F.col(row_id) <= F.col("_cut_id")))
+    return (null_safe_join(rows, F.broadcast(cuts), ["_label"], "left")
+            .select(*df.columns, F.coalesce(chosen, F.lit(False)).alias("is_train")))
 
 
 @dataclass

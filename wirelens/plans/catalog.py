@@ -344,6 +344,11 @@ def gbt_attack_classes(s, d):
     return model.transform(df).select(*KEY, "flow_no", "attack_type", "confidence", "class_index")
 
 
+def training_report(s, d):
+    _, report = scoring_job.training_report(labelled_features(s, d), "id", "vector")
+    return report
+
+
 def sequence_classifier(s, d):
     rows = labelled_features(s, d)
     windows = sequence.sequence_windows(rows, "last_us", "id", "vector", "label",
@@ -620,6 +625,7 @@ QUERIES: dict[str, Query] = {
     "isolation_forest_scores": isolation_forest_scores,
     "rf_attack_classes": rf_attack_classes,
     "gbt_attack_classes": gbt_attack_classes,
+    "training_report": training_report,
     "sequence_classifier": sequence_classifier,
     "stratified_split": stratified_split,
     "score_flows": score_flows,

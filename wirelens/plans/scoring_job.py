@@ -12,7 +12,8 @@ from wirelens.config import DEFAULTS, Settings
 from wirelens.operators.features import feature_array, feature_struct, flow_features
 from wirelens.operators.iforest import IsolationForest, IsolationForestModel
 from wirelens.operators.inspect import inspection
-from wirelens.operators.models import AttackClassifier, AttackClassifierModel
+from wirelens.operators.models import (AttackClassifier, AttackClassifierModel,
+                                       classification_report, stratified_split)
 from wirelens.operators.scoring import threat_score
 from wirelens.operators.sequence import sequence_score
 from wirelens.schemas import FLOWS
@@ -42,6 +43,18 @@ def train(labelled: DataFrame, row_id: str, vector: str, label: str = "label",
                   (classifier or AttackClassifier()).fit(labelled, label, vector))
 
 
+def training_report(labelled: DataFrame, row_id: str, vector: str, label: str = "label",
+                    classifier: AttackClassifier | None = None, train_share: float = 0.8, seed: int = 42
+                    ) -> tuple[AttackClassifierModel, DataFrame]:
+    """The training job: split every class exactly, fit on the training part (class weights, label codes
+    and scaling are learned from it alone), and report on the rest."""
+    split = cut_lineage(stratified_split(labelled.select(row_id, vector, label), label, row_id,
+                                         train_share, seed))
+    model = (classifier or AttackClassifier()).fit(split.where("is_train"), label, vector)
+    judged = model.transform(split.where("NOT is_train"), vector)
+    return model, classification_report(judged, label, "attack_type")
+
+
 def score_features(features: DataFrame, models: Models, cfg: Settings = DEFAULTS,
                    history: Sequence[str] = ("src_ip",), materialise: bool = False
                    ) -> DataFrame:
