@@ -15,12 +15,6 @@ from wirelens.llm import packing, pii, quality, scratch, simhash, toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-# SimHash distance within which the dedup stage looks for links; the operator's query takes 2
-NEAR_BITS = 5
-# a link holds if the five-word shingle sets have this Jaccard similarity, in per cent
-NEAR_WIDTH, NEAR_PERCENT = 5, 80
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the machine, trained on the labelled ones, predicts to be toxic go."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -33,9 +27,9 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked texts one stays, that of the least id. Links are checked on the
-    shingle sets."""
-    return simhash.similar_representatives(docs, NEAR_WIDTH, NEAR_BITS, NEAR_PERCENT)
+    """Of every group of linked texts one stays, that of the least id. Shingle length and distance are
+    those of the operator's contract."""
+    return simhash.representatives(docs, width=3, max_bits=2)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
