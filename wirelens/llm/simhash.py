@@ -194,185 +194,3 @@ def _one_each(rows: DataFrame, merged: DataFrame, key: str) -> DataFrame:
     once = rows.join(merged.where("again is null"), key).where(least)
     more = rows.join(merged.where("again"), key).where(least).dropDuplicates(["root"])
     return once.unionByName(more).select("row.*")
-
-
-def shingles(text: bytes, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the ``width``-word shingles; a shorter text is one shingle."""
-    found, carry = [], []
-    for words in word_blocks(text.lower()):
-        words = carry + words
-        found.append(np.fromiter(
-            (xxhash.xxh64_intdigest(b" ".join(words[i:i + width]), SEED)
-             for i in range(len(words) - width + 1)), "uint64"))
-        carry = words[max(0, len(words) - width + 1):]
-    out = np.unique(np.concatenate(found)) if found else np.empty(0, "uint64")
-    if not out.size and carry:
-        out = np.array([xxhash.xxh64_intdigest(b" ".join(carry), SEED)], "uint64")
-    return out
-
-
-def shingled(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, n, same, row) of every row: fingerprint, number and digest of its shingle set."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                fps, sizes, same = [], [], []
-                for t in batch.column(1):
-                    text = (t.as_py() or "").encode()
-                    held = shingles(text, width)
-                    fps.append(fingerprint(text, width))
-                    sizes.append(held.size)
-                    same.append(xxhash.xxh3_128_digest(held.tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.array(fps, "uint64").view("int64")),
-                     pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), batch.column(2)],
-                    ["id", "fp", "n", "same", "row"])
-
-    inner = docs.select(F.col(id_col).cast("long").alias("id"),
-                        F.col(text_col).cast("string").alias("t"),
-                        F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return inner.mapInArrow(run, "id long, fp long, n long, same binary, "
-                                 f"row {inner.schema['row'].dataType.simpleString()}")
-
-
-def candidates(nodes: DataFrame, max_bits: int, percent: int, every: bool) -> DataFrame:
-    """(u, v): pairs of ``nodes`` (node, fp, n, label) of different labels within ``max_bits`` bits
-    whose sizes allow the similarity. A list hands on a spanning forest of them, from its middle
-    outwards, or ``every`` pair."""
-    kept = 8 - max_bits
-    choices = list(itertools.combinations(range(8), kept))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scale = (256 ** np.arange(kept)).astype("int64")
-        for batch in batches:
-            fp = batch.column(1).to_numpy(zero_copy_only=False)
-            cells = fp.view("uint8").reshape(-1, 8).astype("int64")
-            for n, choice in enumerate(choices):
-                key = cells[:, choice] @ scale + (n << (8 * kept))
-                yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns],
-                                                 ["key", "node", "fp", "n", "label"])
-
-    def near(part: np.ndarray, at: np.ndarray) -> np.ndarray:
-        size = part[2]
-        return ((np.bitwise_count(part[1] ^ at[1]) <= max_bits) & (part[3] != at[3])
-                & (100 * np.minimum(size, at[2]) >= percent * np.maximum(size, at[2])))
-
-    def spanning(part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        bits = np.unpackbits(part[1].view("uint8").reshape(-1, 8), axis=1)
-        middle = np.packbits(2 * bits.sum(0, dtype="int64") > len(bits)).view("int64")[0]
-        rest = part[:, np.bitwise_count(part[1] ^ middle).argsort(kind="stable")]
-        while rest.shape[1] > 1:
-            queue, rest = [rest[:, 0]], rest[:, 1:]
-            while queue and rest.shape[1]:
-                at = queue.pop(0)
-                hit = near(rest, at)
-                if hit.any():
-                    found, rest = rest[:, hit], rest[:, ~hit]
-                    yield found[0], np.full(found.shape[1], at[0])
-                    queue.extend(found.T)
-
-    def pairs(part: np.ndarray, choice: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        upto = choice[-1] + 1
-        for i in range(part.shape[1] - 1):
-            at, rest = part[:, i], part[:, i + 1:]
-            rest = rest[:, near(rest, at)]
-            # a pair is handed on by the first list it shares only
-            apart = np.ascontiguousarray(rest[1] ^ at[1]).view("uint8").reshape(-1, 8)
-            rest = rest[:, (apart[:, :upto] == 0).sum(1) == kept]
-            if rest.shape[1]:
-                yield rest[0], np.full(rest.shape[1], at[0])
-
-    def lists(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edges = np.flatnonzero(np.diff(keys)) + 1
-        us, vs, held = [], [], 0
-        for at, to in zip(np.r_[0, edges], np.r_[edges, keys.size], strict=True):
-            if to - at < 2:
-                continue
-            part = np.ascontiguousarray(rows[:, at:to])
-            for u, v in (pairs(part, choices[keys[at] >> (8 * kept)]) if every
-                         else spanning(part)):
-                us.append(u)
-                vs.append(v)
-                held += u.size
-                if held >= 1 << 16:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-                    us, vs, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rows = np.empty(0, "int64"), np.empty((4, 0), "int64")
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            keys, rows = np.r_[keys, columns[0]], np.c_[rows, np.stack(columns[1:])]
-            open_at = int(np.searchsorted(keys, keys[-1]))  # this list may go on in the next batch
-            if open_at:
-                yield from lists(keys[:open_at], rows[:, :open_at])
-                keys, rows = keys[open_at:], rows[:, open_at:]
-        if keys.size:
-            yield from lists(keys, rows)
-
-    dealt = nodes.select("node", "fp", "n", "label").mapInArrow(
-        deal, "key long, node long, fp long, n long, label long")
-    found = dealt.repartition("key").sortWithinPartitions("key", "fp", "node").mapInArrow(
-        scan, "u long, v long")
-    return scratch.table(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-                         .distinct(), "candidates")
-
-
-def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (u, v) whose ``sets`` (node, grams) have a Jaccard similarity of ``percent``."""
-    both = (pairs.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u")
-            .join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v"))
-    shared = F.size(F.array_intersect("a", "b"))
-    return scratch.table(both.where((100 + percent) * shared >= percent * (F.size("a") + F.size("b")))
-                         .select("u", "v"), "alike")
-
-
-def similar_representatives(docs: DataFrame, width: int = 5, max_bits: int = 5, percent: int = 80,
-                            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Like ``representatives``, but a link holds only if the shingle sets of the two texts have a
-    Jaccard similarity of at least ``percent``; equal sets are one node.
-
-    The forest of each list is checked first. What it leaves apart inside a group of bit links is
-    then checked pair by pair, so no link of the lists goes unchecked unless its ends are joined."""
-    rows = scratch.table(shingled(docs, width, id_col, text_col), "rows")
-    nodes = scratch.table(
-        rows.groupBy("same").agg(F.min("id").alias("first"), F.first("fp").alias("fp"),
-                                 F.first("n").alias("n"))
-        .withColumn("node", F.monotonically_increasing_id()), "nodes")
-    tree = candidates(nodes.withColumn("label", F.col("node")), max_bits, percent, False)
-    met = scratch.table(components(tree), "met")
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                held = [shingles((t.as_py() or "").encode(), width).view("int64")
-                        for t in batch.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(held, pa.list_(pa.int64()))], ["node", "grams"])
-
-    asked = scratch.table(nodes.join(met.select("node"), "node").select("node", "same", "first"),
-                          "asked")
-    texts = (rows.select("id", "same", F.col("row")[text_col].cast("string").alias("t"))
-             .join(asked, "same").where(F.col("id").eqNullSafe(F.col("first"))).select("node", "t"))
-    sets = scratch.table(texts.mapInArrow(grams, "node long, grams array<long>")
-                         .groupBy("node").agg(F.first("grams").alias("grams")), "sets")
-    sure = alike(tree, sets, percent)
-    joined = components(sure).withColumnRenamed("root", "label")
-    labelled = scratch.table(
-        met.join(joined, "node", "left").select("node", F.col("root").alias("group"),
-                                                F.coalesce("label", "node").alias("label")),
-        "labelled")
-    torn = (labelled.groupBy("group").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-            .where("a <> b").select("group"))
-    left = nodes.select("node", "fp", "n").join(labelled.join(torn, "group"), "node")
-    rest = candidates(left, max_bits, percent, True).join(tree, ["u", "v"], "left_anti")
-    sure = sure.unionByName(alike(rest, sets, percent))
-    return _one_each(rows, _merged(nodes, sure, "node", "same"), "same")
