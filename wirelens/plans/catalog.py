@@ -128,10 +128,7 @@ def _flow_query(mode: str, bidirectional: bool = False) -> Query:
 
 def flows_bidirectional(s, d):
     feats = ft.flow_features(packets(s, d), "tumbling", bidirectional=True)
-    return feats.select(
-        *_FLOW, "total_fwd_packets", "total_bwd_packets", "total_fwd_bytes", "total_bwd_bytes",
-        "down_up_ratio", *[round_half_up(F.col(c), 6).alias(c) for c in
-                           ("fwd_iat_mean", "bwd_iat_mean", "fwd_iat_std", "bwd_iat_std")])
+    return feats.select(*_FLOW, *_rounded_features(feats))
 
 
 def flow_packet_sample(s, d):
@@ -268,9 +265,11 @@ def sequence_score_query(s, d):
 def sequence_score_global(s, d):
     feats = ft.flow_features(packets(s, d))
     tie = F.concat_ws("|", *KEY).alias("k")
-    out = sequence.sequence_score(feats.withColumn("k", tie), keys=(), tie="k")
+    spread = sequence.with_spread(feats.withColumn("k", tie), "v")
+    out = sequence.sequence_score(spread, keys=(), tie="k", variance="v")
+    # nearly all scores are capped at 1, so the spread itself is compared too
     return out.select(*KEY, "flow_no", round_half_up(F.col("sequence_score"), 6)
-                      .alias("sequence_score"))
+                      .alias("sequence_score"), round_half_up(F.log10(1 + F.col("v")), 6).alias("spread"))
 
 
 def sequence_windows(s, d):

@@ -459,10 +459,6 @@ ru AS (SELECT class, precision, recall, f1, support FROM rm
   UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support),
     sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM rm)"""
 
-_BIDIR_COLS = {
-    "total_fwd_packets": 0, "total_bwd_packets": 0, "total_fwd_bytes": 0, "total_bwd_bytes": 0,
-    "down_up_ratio": 0, "fwd_iat_mean": 6, "bwd_iat_mean": 6, "fwd_iat_std": 6, "bwd_iat_std": 6,
-}
 _SAMPLE = f"""{PACKETS}, {_GROUP["tumbling"]},
 sr AS (SELECT *, row_number() OVER (PARTITION BY {KEY}, flow_no ORDER BY ts_us, packet_id) AS rn,
          count(*) OVER (PARTITION BY {KEY}, flow_no) AS flow_packets FROM p0)"""
@@ -479,8 +475,7 @@ FROM events""",
     **{f"flows_{m}": f"WITH {flows(m)} SELECT {FLOW_COLS} FROM f"
        for m in ("whole", "tumbling", "session")},
     "flows_bidirectional": f"""WITH {feature_ctes("tumbling", True)} SELECT {FLOW_COLS}, {", ".join(
-        f"{rnd(feature(n, False), d) if d else feature(n, False)} AS {n}"
-        for n, d in _BIDIR_COLS.items())} FROM fb""",
+        f"{feature(n)} AS {n}" for n in FEATURE_NAMES)} FROM fb""",
     "flow_packet_sample": f"""WITH {_SAMPLE} SELECT {KEY}, flow_no, flow_packets,
   flow_packets > 15 AS packets_sample_truncated, CAST(rn - 1 AS INT) AS pos, packet_id, length
 FROM sr WHERE flow_packets >= 2 AND rn <= 15""",
@@ -536,7 +531,8 @@ SELECT {KEY}, flow_no, predicted, {", ".join(
     "sequence_score_global": f"""WITH {features("tumbling", False)},
 tk AS (SELECT *, concat_ws('|', {KEY}) AS k, CAST(timestamp * 1e6 AS BIGINT) AS t FROM ft),
 vm AS (SELECT *, {_MEAN} AS m FROM tk), vv AS (SELECT *, {_VAR} AS v FROM vm)
-SELECT {KEY}, flow_no, {seq_score("v", "", "t, k")} AS sequence_score FROM vv""",
+SELECT {KEY}, flow_no, {seq_score("v", "", "t, k")} AS sequence_score,
+  {rnd("log10(1 + v)", 6)} AS spread FROM vv""",
     "sequence_windows": f"""WITH {flows("tumbling")}, {STAND_IN},
 o AS (SELECT *, row_number() OVER (ORDER BY last_us, concat_ws('|', {KEY})) - 1 AS start FROM si),
 w AS (SELECT start, last_us,
