@@ -178,3 +178,20 @@ def test_vector(make):
     assert len(v) == 55 and v[1] == 2.0
     a = one(ft.flow_features(make(packet(0), packet(1))).select(ft.feature_array().alias("a"))).a
     assert list(v) == a
+
+
+def test_packet_sample_limits_packets_before_the_join(spark):
+    """Every plan path from the packets to the join of samples and flow numbers is ranked or summed."""
+    packets = spark.createDataFrame(
+        [(i, i * 1000, "a", "b", 1, 2, "TCP") for i in range(3000)] + [
+            (9000 + i, 50 + i, "c", "b", 1, 2, "TCP") for i in range(3)],
+        "packet_id long, ts_us long, src_ip string, dst_ip string, src_port int, dst_port int, "
+        "protocol string").selectExpr("*", "ts_us / 1e6 AS timestamp", "10 AS length", "'S' AS flags",
+                                      "0d AS payload_entropy")
+    out = fl.sample_packets(packets)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 4  # before and after the shuffle, for slots and flows
+    rows = {r.src_ip: r for r in out.collect()}
+    assert [p.packet_id for p in rows["a"].packets_sample] == list(range(15))
+    assert rows["a"].flow_packets == 3000 and rows["a"].packets_sample_truncated
+    assert len(rows["c"].packets_sample) == 3 and not rows["c"].packets_sample_truncated

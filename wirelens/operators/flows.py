@@ -240,14 +240,19 @@ def sample_packets(packets: DataFrame, mode: str = "tumbling", cfg: Settings = D
                    ) -> DataFrame:
     """Per flow the first packets as an array, and whether more followed.
 
-    The rank filter is applied on each map task before the shuffle, and only ranked rows are
-    collected, so an array never exceeds the sample size.
+    The first packets of a flow are among the first of its slots, so each slot keeps no more than the
+    sample size; Spark applies that limit on each map task before the shuffle. Only these packets meet
+    the flow numbers and are ranked again per flow, so neither the join nor an array grows with a flow.
     """
-    linked = link_packets(packets, mode, cfg)
     size = cfg.packet_sample_size
+    order = ["ts_us", "packet_id"]
+    slotted = packets.withColumn(SLOT, slot_start("ts_us", cfg.slot_s * _US))
+    in_slot = F.row_number().over(Window.partitionBy(*FLOW_KEY, SLOT).orderBy(*order))
+    first = slotted.withColumn("_rank", in_slot).filter(F.col("_rank") <= size).drop("_rank")
+    slots = flow_slots(packets, mode, cfg).withColumn("flow_id", F.xxhash64(*FLOW_KEY, FLOW_NO))
+    linked = null_safe_join(first, slots, [*FLOW_KEY, SLOT]).drop(SLOT)
     # by the flow's whole key: ids of 64 bits may meet among very many flows
-    rank = F.row_number().over(
-        Window.partitionBy(*FLOW_KEY, FLOW_NO).orderBy("ts_us", "packet_id"))
+    rank = F.row_number().over(Window.partitionBy(*FLOW_KEY, FLOW_NO).orderBy(*order))
     fields = ["ts_us", "packet_id", "timestamp", "length", "flags", "payload_entropy"]
     return (linked.withColumn("_rank", rank).filter(F.col("_rank") <= size)
             .groupBy("flow_id", *FLOW_KEY, FLOW_NO, "flow_packets")
