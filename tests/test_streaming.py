@@ -10,6 +10,7 @@ from wirelens.config import Settings
 from wirelens.fixed_values import FEATURE_NAMES
 from wirelens.operators import features as ft
 from wirelens.operators.alerts import l3_alerts
+from wirelens.operators.flows import assemble_flows
 from wirelens.operators.scoring import threat_score
 from wirelens.operators.sequence import sequence_score
 from wirelens.plans.catalog import stand_in_scores
@@ -114,7 +115,28 @@ def test_recent_means():
         assert np.allclose(got, want, rtol=0, atol=1e-15)
 
 
-def test_sessions_and_rates(spark, packet_files, tmp_path):
+def test_sessions_have_the_numbers_of_the_batch_job(spark, tmp_path, keyed_state):
+    """Several sessions per 5-tuple, gaps of exactly the timeout, single packets, several batches."""
+    rng, rows, at = random.Random(3), [], {}
+    for i in range(240):
+        key = rng.choice("abc")
+        at[key] = at.get(key, 0) + rng.choice([1, 2, 5_000_000, 5_000_000, 5_000_001, 9_000_000])
+        rows.append(dict(dict.fromkeys(PACKETS.fieldNames()), packet_id=i, ts_us=at[key],
+                         timestamp=at[key] / 1e6, src_ip=key, dst_ip="z", src_port=1, dst_port=2,
+                         protocol="TCP", length=10, flags="S", payload_entropy=0.0))
+    df = spark.createDataFrame([tuple(r[f] for f in PACKETS.fieldNames()) for r in rows], PACKETS)
+    path, cfg = str(tmp_path / "packets"), Settings(flow_timeout_s=5, slot_s=5)
+    in_files(df, path, 3, PACKETS)
+    stream = sf.stream_session_flows(source(spark, path), cfg, "1 second")
+    run(stream.writeStream.outputMode("append").format("memory").queryName("numbered_out")
+        .option("checkpointLocation", str(tmp_path / "cp")))
+    cols = ["id", "src_ip", "flow_no", "first_us", "last_us", "packet_count", "total_bytes"]
+    got = sorted(map(str, spark.table("numbered_out").select(cols).collect()))
+    want = assemble_flows(df, "session", cfg=cfg).select(cols).collect()
+    assert got == sorted(map(str, want)) and max(r.flow_no for r in want) > 5
+
+
+def test_sessions_and_rates(spark, packet_files, tmp_path, keyed_state):
     packets, path = packet_files
     run(sf.stream_session_flows(source(spark, path)).writeStream.outputMode("append")
         .format("memory").queryName("sessions_out")

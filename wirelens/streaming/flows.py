@@ -8,11 +8,12 @@ struct per slot of a window. Results equal the batch job in ``tumbling`` mode.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from wirelens.config import DEFAULTS, Settings
 from wirelens.operators.features import duration, features_of
@@ -82,16 +83,45 @@ def stream_flow_features(packets: DataFrame, cfg: Settings = DEFAULTS,
 
 def stream_session_flows(packets: DataFrame, cfg: Settings = DEFAULTS,
                          watermark: str = WATERMARK) -> DataFrame:
-    """B4 on a stream: flow records per session. A gap of exactly the timeout splits here, because
-    session windows are half-open; the batch job splits on longer gaps only."""
+    """B4 on a stream: flow records per session, with the numbers and ids of the batch job.
+
+    Sessions of a 5-tuple leave the window operator in order of time; how many there were, those below
+    the packet limit included, is keyed state. It needs the RocksDB state store
+    (``history.use_keyed_state``).
+    """
+    # sessions that touch are merged, so only gaps longer than the timeout split, as in the batch job
     session = F.session_window("ts", f"{cfg.flow_timeout_s} seconds").alias("session")
     sums = with_event_time(packets, watermark).groupBy(*FLOW_KEY, session).agg(
         F.count(F.lit(1)).alias("packet_count"),
         F.sum(F.col("length").cast("long")).alias("total_bytes"),
-        F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
-    return sums.filter(F.col("packet_count") >= cfg.min_flow_packets).select(
-        F.expr(f"first_us AS {FLOW_NO}"), *FLOW_KEY, "first_us", "last_us", "packet_count",
-        "total_bytes", duration().alias("duration")).select(flow_id(), "*")
+        F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us")).drop("session")
+    numbered = sums.select(
+        F.to_json(F.struct(*FLOW_KEY)).alias("key"), F.col("first_us").alias("at"),
+        F.to_json(F.struct(*sums.columns)).alias("row")).groupBy("key").transformWithStateInPandas(
+        SessionNumbers(), "row string, number long", "Append", "None")
+    return (numbered.select(F.from_json("row", sums.schema).alias("r"), F.col("number").alias(FLOW_NO))
+            .select("r.*", FLOW_NO).filter(F.col("packet_count") >= cfg.min_flow_packets)
+            .select(flow_id(), FLOW_NO, *FLOW_KEY, "first_us", "last_us", "packet_count",
+                    "total_bytes", duration().alias("duration")))
+
+
+class SessionNumbers(StatefulProcessor):
+    """Rows (key, at, row) -> (row, number): their place among all rows of the key, by time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.following = handle.getValueState("following", "number long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
+                        ) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True).sort_values("at", kind="stable")
+        held = self.following.get()
+        first = held[0] if held is not None else 0
+        self.following.update((first + len(frame),))
+        yield pd.DataFrame({"row": frame["row"].to_numpy(),
+                            "number": range(first, first + len(frame))})
+
+    def close(self) -> None:
+        pass
 
 
 def stream_rates(packets: DataFrame, watermark: str = WATERMARK) -> DataFrame:
