@@ -12,7 +12,8 @@ block meets every shard once, and each meeting keeps a query's best only.
 
 Nulls: vectors that are null or zero or hold null, infinite or undefined components take no part, nor
 do vectors of another length than the most frequent one (of several, the longest). Null ids take no
-part. A repeated row is one candidate and one query. No valid vectors, no rows.
+part. A repeated row is one candidate and one query. No valid vectors, no rows. Columns other than id and
+vector are not read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ tell of a layout (``has-sidebar``) and ids of headings and paragraphs are no suc
 
 Nulls: a null html is an empty page. A page without any word outside such elements gives the empty
 string; of equally good regions the first and longest is taken. Repeated rows stay repeated; an empty table gives
-an empty result. Unclosed tags, comments and attributes end with the page.
+an empty result. Unclosed tags, comments and attributes end with the page. A very long page is read whole;
+its tags and runs of words are held at once. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ as they stand and rewritten into forms that the patterns miss, against the rest
 against numbers that are no personal data. A predicted span is added where it overlaps no pattern's
 span and its score is at least ``MARGIN`` above staying outside.
 
-Nulls: a null text is an empty text without spans. Repeated rows stay repeated; an empty table gives
+Nulls: a null text is an empty text without spans. A very long text is read whole (the bounds above are
+of the fit only); masking replaces the text column alone. Repeated rows stay repeated; an empty table gives
 an empty result; a table without personal data trains no field, and only the patterns count.
 """
 

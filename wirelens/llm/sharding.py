@@ -8,7 +8,8 @@ lies in shard ``p mod shards`` at slot ``p div shards``: counts differ by one at
 
 Nulls: a null text counts no bytes and has the checksum of the empty text; null ids are numbered like
 any value. Identical rows are counted first and numbered together, so they cannot make one task hot.
-An empty table gives an empty result. Other columns are not read.
+An empty table gives an empty result. A very long text is read whole for its size and checksum, and only
+these move. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

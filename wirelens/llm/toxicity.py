@@ -10,7 +10,8 @@ gradients on a bounded sample of labelled texts, those with the least hashes of
 Nulls: a null text is an empty text; it gets the score of the bias. A null id hashes like the empty
 text, so it is held out. Null labels are not labels; of several labels of one id, and of several texts
 of one id, the largest label and the least text are learned from. Repeated rows stay repeated. An
-empty table gives an empty result; without labels of both kinds every score is the share of toxic
+empty table gives an empty result; a very long text is read whole, in blocks; columns to keep travel in one
+struct, so that none can clash; without labels of both kinds every score is the share of toxic
 labels, or zero.
 """
 
