@@ -3,7 +3,9 @@
 import collections
 import gzip
 import hashlib
+import itertools
 import math
+import random
 import re
 import zlib
 
@@ -249,8 +251,22 @@ def test_bpe_equals_the_tokenizer(spark):
         assert [i for run in coder.encode(text) for i in run] == exact.encode_ordinary(text)
 
 
-def test_packing(spark):
-    for lengths in ([], [1], [4096] * 3, [513, 511, 1, 2000, 2096, 4000, 90]):
+def packing_lengths():
+    return packing.Lengths(byte_bpe.Encoder(byte_bpe.read_ranks(open(VOCABULARY, "rb").read()),
+                                            public_tokenizers.PATTERN))
+
+
+def one_size_cost(lengths, size):
+    """Best fit into bins of one size, each downsized at the end."""
+    bins, _, _ = packing.pack(lengths, (size,))
+    used = collections.Counter()
+    for n, b in zip(lengths, bins, strict=True):
+        used[b] += n
+    return sum(packing.cost(min(s for s in packing.SIZES if s >= u)) for u in used.values())
+
+
+def test_packing_places():
+    for lengths in ([], [1], [4096] * 3, [513, 511, 1, 2000, 2096, 4000, 90], [1] * 9000):
         bins, offsets, final = packing.pack(lengths)
         held = collections.defaultdict(list)
         for n, b, o in zip(lengths, bins, offsets, strict=True):
@@ -261,9 +277,59 @@ def test_packing(spark):
                 assert o == at
                 at += n
             assert final[b] == min(s for s in packing.SIZES if s >= at)
+
+
+def test_packing_fill_equals_plain_greedy():
+    rng = random.Random(7)
+    for _ in range(300):
+        lengths = sorted(rng.choice((1, 2, 3, 7, 50, 51, 400)) for _ in range(rng.randrange(30)))
+        gap, free = rng.randrange(600), 0
+        free = gap
+        for n in reversed(lengths):
+            free -= n * (n <= free)
+        assert packing.fill(gap, lengths, len(lengths)) == gap - free
+
+
+def test_packing_chooses_all_sizes_and_beats_one_size(spark):
+    lengths = packing_lengths()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    tokens = [n for r in docs.collect() for _, _, n in lengths.pieces(r["text"] or "", 4096)]
+    bins, _, final = packing.pack(tokens)
+    assert set(final) == set(packing.SIZES)
+    total = sum(map(packing.cost, final))
+    assert all(total < one_size_cost(tokens, s) for s in packing.SIZES if s >= max(tokens))
+    # a bin is opened no larger than what is left can fill
+    assert packing.open_size(600, [], 0, 0, packing.SIZES) == 1024
+    assert packing.open_size(90, [], 0, 0, packing.SIZES) == 512
+    assert packing.open_size(1500, [548] * 9, 9, 4932, packing.SIZES) == 2048
+
+
+def test_packing_pieces_hold_the_tokens_of_the_text(spark):
+    lengths = packing_lengths()
+    ranks = byte_bpe.read_ranks(open(VOCABULARY, "rb").read())
+    exact = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                              special_tokens={})
+    odd = ["", " ", "\x1c\x1d a\x85b\u3000c  ", "日本語の文章" * 3000, "x" * 50_000, "😀" * 5000,
+           "'s 't ' s\n\n\n  don't", "1,234.5 €99 " * 900, "  \n" * 9000, "word " * 300_000]
+    for text in [*odd, *texts(spark).values()]:
+        for longest in (16, 4096):
+            got = list(lengths.pieces(text or "", longest))
+            ids = exact.encode_ordinary(text or "")
+            assert sum(n for *_, n in got) == len(ids) + 1
+            assert all(0 < n <= longest for *_, n in got)
+            assert got[0][0] == 0 and got[-1][1] == len(text or "")
+            assert all(a[1] == b[0] for a, b in zip(got, got[1:]))
+            if longest == 16 and len(text or "") < 3000:  # each border lies between two tokens
+                borders = {0, *itertools.accumulate(len(ranks_of) for ranks_of in map(
+                    exact.decode_single_token_bytes, ids))}
+                assert all(len(text[:end].encode()) in borders for _, end, _ in got if text)
+    assert len(list(lengths.pieces("日本語の文章" * 3000, 4096))) > 1
+
+
+def test_packing(spark):
     docs = odd_docs(spark).unionByName(
         spark.read.parquet(f"{DATA}/documents.parquet"), allowMissingColumns=True)
-    rows = packing.best_fit(docs, sizes=(64, 128)).collect()
+    rows = packing.best_fit(docs, VOCABULARY, public_tokenizers.PATTERN, sizes=(64, 128)).collect()
     whole = collections.defaultdict(str)
     filled, room = collections.Counter(), {}
     for r in sorted(rows, key=lambda r: r["piece"]):
@@ -273,9 +339,9 @@ def test_packing(spark):
         room[r["bin_id"]] = r["bin_size"]
     assert all(filled[b] <= room[b] for b in room)
     assert all(t == texts_of[i] for texts_of in [texts(spark)] for i, t in whole.items())
-    assert sum(filled.values()) == sum(
-        len((r["text"] or "").encode().split()) + 1 for r in docs.collect())
-    assert packing.best_fit(docs.where("false")).count() == 0
+    tokens = byte_bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, with_ids=False)
+    assert sum(filled.values()) == tokens.selectExpr("sum(n_tokens + 1)").first()[0]
+    assert packing.best_fit(docs.where("false"), VOCABULARY, public_tokenizers.PATTERN).count() == 0
 
 
 def test_warc_round_trip(spark):

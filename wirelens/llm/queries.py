@@ -40,7 +40,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(_read(spark, sf_dir, "documents"), with_text=False)
+    import public_tokenizers
+
+    return packing.best_fit(_read(spark, sf_dir, "documents"),
+                            public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                            public_tokenizers.PATTERN, with_text=False)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
