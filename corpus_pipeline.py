@@ -40,7 +40,10 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in pieces, each with its training sequence and its place there."""
-    return packing.best_fit(docs)
+    import public_tokenizers
+
+    return packing.best_fit(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                            public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Stage]] = [
