@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 import xxhash
 
@@ -252,8 +253,8 @@ def test_bpe_equals_the_tokenizer(spark):
 
 
 def packing_lengths():
-    return packing.Lengths(byte_bpe.Encoder(byte_bpe.read_ranks(open(VOCABULARY, "rb").read()),
-                                            public_tokenizers.PATTERN))
+    return packing.Lengths(byte_bpe.read_ranks(open(VOCABULARY, "rb").read()),
+                           public_tokenizers.PATTERN)
 
 
 def one_size_cost(lengths, size):
@@ -324,6 +325,9 @@ def test_packing_pieces_hold_the_tokens_of_the_text(spark):
                     exact.decode_single_token_bytes, ids))}
                 assert all(len(text[:end].encode()) in borders for _, end, _ in got if text)
     assert len(list(lengths.pieces("日本語の文章" * 3000, 4096))) > 1
+    spaces = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    assert [c for c in spaces if regex.match(r"\s", c)] == [
+        c for c in spaces if re.match(f"[{packing._SPACE}]", c)]
 
 
 def test_packing(spark):

@@ -24,23 +24,28 @@ gives an empty result.
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirelens.llm import scratch
-from wirelens.llm.byte_bpe import Encoder, _Memo, read_ranks
+from wirelens.llm.byte_bpe import Encoder, read_ranks
 
 SIZES = (512, 1024, 2048, 4096)
 START = 64.0  # what a sequence costs beside its tokens, in tokens
 ATTENTION = 1 / 16_384  # what a token costs for every token of its sequence, as a share of a token
-_WORD = regex.compile(r"\s*\S+|\s+")
-_WORDS, _MATCHES = 500_000, 250_000  # token counts that a worker remembers
+# white space as the tokenizers' patterns have it; Python's own class has four control characters more
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_WORD = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_WORDS = 500_000  # words whose token counts a worker remembers
+_LONG = 64  # characters of a word that is not remembered
 
 
 def cost(size: int) -> float:
@@ -101,35 +106,56 @@ def pack(lengths: list[int], sizes: tuple[int, ...] = SIZES) -> tuple[list[int],
     return bins, offsets, [sizes[bisect.bisect_left(sizes, u)] for u in used]
 
 
-class Lengths:
-    """Counts tokens; one per Python worker. No match of the encoder's pattern may reach from a word
-    into the white space after it, so words are counted one by one and remembered."""
+class Lengths(dict):
+    """Counts tokens; one per Python worker: the token counts of the words met lately.
 
-    def __init__(self, coder: Encoder) -> None:
-        self.coder = coder
-        matches = _Memo(lambda m: len(coder.piece(m.encode())), _MATCHES)
-        self.words = _Memo(lambda w: sum(matches[m[0]] for m in coder.pattern.finditer(w)), _WORDS)
+    No match of the pattern may reach from a word into the white space after it, so words are counted
+    one by one. Short ones go to the tokenizer library once and are remembered; long ones, on which it
+    may take quadratic time, to the linear encoder.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        super().__init__()
+        self.ranks, self.pattern = ranks, pattern
+        self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks,
+                                        special_tokens={}).encode_ordinary
+
+    @functools.cached_property
+    def linear(self) -> Encoder:
+        return Encoder(self.ranks, self.pattern)
+
+    def __missing__(self, word: str) -> int:
+        if len(word) > _LONG:
+            return sum(len(self.linear.piece(m[0].encode()))
+                       for m in self.linear.pattern.finditer(word))
+        if len(self) >= _WORDS:
+            self.clear()
+        count = self[word] = len(self.encode(word))
+        return count
 
     def pieces(self, text: str, longest: int) -> Iterator[tuple[int, int, int]]:
         """(start, end, tokens) of the pieces of a text in code points: its tokens and an end mark, at
         most ``longest`` each."""
+        words: Iterable[str] = (m[0] for m in _WORD.finditer(text))
         if len(text) < 1 << 20:  # most texts are short: one count, no search for borders
-            n = sum(map(self.words.__getitem__, _WORD.findall(text)))
-            if n < longest:
-                yield 0, len(text), n + 1
+            words = _WORD.findall(text)
+            total = sum(map(self.__getitem__, words))
+            if total < longest:
+                yield 0, len(text), total + 1
                 return
-        start = n = 0
-        for m in _WORD.finditer(text):
-            tokens = self.words[m[0]]
+        start = at = n = 0
+        for word in words:
+            tokens = self[word]
             if n + tokens > longest:
                 if n:
-                    yield start, m.start(), n
-                start, n = m.start(), 0
+                    yield start, at, n
+                start, n = at, 0
             n += tokens
             if n > longest:
-                *full, (first, _, n) = self.inside(m[0], longest)
+                *full, (first, _, n) = self.inside(word, longest)
                 yield from ((start + a, start + b, k) for a, b, k in full)
                 start += first
+            at += len(word)
         if n == longest:
             yield start, len(text), n
             start, n = len(text), 0
@@ -139,9 +165,9 @@ class Lengths:
         """A word in runs of at most ``longest`` tokens that begin and end between characters."""
         start = at = n = 0  # code points before the run, code points so far, tokens of the run
         border = before = 0  # the last token border between characters, and the run's tokens before it
-        for match in self.coder.pattern.finditer(word):
-            for token in self.coder.piece(match[0].encode()):
-                heads = [b & 0xC0 != 0x80 for b in self.coder.tokens[token]]
+        for match in self.linear.pattern.finditer(word):
+            for token in self.linear.piece(match[0].encode()):
+                heads = [b & 0xC0 != 0x80 for b in self.linear.tokens[token]]
                 if heads[0]:
                     border, before = at, n
                 if n == longest:
@@ -174,7 +200,7 @@ def best_fit(docs: DataFrame, vocabulary: str, pattern: str, sizes: tuple[int, .
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         lengths = scratch.kept(("packing", hashlib.sha256(blob.value).digest(), pattern),
-                               lambda: Lengths(Encoder(read_ranks(blob.value), pattern)))
+                               lambda: Lengths(read_ranks(blob.value), pattern))
         held: list[tuple] = []
         chars = number = 0
         for batch in batches:
