@@ -23,7 +23,7 @@ from wirelens.operators import greedy, l2, models, ordered, scoring, sequence
 from wirelens.operators import inspect as ins
 from wirelens.operators.iforest import IsolationForest
 from wirelens.plans import reports as rp
-from wirelens.plans import scoring_job
+from wirelens.plans import rollups, scoring_job
 from wirelens.schemas import FLOW_KEY
 from wirelens.sources import readers, trace
 
@@ -139,6 +139,15 @@ def flow_packet_sample(s, d):
                 F.col("p.packet_id").alias("packet_id"), F.col("p.length").alias("length"))
 
 
+def live_feed(s, d):
+    """The feed's records, one row per sampled packet."""
+    p = packets(s, d)
+    feed = rp.live_feed(fl.assemble_flows(p), fl.sample_packets(p))
+    return feed.select(*_FLOW, "packets_sample_truncated", F.posexplode("packets_sample")
+                       .alias("pos", "p")).select(
+        *_FLOW, "packets_sample_truncated", "pos", F.col("p.packet_id").alias("packet_id"))
+
+
 def flow_iat(s, d):
     return fl.packet_gaps(packets(s, d)).select("packet_id", *KEY, "ts_us", "gap_us")
 
@@ -510,6 +519,30 @@ def top_ports(s, d):
     return rp.top_ports(scored(s, d), NOW, 2)
 
 
+# the reports from rollups start within a minute, so one minute comes from the rows
+_LATER = 17.0
+
+
+def rollup_timeseries(s, d):
+    flows = scored(s, d)
+    out = rollups.traffic_timeseries(rollups.roll_up_flows(flows), flows, NOW + _LATER, 2)
+    return out.withColumn("avg_threat", round_half_up(F.col("avg_threat"), 6))
+
+
+def rollup_top_sources(s, d):
+    flows = scored(s, d)
+    return rollups.top_sources(rollups.roll_up_flows(flows), flows, NOW + _LATER, 2)
+
+
+def rollup_top_ports(s, d):
+    flows = scored(s, d)
+    return rollups.top_ports(rollups.roll_up_flows(flows), flows, NOW + _LATER, 2)
+
+
+def rollup_store_counts(s, d):
+    return rollups.store_counts(rollups.roll_up(scored(s, d), alert_table(s, d), packets(s, d)))
+
+
 def avg_threat_last100(s, d):
     return rp.avg_threat_newest(scored(s, d), 100, ties=KEY)
 
@@ -594,6 +627,7 @@ QUERIES: dict[str, Query] = {
     "flows_session": _flow_query("session"),
     "flows_bidirectional": flows_bidirectional,
     "flow_packet_sample": flow_packet_sample,
+    "live_feed": live_feed,
     "flow_iat": flow_iat,
     "flow_packet_link": flow_packet_link,
     "flow_retention": flow_retention,
@@ -662,6 +696,10 @@ QUERIES: dict[str, Query] = {
     "traffic_timeseries": traffic_timeseries,
     "top_sources": top_sources,
     "top_ports": top_ports,
+    "rollup_timeseries": rollup_timeseries,
+    "rollup_top_sources": rollup_top_sources,
+    "rollup_top_ports": rollup_top_ports,
+    "rollup_store_counts": rollup_store_counts,
     "avg_threat_last100": avg_threat_last100,
     "traffic_rates": traffic_rates,
     "flows_page": flows_page,

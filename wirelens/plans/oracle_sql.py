@@ -459,9 +459,10 @@ ru AS (SELECT class, precision, recall, f1, support FROM rm
   UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support),
     sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM rm)"""
 
-_SAMPLE = f"""{PACKETS}, {_GROUP["tumbling"]},
+_RANKED = f"""
 sr AS (SELECT *, row_number() OVER (PARTITION BY {KEY}, flow_no ORDER BY ts_us, packet_id) AS rn,
          count(*) OVER (PARTITION BY {KEY}, flow_no) AS flow_packets FROM p0)"""
+_SAMPLE = f"""{PACKETS}, {_GROUP["tumbling"]},{_RANKED}"""
 _GREEDY_ALL = greedy("gf", "gc", "type", "ts_us", 7_000_000)
 
 ORACLES: dict[str, str] = {
@@ -479,6 +480,9 @@ FROM events""",
     "flow_packet_sample": f"""WITH {_SAMPLE} SELECT {KEY}, flow_no, flow_packets,
   flow_packets > 15 AS packets_sample_truncated, CAST(rn - 1 AS INT) AS pos, packet_id, length
 FROM sr WHERE flow_packets >= 2 AND rn <= 15""",
+    "live_feed": f"""WITH {flows("tumbling")},{_RANKED} SELECT {FLOW_COLS},
+  packet_count > 15 AS packets_sample_truncated, CAST(rn - 1 AS INT) AS pos, packet_id
+FROM f JOIN (SELECT {KEY}, flow_no, rn, packet_id FROM sr WHERE rn <= 15) USING ({KEY}, flow_no)""",
     "flow_iat": f"""WITH {PACKETS} SELECT packet_id, {KEY}, ts_us, ts_us - lag(ts_us) OVER
   (PARTITION BY {KEY} ORDER BY ts_us, packet_id) AS gap_us FROM p""",
     "flow_packet_link": f"""WITH {PACKETS}, {_GROUP["session"]},
@@ -640,6 +644,15 @@ GROUP BY 1 ORDER BY bytes DESC, ip LIMIT 8""",
     "top_ports": f"""WITH {SCORED} SELECT dst_port AS port, protocol, count(*) AS flows,
   CAST(sum(total_bytes) AS BIGINT) AS bytes FROM sc WHERE timestamp > {NOW} - 120
 GROUP BY 1, 2 ORDER BY flows DESC, port, protocol LIMIT 8""",
+    "rollup_timeseries": f"""WITH {series(103)} SELECT minute, flow_count, byte_count,
+  {rnd("avg_threat", 6)} AS avg_threat FROM ts""",
+    "rollup_top_sources": f"""WITH {SCORED} {_SOURCES} WHERE timestamp > {NOW} - 103
+GROUP BY 1 ORDER BY bytes DESC, ip LIMIT 8""",
+    "rollup_top_ports": f"""WITH {SCORED} SELECT dst_port AS port, protocol, count(*) AS flows,
+  CAST(sum(total_bytes) AS BIGINT) AS bytes FROM sc WHERE timestamp > {NOW} - 103
+GROUP BY 1, 2 ORDER BY flows DESC, port, protocol LIMIT 8""",
+    "rollup_store_counts": f"""WITH {ALERTS} SELECT 'flows' AS table_name, count(*) AS rows FROM sc
+UNION ALL SELECT 'alerts', count(*) FROM al UNION ALL SELECT 'packets', count(*) FROM p""",
     "avg_threat_last100": f"""WITH {SCORED}, n AS (SELECT * FROM sc {NEWEST} LIMIT 100)
 SELECT {rnd("coalesce(avg(threat_score), 0)", 2)} AS avg_threat_score FROM n""",
     "traffic_rates": f"WITH {PACKETS}, {L2}, {RATES} SELECT * FROM rt",
