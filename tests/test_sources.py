@@ -194,3 +194,22 @@ def test_display_numbers(spark):
                    ("1 MB", "1.0M"), ("5 GB", "5.4B"), ("1024 GB", "1099.5B")]
     x = spark.range(1).select(round_half_up(F.lit(1.005), 2).alias("x")).first().x
     assert x == 1.01
+
+
+def test_numbers_beyond_a_long(spark, tmp_path):
+    from decimal import Decimal
+
+    from wirelens.plans import catalog
+
+    df = spark.createDataFrame([(Decimal(10) ** 21,), (Decimal(10) ** 29 + 1,), (Decimal(53687091199),)],
+                               "n decimal(38,0)")
+    out = [tuple(r) for r in df.select(human_bytes("n"), human_number("n")).collect()]
+    assert out == [("931322574615.5 GB", "1000000000000.0B"),
+                   ("93132257461547851562.5 GB", "100000000000000000000.0B"), ("50 GB", "53.7B")]
+    # one 5-tuple of 100 000 packets of 1500 bytes
+    spark.range(100_000).selectExpr(
+        "id AS event_id", "timestamp'2024-01-01' AS ts", "0L AS user_id", "'view' AS event_type",
+        "1e5 AS value", """'{"k": 4}' AS props""").write.parquet(str(tmp_path / "events.parquet"))
+    row = catalog.human_units(spark, str(tmp_path)).collect()
+    assert [(r.n, r.bytes_text, r.number_text) for r in row] == [
+        (None, "2095475792884.8 GB", "2250000000000.0B")]

@@ -17,10 +17,13 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
 
 
-def _trim_one_decimal(x: Column) -> Column:
-    """One decimal, without a trailing .0."""
-    text = F.round(x, 1).cast("decimal(30,1)").cast("string")
-    return F.regexp_replace(text, r"\.0$", "")
+def _one_decimal(n: Column, unit: int) -> Column:
+    """``n / unit`` half-up to one decimal, exact for non-negative numbers of up to 30 digits before the
+    point; a quotient of that size would be cut to few decimals first and then rounded again."""
+    tenfold, size = n.cast("decimal(36,6)") * F.lit(10).cast("decimal(2,0)"), F.lit(unit).cast("decimal(13,0)")
+    rest = tenfold % size
+    tenths = (tenfold - rest) / size + F.when(rest * 2 >= size, 1).otherwise(0)
+    return (tenths / F.lit(10).cast("decimal(2,0)")).cast("decimal(34,1)").cast("string")
 
 
 def human_bytes(n: Column | str) -> Column:
@@ -29,9 +32,8 @@ def human_bytes(n: Column | str) -> Column:
     exact = n.cast("decimal(30,0)")
     out = F.concat(n.cast("long").cast("string"), F.lit(f" {BYTE_UNITS[0]}"))
     for power, unit in enumerate(BYTE_UNITS[1:], start=1):
-        scaled = exact.cast("decimal(30,8)") / F.lit(1024 ** power).cast("decimal(12,0)")
-        out = F.when(n >= 1024 ** power, F.concat(_trim_one_decimal(scaled), F.lit(f" {unit}"))) \
-            .otherwise(out)
+        text = F.regexp_replace(_one_decimal(exact, 1024 ** power), r"\.0$", "")
+        out = F.when(n >= 1024 ** power, F.concat(text, F.lit(f" {unit}"))).otherwise(out)
     return F.when(n.isNull() | (n == 0), F.lit("0 B")).otherwise(out)
 
 
@@ -40,7 +42,5 @@ def human_number(n: Column | str) -> Column:
     n = F.col(n) if isinstance(n, str) else n
     out = n.cast("string")
     for scale, suffix in reversed(NUMBER_UNITS):
-        scaled = n.cast("decimal(30,8)") / F.lit(scale).cast("decimal(12,0)")
-        text = F.round(scaled, 1).cast("decimal(30,1)").cast("string")
-        out = F.when(n >= scale, F.concat(text, F.lit(suffix))).otherwise(out)
+        out = F.when(n >= scale, F.concat(_one_decimal(n, scale), F.lit(suffix))).otherwise(out)
     return out

@@ -583,9 +583,12 @@ def packet_stream(s, d):
 
 
 def human_units(s, d):
-    n = F.expr("total_bytes * total_bytes * packet_count")
+    # the product outgrows a long on large tables: texts come from the decimal, and n, a long in the SQL
+    # too, is null where no long holds it
+    total, number = (F.col(c).cast("decimal(20,0)") for c in ("total_bytes", "packet_count"))
+    n = total * total * number
     return fl.assemble_flows(packets(s, d), "whole").select(
-        *KEY, n.alias("n"), human_bytes(n).alias("bytes_text"),
+        *KEY, n.try_cast("long").alias("n"), human_bytes(n).alias("bytes_text"),
         human_number(n).alias("number_text"))
 
 
