@@ -1,13 +1,13 @@
 """Multiclass boosted trees from gradient histograms (E5).
 
-Features are cut into quantile bins once; the binned rows, some bytes each, are stored. A round grows
-one tree per class from the gradients of one softmax. The upper levels grow one after the other: every
-task adds up the gradients and curvatures of its rows per (tree node, feature, bin), Spark adds the
-tasks' histograms, and the driver picks the best split of every node. As soon as a node holds at most
-``LOCAL_ROWS`` rows, these are brought together and one task grows the rest of its tree from the same
-histograms; all such nodes of a round share one pass. What reaches the driver is bounded by classes,
-nodes, features and bins, whatever the number of rows. Margins are stored with the rows every few
-rounds, so that a pass applies few trees and a lost executor costs one pass.
+Features are cut into quantile bins once; the binned rows are stored in blocks, a byte per feature that
+takes more than one bin. A round grows one tree per class from the gradients of one softmax. The upper
+levels grow one after the other: every task adds up the gradients and curvatures of its rows per (tree
+node, feature, bin), Spark adds the tasks' histograms, and the driver picks the best split of every node.
+As soon as a node holds at most ``LOCAL_ROWS`` rows, these are brought together and one task grows the
+rest of its tree from the same histograms; all such nodes of a round share one pass. What reaches the
+driver is bounded by classes, nodes, features and bins, whatever the number of rows. Margins are stored
+with the rows every few rounds, so that a pass applies few trees and a lost executor costs one pass.
 
 Fitting ends early when no tree of a round splits: all later rounds would see the same rows with less
 curvature left. Missing values and nulls count as 0.
@@ -16,7 +16,7 @@ curvature left. Missing values and nulls count as 0.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from wirelens.session import cut_lineage
 
 BINS = 32
-# rows of a node whose subtree one task grows, and rows of a stored partition at least
-LOCAL_ROWS = 1 << 16
+# rows of a node whose subtree one task grows
+LOCAL_ROWS = 1 << 18
+# rows of a block, and of a stored partition at most
+BLOCK_ROWS, PART_ROWS = 1 << 11, 1 << 17
 MIN_GAIN = 1e-9
 # rounds after which margins are stored with the rows
-FOLD = 10
+FOLD = 5
 
 
 @dataclass
@@ -55,14 +57,23 @@ class Tree:
 
     def leaves(self, bins: np.ndarray) -> np.ndarray:
         """The node in which each row of ``bins`` ends."""
-        feature, cut, left, right = map(np.asarray, (self.feature, self.cut, self.left, self.right))
         node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
         while True:
-            inner = left[node] >= 0
-            if not inner.any():
+            below = self.step_down(bins, node, rows)
+            if below is node:
                 return node
-            low = bins[rows, feature[node]] <= cut[node]
-            node = np.where(inner, np.where(low, left[node], right[node]), node)
+            node = below
+
+    def step_down(self, bins: np.ndarray, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The next node of each row; ``node`` itself if all are leaves."""
+        left = np.asarray(self.left)
+        # leaves lead to themselves
+        at = np.arange(len(left))
+        if not (left[node] >= 0).any():
+            return node
+        to_left, to_right = np.where(left < 0, at, left), np.where(left < 0, at, self.right)
+        low = bins[rows, np.asarray(self.feature)[node]] <= np.asarray(self.cut)[node]
+        return np.where(low, to_left[node], to_right[node])
 
 
 def softmax(margins: np.ndarray) -> np.ndarray:
@@ -94,8 +105,9 @@ def quantile_edges(rows: DataFrame, vector: str, width: int, bins: int) -> list[
 
 
 def best_splits(hist: np.ndarray, ridge: float, least: float
-                ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gain, feature, cut, totals) per node of ``hist`` (node, feature, bin, gradient and curvature)."""
+                ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gain, feature, cut, totals, totals up to the cut) per node of ``hist`` (node, feature, bin,
+    gradient and curvature)."""
     hist = hist[..., :2]
     totals = hist[:, 0].sum(axis=1)
     low = np.cumsum(hist, axis=2)[:, :, :-1]
@@ -109,7 +121,8 @@ def best_splits(hist: np.ndarray, ridge: float, least: float
     # equal gains differ in their last bits by the order of addition; the first of them is taken
     flat = np.round(gain, 9).reshape(len(hist), -1)
     at = flat.argmax(axis=1)
-    return flat.max(axis=1), at // low.shape[2], at % low.shape[2], totals
+    feature, cut = at // low.shape[2], at % low.shape[2]
+    return flat.max(axis=1), feature, cut, totals, low[np.arange(len(hist)), feature, cut]
 
 
 @dataclass
@@ -155,50 +168,83 @@ class BoostedModel:
                             [[Tree(**t) for t in trees] for trees in held["rounds"]])
 
 
-def sums(held: np.ndarray, slot: np.ndarray, values: list[np.ndarray], number: int, bins: int
+def sums(held: np.ndarray, slot: np.ndarray, values: list[np.ndarray | None], number: int, bins: int
          ) -> np.ndarray:
-    """(slot, feature, bin, value) sums of the rows with a slot."""
-    width = held.shape[1]
+    """(slot, feature, bin, value) sums of the rows with a slot; None counts them. ``held`` has a row
+    per feature."""
     use = np.flatnonzero(slot >= 0)
-    at = (((slot[use, None] * width) + np.arange(width)) * bins + held[use]).ravel()
-    cells = number * width * bins
-    return np.stack([np.bincount(at, np.repeat(v[use], width), cells) for v in values],
-                    axis=1).reshape(number, width, bins, len(values))
+    if len(use) < len(slot):
+        held, slot = held[:, use], slot[use]
+        values = [None if v is None else v[use] for v in values]
+    start, out = slot * bins, np.empty((number, len(held), bins, len(values)))
+    for j, column in enumerate(held):
+        at = start + column
+        for i, v in enumerate(values):
+            out[:, j, :, i] = np.bincount(at, v, number * bins).reshape(number, bins)
+    return out
 
 
 def grow(held: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, step: float, ridge: float,
          least: float, bins: int) -> Tree:
-    """A tree of up to ``depth`` levels of splits over rows in memory."""
-    tree, open_, node = Tree(), [0], np.zeros(len(held), np.int64)
-    for level in range(depth + 1):
-        place = np.full(len(tree.left), -1)
-        place[open_] = np.arange(len(open_))
-        hist = sums(held, place[node], [g, h], len(open_), bins)
-        gain, feature, at, totals = best_splits(hist, ridge, least)
+    """A tree of up to ``depth`` levels of splits over rows in memory. Of two children the one with
+    fewer rows is summed up, the other is what remains of their parent."""
+    tree, node, rows = Tree(), np.zeros(len(g), np.int64), np.arange(len(g))
+    open_, hist = [0], sums(held, node, [g, h], 1, bins)
+    tree.value[0] = leaf_value(hist[0, 0].sum(axis=0), step, ridge)
+    for level in range(depth):
+        gain, feature, at, totals, low = best_splits(hist, ridge, least)
+        split = np.flatnonzero(gain > MIN_GAIN)
         following = []
-        for i, parent in enumerate(open_):
-            tree.value[parent] = float(-step * totals[i, 0] / (totals[i, 1] + ridge))
-            if gain[i] > MIN_GAIN and level < depth:
-                following += tree.split(parent, int(feature[i]), int(at[i]))
-        if not following:
+        for i in split:
+            pair = tree.split(open_[i], int(feature[i]), int(at[i]))
+            for child, held_sums in zip(pair, (low[i], totals[i] - low[i]), strict=True):
+                tree.value[child] = leaf_value(held_sums, step, ridge)
+            following += pair
+        if not following or level + 1 == depth:
             break
-        open_, node = following, tree.leaves(held)
+        node = tree.step_down(held.T, node, rows)
+        count = np.bincount(node, minlength=len(tree.left))[following].reshape(-1, 2)
+        fewer = np.arange(len(split)) * 2 + (count[:, 1] < count[:, 0])
+        place = np.full(len(tree.left), -1)
+        place[np.array(following)[fewer]] = np.arange(len(split))
+        below = sums(held, place[node], [g, h], len(split), bins)
+        both = np.repeat(hist[split], 2, axis=0)
+        both[fewer ^ 1] -= below
+        both[fewer] = below
+        open_, hist = following, both
     return tree
 
 
-def _held(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+def leaf_value(totals: np.ndarray, step: float, ridge: float) -> float:
+    return float(-step * totals[0] / (totals[1] + ridge))
+
+
+def read_blocks(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(bins with a row per feature, class codes, further bytes) of the rows of some blocks."""
+    bins, truth, extra = (batch.column(i).to_pylist() for i in range(3))
+    return (np.concatenate([np.frombuffer(b, np.uint8).reshape(width, -1) for b in bins], axis=1),
+            np.frombuffer(b"".join(truth), np.int32), b"".join(extra))
+
+
+def write_blocks(held: np.ndarray, truth: np.ndarray, extra: np.ndarray) -> pa.RecordBatch:
+    starts = range(0, len(truth), BLOCK_ROWS)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([np.ascontiguousarray(held[:, i:i + BLOCK_ROWS]).tobytes() for i in starts], pa.binary()),
+         *[pa.array([x[i:i + BLOCK_ROWS].tobytes() for i in starts], pa.binary()) for x in (truth, extra)]],
+        ["bins", "truth", "extra"])
+
+
+BLOCKS = "bins binary, truth binary, extra binary"
 
 
 def _gradients(batch: pa.RecordBatch, recent: list[list[Tree]], width: int, classes: int
                ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bins, gradients, curvatures) of a batch of stored rows, a column per class."""
-    held = _held(batch.column(0), width)
-    margins = _matrix(batch.column(2), classes).copy()
+    """(bins, gradients, curvatures) of a batch of stored blocks, a column per class."""
+    held, truth, extra = read_blocks(batch, width)
+    margins = np.frombuffer(extra).reshape(-1, classes).copy()
     for trees in recent:
-        add_round(margins, held, trees)
+        add_round(margins, held.T, trees)
     p = softmax(margins)
-    truth = batch.column(1).to_numpy()
     return held, p - (truth[:, None] == np.arange(classes)), np.maximum(2 * p * (1 - p), 1e-16)
 
 
@@ -208,14 +254,21 @@ def _histograms(rows: DataFrame, recent: list[list[Tree]], growing: list[Tree],
     of each tree."""
     number = sum(map(len, slots))
     places = [_places(tree, known) for tree, known in zip(growing, slots, strict=True)]
+    # slots of a tree follow one another
+    firsts = [min(known.values(), default=0) for known in slots]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((number, width, bins, 3))
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held, g, h = _gradients(batch, recent, width, len(growing))
             for k, tree in enumerate(growing):
-                total += sums(held, places[k][tree.leaves(held)],
-                              [g[:, k], h[:, k], np.ones(len(held))], number, bins)
+                if slots[k]:
+                    own = slice(firsts[k], firsts[k] + len(slots[k]))
+                    slot = places[k][tree.leaves(held.T)]
+                    total[own] += sums(held, np.where(slot < 0, -1, slot - firsts[k]),
+                                       [g[:, k], h[:, k], None], len(slots[k]), bins)
         cells = total.reshape(number * width, 3 * bins)
         used = np.flatnonzero(cells.any(axis=1))
         yield pa.RecordBatch.from_arrays(
@@ -241,6 +294,15 @@ _SUBTREE = ("slot int, feature array<int>, cut array<int>, left array<int>, righ
             "value array<double>")
 
 
+def deal_slots(slot: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, its rows) of every slot that rows have; -1 is none."""
+    order = np.argsort(slot, kind="stable")
+    found, first = np.unique(slot[order], return_index=True)
+    for number, own in zip(found.tolist(), np.split(order, first[1:]), strict=True):
+        if number >= 0:
+            yield number, own
+
+
 def _subtrees(rows: DataFrame, recent: list[list[Tree]], growing: list[Tree],
               slots: list[dict[int, int]], left: list[int], width: int, settings: tuple
               ) -> dict[int, Tree]:
@@ -249,25 +311,30 @@ def _subtrees(rows: DataFrame, recent: list[list[Tree]], growing: list[Tree],
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held, g, h = _gradients(batch, recent, width, len(growing))
             for k, tree in enumerate(growing):
-                slot = places[k][tree.leaves(held)]
-                use = np.flatnonzero(slot >= 0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot[use], pa.int32()), batch.column(0).take(pa.array(use)),
-                     pa.array(g[use, k]), pa.array(h[use, k])], ["slot", "bins", "g", "h"])
+                # one record per slot, not per row
+                for slot, own in deal_slots(places[k][tree.leaves(held.T)]):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([slot], pa.int32()),
+                         *[pa.array([x.tobytes()], pa.binary()) for x in (
+                             held[:, own], g[own, k], h[own, k])]], ["slot", "bins", "g", "h"])
 
     def finish(table: pa.Table) -> pa.Table:
         slot = table.column(0)[0].as_py()
-        tree = grow(_held(table.column(1), width), table.column(2).to_numpy(),
-                    table.column(3).to_numpy(), left[slot], *settings)
+        held = np.concatenate([np.frombuffer(b, np.uint8).reshape(width, -1)
+                               for b in table.column(1).to_pylist()], axis=1)
+        g, h = (np.frombuffer(b"".join(table.column(i).to_pylist())) for i in (2, 3))
+        tree = grow(held, g, h, left[slot], *settings)
         lists = [pa.array([x], pa.list_(pa.int32())) for x in (
             tree.feature, tree.cut, tree.left, tree.right)]
         return pa.table([pa.array([slot], pa.int32()), *lists,
                          pa.array([tree.value], pa.list_(pa.float64()))],
                         names=[part.split()[0] for part in _SUBTREE.split(", ")])
 
-    dealt = rows.mapInArrow(deal, "slot int, bins binary, g double, h double")
+    dealt = rows.mapInArrow(deal, "slot int, bins binary, g binary, h binary")
     return {r["slot"]: Tree(r["feature"], r["cut"], r["left"], r["right"], r["value"])
             for r in dealt.groupBy("slot").applyInArrow(finish, _SUBTREE).toArrow().to_pylist()}
 
@@ -289,55 +356,85 @@ def attach(tree: Tree, node: int, below: Tree) -> None:
 def _folded(rows: DataFrame, recent: list[list[Tree]], width: int, classes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = _held(batch.column(0), width)
-            margins = _matrix(batch.column(2), classes).copy()
+            if not batch.num_rows:
+                continue
+            held, truth, extra = read_blocks(batch, width)
+            margins = np.frombuffer(extra).reshape(-1, classes).copy()
             for trees in recent:
-                add_round(margins, held, trees)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(list(margins), pa.list_(pa.float64()))],
-                ["bins", "truth", "margins"])
+                add_round(margins, held.T, trees)
+            yield write_blocks(held, truth, margins)
 
-    return cut_lineage(rows.mapInArrow(run, rows.schema))
+    return cut_lineage(rows.mapInArrow(run, BLOCKS))
 
 
-def fit(df: DataFrame, label: str, vector: str, rounds: int = 200, depth: int = 8, step: float = 0.1,
-        ridge: float = 1.0, least: float = 1.0, bins: int = BINS, local_rows: int = LOCAL_ROWS
-        ) -> BoostedModel:
-    """Trees for all classes of ``label``; ``vector`` holds arrays of one length."""
+@dataclass
+class Binned:
+    """Labelled rows in blocks; ``active`` are the features that take more than one bin."""
+
+    classes: list[str]
+    edges: list[np.ndarray]
+    active: list[int]
+    size: int
+    rows: DataFrame | None
+
+    def features_of(self, tree: Tree) -> Tree:
+        """A tree over the stored features as one over all."""
+        return Tree([self.active[f] for f in tree.feature], tree.cut, tree.left, tree.right, tree.value)
+
+
+def binned_blocks(df: DataFrame, label: str, vector: str, bins: int,
+                  extra: Callable[[np.ndarray, int], np.ndarray]) -> Binned:
+    """``extra`` makes the third column of the blocks of row numbers and the number of classes."""
     rows = cut_lineage(df.select(F.col(label).cast("string").alias("label"),
                                  F.col(vector).cast("array<double>").alias("vector")))
     classes = [r[0] for r in rows.select("label").where("label is not null").distinct()
                .orderBy("label").collect()]
     width = rows.agg(F.max(F.size("vector"))).first()[0] or 0
     if width < 1 or not classes:
-        return BoostedModel(classes, [], [])
+        return Binned(classes, [], [], 0, None)
     edges = quantile_edges(rows, "vector", width, bins)
     code = F.array_position(F.array(*map(F.lit, classes)), F.col("label")) - 1
+    used = rows.where(F.col("label").isNotNull() & (F.size("vector") == width)).select(
+        "vector", code.cast("int").alias("truth"), F.monotonically_increasing_id().alias("number"))
+    value = [F.nanvl(F.coalesce(F.get("vector", F.lit(j)), F.lit(0.0)), F.lit(0.0)) for j in range(width)]
+    size, low, high = used.agg(F.count(F.lit(1)), F.array(*map(F.min, value)),
+                               F.array(*map(F.max, value))).first()
+    if not size:
+        return Binned(classes, edges, [], 0, None)
+    low, high = (binned(np.array([x], float), edges)[0] for x in (low, high))
+    active = np.flatnonzero(low < high).tolist() or [0]
+    number = len(classes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = binned(_matrix(batch.column(0), width), edges)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r.tobytes() for r in held], pa.binary()), batch.column(1),
-                 pa.array(np.zeros((len(held), len(classes))).tolist(), pa.list_(pa.float64()))],
-                ["bins", "truth", "margins"])
-
-    stored = rows.where(F.col("label").isNotNull() & (F.size("vector") == width)).select(
-        "vector", code.cast("int").alias("truth"))
-    size = stored.count()
+            if batch.num_rows:
+                held = binned(_matrix(batch.column(0), width), edges)[:, active].T
+                yield write_blocks(held, batch.column(1).to_numpy(),
+                                   extra(batch.column(2).to_numpy(), number))
+
+    # a task's histograms are as large for few rows as for many, so there are no more tasks than needed
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_ROWS))
+    blocks = used.mapInArrow(cut, BLOCKS).repartition(min(parts, -(-size // BLOCK_ROWS)))
+    return Binned(classes, edges, active, size, cut_lineage(blocks))
+
+
+def fit(df: DataFrame, label: str, vector: str, rounds: int = 200, depth: int = 8, step: float = 0.1,
+        ridge: float = 1.0, least: float = 1.0, bins: int = BINS, local_rows: int | None = None
+        ) -> BoostedModel:
+    """Trees for all classes of ``label``; ``vector`` holds arrays of one length."""
+    local_rows = local_rows or LOCAL_ROWS
+    data = binned_blocks(df, label, vector, bins, lambda ids, classes: np.zeros((len(ids), classes)))
+    classes, size, stored, width = data.classes, data.size, data.rows, len(data.active)
+    model, recent = BoostedModel(classes, data.edges, []), []
     if not size:
-        return BoostedModel(classes, edges, [])
-    # a partition's histograms are as large for few rows as for many
-    stored = cut_lineage(stored.coalesce(max(1, -(-size // local_rows))).mapInArrow(
-        cut, "bins binary, truth int, margins array<double>"))
-    model, recent = BoostedModel(classes, edges, []), []
+        return model
     settings = (step, ridge, least, bins)
     for _ in range(rounds):
         growing = [Tree() for _ in classes]
         open_: list[dict[int, float]] = [{0: size} for _ in classes]  # rows of the open nodes
         small: list[dict[int, int]] = [{} for _ in classes]
         levels: list[int] = []
-        for level in range(depth + 1):
+        for level in range(max(depth, 1)):
             slots: list[dict[int, int]] = [{} for _ in classes]
             for k, nodes in enumerate(open_):
                 for node, held in nodes.items():
@@ -349,23 +446,25 @@ def fit(df: DataFrame, label: str, vector: str, rounds: int = 200, depth: int =
             if not any(slots):
                 break
             hist = _histograms(stored, recent, growing, slots, width, bins)
-            gain, feature, at, totals = best_splits(hist, ridge, least)
+            gain, feature, at, totals, below = best_splits(hist, ridge, least)
             open_ = [{} for _ in classes]
             for k, known in enumerate(slots):
                 for node, slot in known.items():
-                    growing[k].value[node] = float(
-                        -step * totals[slot, 0] / (totals[slot, 1] + ridge))
+                    growing[k].value[node] = leaf_value(totals[slot], step, ridge)
                     if gain[slot] > MIN_GAIN and level < depth:
                         low = hist[slot, feature[slot], :at[slot] + 1, 2].sum()
                         children = growing[k].split(node, int(feature[slot]), int(at[slot]))
                         whole = hist[slot, 0, :, 2].sum()
                         open_[k] |= dict(zip(children, (low, whole - low), strict=True))
+                        for child, held in zip(children, (below[slot], totals[slot] - below[slot]),
+                                               strict=True):
+                            growing[k].value[child] = leaf_value(held, step, ridge)
         if levels:
             below = _subtrees(stored, recent, growing, small, levels, width, settings)
             for k, known in enumerate(small):
                 for node, slot in known.items():
                     attach(growing[k], node, below[slot])
-        model.rounds.append(growing)
+        model.rounds.append([data.features_of(tree) for tree in growing])
         recent.append(growing)
         if all(len(tree.left) == 1 for tree in growing):
             break
