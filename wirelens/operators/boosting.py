@@ -383,10 +383,13 @@ class Binned:
 
 
 def binned_blocks(df: DataFrame, label: str, vector: str, bins: int,
-                  extra: Callable[[np.ndarray, int], np.ndarray]) -> Binned:
-    """``extra`` makes the third column of the blocks of row numbers and the number of classes."""
-    rows = cut_lineage(df.select(F.col(label).cast("string").alias("label"),
-                                 F.col(vector).cast("array<double>").alias("vector")))
+                  extra: Callable[[np.ndarray, int], np.ndarray], stored: bool = False) -> Binned:
+    """``extra`` makes the third column of the blocks of row numbers and the number of classes. Rows that
+    are ``stored`` are not written before several passes read them."""
+    rows = df.select(F.col(label).cast("string").alias("label"),
+                     F.col(vector).cast("array<double>").alias("vector"))
+    if not stored:
+        rows = cut_lineage(rows)
     classes = [r[0] for r in rows.select("label").where("label is not null").distinct()
                .orderBy("label").collect()]
     width = rows.agg(F.max(F.size("vector"))).first()[0] or 0

@@ -6,14 +6,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wirelens.fixed_values import FEATURE_NAMES
-from wirelens.operators import boosting
+from wirelens.operators import boosting, forest
 from wirelens.operators.ordered import null_safe_join
 from wirelens.operators.scoring import classify
 from wirelens.session import cut_lineage
@@ -132,15 +132,20 @@ class AttackClassifier:
                                 withMean=self.scale, withStd=self.scale)
         indexer = StringIndexer(inputCol="label", outputCol="label_index",
                                 stringOrderType="alphabetAsc")
-        forest = RandomForestClassifier(
-            numTrees=self.trees, maxDepth=self.depth, seed=self.seed, weightCol="weight",
-            featuresCol="scaled", labelCol="label_index")
-        return AttackClassifierModel(Pipeline(stages=[indexer, scaler, forest]).fit(rows))
+        prepared = Pipeline(stages=[indexer, scaler]).fit(rows)
+        weights = {r.label: r.weight for r in
+                   rows.groupBy("label").agg(F.max("weight").alias("weight")).collect()}
+        scaled = prepared.transform(rows).select("label", vector_to_array("scaled").alias("scaled"))
+        return AttackClassifierModel(prepared, forest.fit(
+            scaled, "label", "scaled", weights, self.trees, self.depth, self.seed))
 
 
 @dataclass
 class AttackClassifierModel:
+    """Boosted trees, or label codes and scaling with the forest behind them."""
+
     fitted: PipelineModel | boosting.BoostedModel
+    trees: forest.ForestModel | None = None
 
     @property
     def classes(self) -> list[str]:
@@ -156,8 +161,8 @@ class AttackClassifierModel:
         scored = df.withColumn("raw", array_to_vector(vector))
         for stage in self.fitted.stages[1:]:
             scored = stage.transform(scored)
-        helper = ["raw", "scaled", "rawPrediction", "probability", "prediction"]
-        return scored.withColumn(out, vector_to_array("probability")).drop(*helper)
+        scored = scored.withColumn("scaled", vector_to_array("scaled"))
+        return self.trees.probabilities(scored, "scaled", out).drop("raw", "scaled")
 
     def transform(self, df: DataFrame, vector: str = "vector") -> DataFrame:
         """E6 on top of the model."""
@@ -169,12 +174,13 @@ class AttackClassifierModel:
             self.fitted.save(SparkSession.active(), path)
         else:
             self.fitted.write().overwrite().save(path)
+            self.trees.save(SparkSession.active(), path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "AttackClassifierModel":
         stages = spark._jvm.org.apache.hadoop.fs.Path(path, "stages")
         if stages.getFileSystem(spark._jsc.hadoopConfiguration()).exists(stages):
-            return AttackClassifierModel(PipelineModel.load(path))
+            return AttackClassifierModel(PipelineModel.load(path), forest.ForestModel.load(spark, path))
         return AttackClassifierModel(boosting.BoostedModel.load(spark, path))
 
 

@@ -25,6 +25,7 @@ from wirelens.operators.iforest import IsolationForest
 from wirelens.plans import reports as rp
 from wirelens.plans import rollups, scoring_job
 from wirelens.schemas import FLOW_KEY
+from wirelens.session import cut_lineage
 from wirelens.sources import readers, trace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,11 +77,12 @@ def stand_in_probabilities() -> Column:
 
 
 def labelled_features(spark: SparkSession, d: str) -> DataFrame:
-    """Flow features with the stand-in class as label, in the shape training takes."""
+    """Flow features with the stand-in class as label, in the shape training takes. Fitting and scoring
+    both read them, so they are assembled and written once."""
     feats = ft.flow_features(packets(spark, d))
-    return stand_in_scores(feats).select(
+    return cut_lineage(stand_in_scores(feats).select(
         "id", *KEY, "flow_no", "last_us", F.col("attack_type").alias("label"),
-        ft.feature_array().alias("vector"))
+        ft.feature_array().alias("vector")))
 
 
 _ALERT = ["timestamp", "src_ip", "dst_ip", "attack_type", "threat_score", "recommended_action",
