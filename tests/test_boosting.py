@@ -95,3 +95,22 @@ def test_odd_rows(spark):
     one = boosting.fit(df.where("label = 'a'"), "label", "vector")
     assert len(one.rounds) == 1  # nothing to split
     assert boosting.fit(df.where("false"), "label", "vector").rounds == []
+
+
+def test_subtrees_of_a_round_are_dealt_to_a_task_each(spark, monkeypatch):
+    """Hashes of few slot numbers meet in some tasks while others have nothing to grow."""
+    x, label = rows_of(400)
+    data = boosting.binned_blocks(frame(spark, x, label), "label", "vector", boosting.BINS,
+                                  lambda ids, classes: np.zeros((len(ids), classes)))
+    seen, width = [], len(data.active)
+
+    def watched(self, *args, f=type(data.rows).groupBy):
+        seen.append(self.rdd.glom().map(len).collect())
+        return f(self, *args)
+
+    monkeypatch.setattr(type(data.rows), "groupBy", watched)
+    slots = [{0: k} for k in range(3)]
+    found = boosting._subtrees(data.rows, [], [boosting.Tree() for _ in slots], slots, [3] * 3, width,
+                               (0.1, 1.0, 1.0, boosting.BINS))
+    assert sorted(found) == [0, 1, 2] and all(len(t.left) > 1 for t in found.values())
+    assert [n > 0 for n in seen[0]] == [True] * 3

@@ -37,7 +37,7 @@ def test_subtree_equals_plain_loop():
     plan = forest.Plan(7, np.array([0, 1, 2, 3, 4, 5, 5]), weights, 5, 7)
     own = np.flatnonzero(times)
     tree = forest.grow(plan, held[own], truth[own], times[own], 4, 1, 5)
-    got = tree.shares[~tree.left[forest.descend(forest.packed(tree.feature, tree.cut, tree.left, 5), held)]]
+    got = tree.shares[~tree.left[forest.descend(forest.packed(tree.feature, tree.cut, tree.left), held)]]
 
     def mass(rows):
         return np.bincount(truth[rows], times[rows], 3) * weights

@@ -36,6 +36,27 @@ MIN_GAIN = 1e-9
 FOLD = 5
 
 
+def packed(feature: np.ndarray, cut: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """A number per node: its left child, which the right one follows, its feature and cut. Leaves, of a
+    ``left`` below 0, lead to themselves."""
+    leaf = left < 0
+    to = np.where(leaf, np.arange(len(left)), left).astype(np.int64)
+    # no bin is above 255
+    return to << 24 | np.where(leaf, 0, feature).astype(np.int64) << 8 | np.where(leaf, 255, cut)
+
+
+def descend(nodes: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The node in which each row of ``held`` ends; a contiguous array is not copied."""
+    flat, start = held.ravel(), np.arange(len(held)) * held.shape[1]
+    at = np.zeros(len(held), np.int64)
+    while True:
+        node = nodes.take(at)
+        below = (node >> 24) + (flat.take(start + (node >> 8 & 0xFFFF)) > (node & 255))
+        if np.array_equal(below, at):
+            return at
+        at = below
+
+
 @dataclass
 class Tree:
     """Node i goes to ``left[i]`` where its feature's bin is at most ``cut[i]``; leaves have left -1."""
@@ -57,12 +78,7 @@ class Tree:
 
     def leaves(self, bins: np.ndarray) -> np.ndarray:
         """The node in which each row of ``bins`` ends."""
-        node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        while True:
-            below = self.step_down(bins, node, rows)
-            if below is node:
-                return node
-            node = below
+        return descend(packed(*map(np.array, (self.feature, self.cut, self.left))), bins)
 
     def step_down(self, bins: np.ndarray, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """The next node of each row; ``node`` itself if all are leaves."""
@@ -238,14 +254,16 @@ BLOCKS = "bins binary, truth binary, extra binary"
 
 
 def _gradients(batch: pa.RecordBatch, recent: list[list[Tree]], width: int, classes: int
-               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bins, gradients, curvatures) of a batch of stored blocks, a column per class."""
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bins with a row per feature, with a row per table row, gradients, curvatures) of a batch of stored
+    blocks, the latter with a column per class."""
     held, truth, extra = read_blocks(batch, width)
     margins = np.frombuffer(extra).reshape(-1, classes).copy()
+    by_row = np.ascontiguousarray(held.T)
     for trees in recent:
-        add_round(margins, held.T, trees)
+        add_round(margins, by_row, trees)
     p = softmax(margins)
-    return held, p - (truth[:, None] == np.arange(classes)), np.maximum(2 * p * (1 - p), 1e-16)
+    return held, by_row, p - (truth[:, None] == np.arange(classes)), np.maximum(2 * p * (1 - p), 1e-16)
 
 
 def _histograms(rows: DataFrame, recent: list[list[Tree]], growing: list[Tree],
@@ -262,11 +280,11 @@ def _histograms(rows: DataFrame, recent: list[list[Tree]], growing: list[Tree],
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held, g, h = _gradients(batch, recent, width, len(growing))
+            held, by_row, g, h = _gradients(batch, recent, width, len(growing))
             for k, tree in enumerate(growing):
                 if slots[k]:
                     own = slice(firsts[k], firsts[k] + len(slots[k]))
-                    slot = places[k][tree.leaves(held.T)]
+                    slot = places[k][tree.leaves(by_row)]
                     total[own] += sums(held, np.where(slot < 0, -1, slot - firsts[k]),
                                        [g[:, k], h[:, k], None], len(slots[k]), bins)
         cells = total.reshape(number * width, 3 * bins)
@@ -313,10 +331,10 @@ def _subtrees(rows: DataFrame, recent: list[list[Tree]], growing: list[Tree],
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held, g, h = _gradients(batch, recent, width, len(growing))
+            held, by_row, g, h = _gradients(batch, recent, width, len(growing))
             for k, tree in enumerate(growing):
                 # one record per slot, not per row
-                for slot, own in deal_slots(places[k][tree.leaves(held.T)]):
+                for slot, own in deal_slots(places[k][tree.leaves(by_row)]):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([slot], pa.int32()),
                          *[pa.array([x.tobytes()], pa.binary()) for x in (
@@ -334,7 +352,9 @@ def _subtrees(rows: DataFrame, recent: list[list[Tree]], growing: list[Tree],
                          pa.array([tree.value], pa.list_(pa.float64()))],
                         names=[part.split()[0] for part in _SUBTREE.split(", ")])
 
-    dealt = rows.mapInArrow(deal, "slot int, bins binary, g binary, h binary")
+    # a partition per slot, where hashes would bring some together and leave other tasks without work
+    dealt = rows.mapInArrow(deal, "slot int, bins binary, g binary, h binary").repartitionById(
+        len(left), "slot")
     return {r["slot"]: Tree(r["feature"], r["cut"], r["left"], r["right"], r["value"])
             for r in dealt.groupBy("slot").applyInArrow(finish, _SUBTREE).toArrow().to_pylist()}
 
@@ -360,8 +380,9 @@ def _folded(rows: DataFrame, recent: list[list[Tree]], width: int, classes: int)
                 continue
             held, truth, extra = read_blocks(batch, width)
             margins = np.frombuffer(extra).reshape(-1, classes).copy()
+            by_row = np.ascontiguousarray(held.T)
             for trees in recent:
-                add_round(margins, held.T, trees)
+                add_round(margins, by_row, trees)
             yield write_blocks(held, truth, margins)
 
     return cut_lineage(rows.mapInArrow(run, BLOCKS))

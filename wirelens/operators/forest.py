@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.operators.boosting import BINS, _matrix, binned, binned_blocks, deal_slots, read_blocks
+from wirelens.operators.boosting import (BINS, _matrix, binned, binned_blocks, deal_slots, descend, packed,
+                                         read_blocks)
 from wirelens.operators.iforest import tree_draws
 
 # rows of a node whose subtree one task grows
@@ -88,26 +89,6 @@ def best_cuts(hist: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nda
     return gain, feature, cut, low[:, nodes, feature, cut].T
 
 
-def packed(feature: np.ndarray, cut: np.ndarray, left: np.ndarray, zeros: int) -> np.ndarray:
-    """A number per node: where it leads, its feature and cut. Leaves, of a ``left`` below 0, lead to
-    themselves by the feature ``zeros``."""
-    leaf = left < 0
-    to = np.where(leaf, np.arange(len(left)), left).astype(np.int64)
-    return to << 24 | np.where(leaf, zeros, feature).astype(np.int64) << 8 | np.where(leaf, 255, cut)
-
-
-def descend(nodes: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """The node in which each row of ``held`` ends."""
-    flat, start = held.ravel(), np.arange(len(held)) * held.shape[1]
-    at = np.zeros(len(held), np.int64)
-    while True:
-        node = nodes.take(at)
-        below = (node >> 24) + (flat.take(start + (node >> 8 & 0xFFFF)) > (node & 255))
-        if np.array_equal(below, at):
-            return at
-        at = below
-
-
 @dataclass
 class Trees:
     """Nodes of one tree: rows with a bin of at most ``cut`` go to ``left``, others to the node after it.
@@ -229,7 +210,7 @@ class Top:
         place = np.full(len(self.left), -1)
         place[list(known)] = list(known.values())
         columns = map(np.array, (self.feature, self.cut, self.left))
-        return place[descend(packed(*columns, held.shape[1] - 1), held)]
+        return place[descend(packed(*columns), held)]
 
     def joined(self, below: dict[int, Trees], weights: np.ndarray) -> Trees:
         """The whole tree; splits over sister leaves of one class are taken back here, too."""
@@ -380,7 +361,7 @@ class ForestModel:
 
     @cached_property
     def nodes(self) -> list[np.ndarray]:
-        return [packed(t.feature, t.cut, t.left, len(self.active)) for t in self.trees]
+        return [packed(t.feature, t.cut, t.left) for t in self.trees]
 
     def shares(self, values: np.ndarray) -> np.ndarray:
         held = np.zeros((len(values), len(self.active) + 1), np.uint8)
