@@ -97,3 +97,47 @@ def test_one_class(spark, label):
     model = AttackClassifier(trees=5, depth=3).fit(df)
     assert model.classes == ["a"]
     assert {r.confidence for r in model.transform(df.where("label = 'a'")).collect()} == {1.0}
+
+
+def test_half_a_million_rows_are_grown_without_a_pass_a_level(spark, monkeypatch):
+    """A pass over all rows for each level and all trees took as long as the growing itself."""
+    def passes(*_):
+        raise AssertionError("a pass over the blocks for nodes that one task can hold")
+
+    monkeypatch.setattr(forest, "_splits", passes)
+    df = spark.range(500_000).selectExpr("IF(hash(id) % 3 = 0, 'a', 'b') AS label",
+                                         "array(double(id % 40), double(hash(id) % 9)) AS vector")
+    model = forest.fit(df.cache(), "label", "vector", {"a": 1.0, "b": 1.0}, 2, 4, 42)
+    assert len(model.trees) == 2
+
+
+def test_counts_of_large_and_small_nodes():
+    rng = np.random.default_rng(3)
+    rows, classes, sizes = 20_000, 11, [3, forest.OWN_ROWS, 0, 9000, 1, forest.OWN_ROWS - 1, 40, 2]
+    held, truth = rng.integers(0, forest.BINS, (rows, 7)).astype(np.uint8), rng.integers(0, classes, rows)
+    held[:, 6] = 0  # stands for all features of one bin
+    first, own = np.concatenate([[0], np.cumsum(sizes)]), rng.permutation(rows)[:sum(sizes)]
+    times = rng.integers(1, 4, len(own)).astype(float)
+    tried = np.sort(rng.integers(0, 7, (len(sizes), 4)), axis=1)
+    got = forest.Cells(held, truth, classes).counted(own, first, times, tried)
+    want = np.zeros((classes, len(sizes), 4, forest.BINS))
+    node = np.repeat(np.arange(len(sizes)), sizes)
+    for j in range(4):
+        np.add.at(want, (truth[own], node, j, held[own, tried[node, j]]), times)
+    np.testing.assert_array_equal(got, want)
+
+
+def test_rows_in_the_order_of_their_nodes():
+    for number in (3, 40_000):
+        place = np.random.default_rng(4).integers(-1, number, 5000)
+        order, first = forest.by_place(place, number)
+        assert order.tolist() == [i for n in range(number) for i in np.flatnonzero(place == n)] if number < 9 \
+            else (np.diff(place[order]) >= 0).all()
+        np.testing.assert_array_equal(place[order], np.repeat(np.arange(number), np.diff(first)))
+
+
+def test_bootstraps_near_a_threshold(monkeypatch):
+    draws = np.concatenate([forest._POISSON, forest._POISSON - 1, forest._POISSON + 1])
+    monkeypatch.setattr(forest, "tree_draws", lambda keys, tree: keys)
+    np.testing.assert_array_equal(forest.bootstrap(draws, 0),
+                                  np.searchsorted(forest._POISSON, draws, side="right"))

@@ -21,25 +21,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.operators.boosting import (BINS, _matrix, binned, binned_blocks, deal_slots, descend, packed,
-                                         read_blocks)
+from wirelens.operators.boosting import BINS, _matrix, binned, binned_blocks, descend, packed, read_blocks
 from wirelens.operators.iforest import tree_draws
 
-# rows of a node whose subtree one task grows
-LOCAL_ROWS = 1 << 17
+# rows of a node whose subtree one task grows, about 40 bytes each and four times that while it works
+LOCAL_ROWS = 1 << 20
 # shuffled bytes of a batch of trees
 BATCH_BYTES = 3 << 30
 # histogram cells that are compared at a time
 CELLS = 1 << 18
+# rows from which a node is counted by itself, and rows that are counted at a time, which fit a core's cache
+OWN_ROWS, GROUP_ROWS = 1 << 10, 1 << 13
 MIN_GAIN = 1e-12
 # a row is in a bootstrap as often as thresholds are at most its draw
 _POISSON = np.array([int(2.0 ** 64 * min(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)),
                                          1 - 2.0 ** -53)) for k in range(12)], "uint64")
 
 
+# the same by a draw's upper half, where no threshold lies within it
+_HALF = np.searchsorted(_POISSON, np.arange(1 << 16, dtype="uint64") << np.uint64(48), side="right").astype(np.uint8)
+_HALF[(_POISSON >> np.uint64(48)).astype(int)] = 255
+
+
 def bootstrap(keys: np.ndarray, tree: int) -> np.ndarray:
     """How often each row is in the tree's bootstrap."""
-    return np.searchsorted(_POISSON, tree_draws(keys, tree), side="right").astype(np.uint8)
+    draws = tree_draws(keys, tree)
+    out = _HALF.take((draws >> np.uint64(48)).astype(np.int64))
+    near = np.flatnonzero(out == 255)
+    out[near] = np.searchsorted(_POISSON, draws[near], side="right")
+    return out
 
 
 def drawn_features(path: np.ndarray, tree: int, seed: int, width: int) -> np.ndarray:
@@ -50,15 +60,59 @@ def drawn_features(path: np.ndarray, tree: int, seed: int, width: int) -> np.nda
     return np.sort(np.argpartition(draws, number - 1, axis=1)[:, :number], axis=1)
 
 
-def counted(held: np.ndarray, rows: np.ndarray, place: np.ndarray, truth: np.ndarray, times: np.ndarray,
-            tried: np.ndarray, classes: int) -> np.ndarray:
-    """(class, node, tried feature, bin) counts of some rows of ``held``; ``place``, ``truth`` and
-    ``times`` are those rows' nodes, classes and numbers."""
-    number, picks = tried.shape
-    at = held.ravel()[(rows * held.shape[1])[:, None] + tried[place]].astype(np.int64)
-    at += ((truth * number + place) * (picks * BINS))[:, None] + np.arange(0, picks * BINS, BINS)
-    found = np.bincount(at.ravel(), np.repeat(times.astype(float), picks), classes * number * picks * BINS)
-    return found.reshape(classes, number, picks, BINS)
+class Cells:
+    """Rows by class and bin: a number below classes * BINS per row and feature, of which ``held`` gives the
+    bins."""
+
+    def __init__(self, held: np.ndarray, truth: np.ndarray, classes: int) -> None:
+        kind = next(t for t in (np.uint8, np.uint16, np.int32) if classes * BINS <= np.iinfo(t).max + 1)
+        self.classes, self.width = classes, held.shape[1]
+        self.by_row = held.astype(kind)
+        self.by_row += (truth * BINS).astype(kind)[:, None]
+        self.by_feature = np.ascontiguousarray(self.by_row.T)
+
+    def counted(self, rows: np.ndarray, first: np.ndarray, times: np.ndarray, tried: np.ndarray) -> np.ndarray:
+        """(class, node, tried feature, bin) counts of ``rows``, which are in the order of their nodes: node
+        i has those from ``first[i]`` on. ``times`` are the numbers of the rows."""
+        number, picks, size = len(tried), tried.shape[1], self.classes * BINS
+        out, held = np.empty((number, picks, size)), np.diff(first)
+        for i in np.flatnonzero(held >= OWN_ROWS):
+            # features that take one bin are one column
+            known = {feature: np.zeros(size) for feature in tried[i].tolist()}
+            for lo in range(first[i], first[i + 1], GROUP_ROWS):
+                span = slice(lo, min(lo + GROUP_ROWS, first[i + 1]))
+                own, often = rows[span], times[span]
+                for feature, total in known.items():
+                    total += np.bincount(self.by_feature[feature].take(own), often, size)
+            out[i] = [known[feature] for feature in tried[i].tolist()]
+        # nodes side by side, as many as there is room for
+        few, ends = held < OWN_ROWS, first[1:]
+        flat, i = self.by_row.ravel(), 0
+        while i < number:
+            if not few[i]:
+                i += 1
+                continue
+            stop = max(i + 1, int(np.searchsorted(ends, first[i] + GROUP_ROWS, side="right")))
+            big = np.flatnonzero(~few[i:stop])
+            stop = min(i + int(big[0]) if len(big) else stop, i + max(1, CELLS // size))
+            span = slice(first[i], first[stop])
+            place, often = np.repeat(np.arange(stop - i), held[i:stop]), times[span]
+            start, offset = rows[span] * self.width, place * size
+            for j in range(picks):
+                at = offset + flat.take(start + tried[i:stop, j].take(place))
+                out[i:stop, j] = np.bincount(at, often, (stop - i) * size).reshape(-1, size)
+            i = stop
+        return np.ascontiguousarray(out.reshape(number, picks, self.classes, BINS).transpose(2, 0, 1, 3))
+
+
+def by_place(place: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of rows by their nodes 0 to ``number`` - 1, without those at -1; each node's first place in
+    it, and the end)."""
+    # short numbers are sorted by their digits
+    kind = np.int16 if number < 1 << 15 else np.int32
+    order = np.argsort(place.astype(kind), kind="stable")
+    held = np.bincount(place + 1, minlength=number + 1)
+    return order[held[0]:], np.concatenate([[0], np.cumsum(held[1:])])
 
 
 def best_cuts(hist: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -141,12 +195,24 @@ class Plan:
         return self.stored[drawn_features(path, tree, self.seed, self.width)]
 
 
+def _nodes_of(rows: np.ndarray, first: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of their nodes, and where each begins, of some of the nodes."""
+    if len(nodes) == len(first) - 1:
+        return rows, first
+    held = np.diff(first)
+    kept = np.zeros(len(held), bool)
+    kept[nodes] = True
+    return rows[np.repeat(kept, held)], np.concatenate([[0], np.cumsum(held[nodes])])
+
+
 def grow(plan: Plan, held: np.ndarray, truth: np.ndarray, times: np.ndarray, tree: int, root: int,
          levels: int) -> Trees:
     """The subtree of ``levels`` splits below the node ``root``, level by level."""
     classes = len(plan.weights)
     counts = np.bincount(truth, times, classes)[None, :]
-    path, place, rows, parts, first = np.array([root]), np.zeros(len(truth), np.int64), np.arange(len(truth)), [], 0
+    cells, flat, times = Cells(held, truth, classes), held.ravel(), times.astype(float)
+    # rows in the order of their nodes, of which each has those from ``first`` on
+    path, rows, first, parts, nodes = (np.array([root]), np.arange(len(truth)), np.array([0, len(truth)]), [], 0)
     for level in range(levels + 1):
         number = len(path)
         feature, cut, left = np.zeros(number, np.int64), np.zeros(number, np.int64), np.full(number, -1)
@@ -154,35 +220,27 @@ def grow(plan: Plan, held: np.ndarray, truth: np.ndarray, times: np.ndarray, tre
         open_ = np.flatnonzero((counts > 0).sum(axis=1) > 1) if level < levels else []
         if not len(open_):
             break
-        rank = np.full(number, -1)
-        rank[open_] = np.arange(len(open_))
-        place = rank[place]
-        keep = np.flatnonzero(place >= 0)
-        keep = keep[np.argsort(place[keep].astype(np.int32), kind="stable")]
-        rows, place = rows[keep], place[keep]
-        tried = plan.tried(path[open_], tree)
+        rows, first = _nodes_of(rows, first, open_)
+        tried, often = plan.tried(path[open_], tree), times.take(rows)
         step = max(1, CELLS // (tried.shape[1] * BINS * classes))
         found = []
         for start in range(0, len(open_), step):
-            lo, hi = np.searchsorted(place, [start, start + step])
-            own = rows[lo:hi]
-            found.append(best_cuts(counted(held, own, place[lo:hi] - start, truth[own], times[own],
-                                           tried[start:start + step], classes), plan.weights))
+            ends = first[start:start + step + 1]
+            found.append(best_cuts(cells.counted(rows[ends[0]:ends[-1]], ends - ends[0], often[ends[0]:ends[-1]],
+                                                 tried[start:start + step]), plan.weights))
         gain, which, at, low = (np.concatenate(x) for x in zip(*found, strict=True))
         split = np.flatnonzero(gain > MIN_GAIN)
         node = open_[split]
         feature[node], cut[node] = tried[split, which[split]], at[split]
-        left[node] = first + number + 2 * np.arange(len(split))
-        first += number
+        left[node] = nodes + number + 2 * np.arange(len(split))
+        nodes += number
         if not len(split):
             break
-        rank = np.full(len(open_), -1)
-        rank[split] = np.arange(len(split))
-        goes = rank[place]
-        keep = np.flatnonzero(goes >= 0)
-        rows, goes, place = rows[keep], goes[keep], place[keep]
-        mine = open_[place]
-        place = 2 * goes + (held[rows, feature[mine]] > cut[mine])
+        rows, first = _nodes_of(rows, first, split)
+        place = np.repeat(np.arange(len(split)), np.diff(first))
+        high = flat.take(rows * held.shape[1] + feature[node].take(place)) > cut[node].astype(np.uint8).take(place)
+        order, first = by_place(2 * place + high, 2 * len(split))
+        rows = rows.take(order)
         counts = np.stack([low[split], counts[node] - low[split]], axis=1).reshape(-1, classes)
         path = (2 * path[node][:, None] + np.arange(2)).ravel()
     return pruned(*(np.concatenate(x) for x in zip(*parts, strict=True)), plan.weights)
@@ -263,6 +321,16 @@ def _rows_of(batch: pa.RecordBatch, stored: int, seed: int) -> tuple[np.ndarray,
     return wide, truth, tree_draws(np.frombuffer(numbers, np.int64).view("uint64"), seed)
 
 
+def _in_nodes(top: Top, known: dict[int, int], held: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the bootstrap in the order of the numbered nodes that they reach, where each node's begin)."""
+    own = np.flatnonzero(times)
+    if len(top.left) == 1:
+        return own, np.array([0, len(own)])
+    place = top.places(held.take(own, axis=0), known)
+    order, starts = by_place(np.where(place < 0, -1, place - min(known.values())), len(known))
+    return own.take(order), starts
+
+
 def _splits(rows: DataFrame, tops: dict[int, Top], slots: dict[int, dict[int, int]], plan: Plan, stored: int
             ) -> dict[int, dict]:
     """The best split of every numbered node, from counts of all tasks."""
@@ -275,12 +343,11 @@ def _splits(rows: DataFrame, tops: dict[int, Top], slots: dict[int, dict[int, in
             if not batch.num_rows:
                 continue
             held, truth, keys = _rows_of(batch, stored, plan.seed)
+            cells = Cells(held, truth, classes)
             for tree, known in slots.items():
-                first = min(known.values())
-                place = tops[tree].places(held, known)
-                times = bootstrap(keys, tree)
-                own = np.flatnonzero((place >= 0) & (times > 0))
-                hist = counted(held, own, place[own] - first, truth[own], times[own], tried[tree], classes)
+                first, times = min(known.values()), bootstrap(keys, tree)
+                own, starts = _in_nodes(tops[tree], known, held, times)
+                hist = cells.counted(own, starts, times.take(own).astype(float), tried[tree])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(first, first + len(known)), pa.int32()),
                      pa.array([hist[:, i].astype(np.int32).tobytes() for i in range(len(known))],
@@ -313,33 +380,38 @@ def _subtrees(rows: DataFrame, tops: dict[int, Top], slots: dict[int, dict[int,
     """The subtree below every numbered node."""
     about = {slot: (tree, tops[tree].path[node]) for tree, known in slots.items()
              for node, slot in known.items()}
+    kind = np.uint8 if len(plan.weights) <= 256 else np.int32
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             held, truth, keys = _rows_of(batch, stored, plan.seed)
+            truth = truth.astype(kind)
             for tree, known in slots.items():
-                times = bootstrap(keys, tree)
-                place = np.where(times > 0, tops[tree].places(held, known), -1)
-                for slot, own in deal_slots(place):
+                first, times = min(known.values()), bootstrap(keys, tree)
+                own, starts = _in_nodes(tops[tree], known, held, times)
+                for i in np.flatnonzero(np.diff(starts)).tolist():
+                    mine = own[starts[i]:starts[i + 1]]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([slot], pa.int32()), *[pa.array([x[own].tobytes()], pa.binary()) for x in (
-                            held, truth, times)]], ["slot", "bins", "truth", "times"])
+                        [pa.array([first + i], pa.int32()),
+                         *[pa.array([x.take(mine, axis=0).tobytes()], pa.binary()) for x in (held, truth, times)]],
+                        ["slot", "bins", "truth", "times"])
 
     def finish(table: pa.Table) -> pa.Table:
         slot = table.column(0)[0].as_py()
         tree, path = about[slot]
         held, truth, times = (np.frombuffer(b"".join(table.column(i).to_pylist()), t) for i, t in (
-            (1, np.uint8), (2, np.int32), (3, np.uint8)))
-        t = grow(plan, held.reshape(-1, stored + 1), truth, times, tree, path,
+            (1, np.uint8), (2, kind), (3, np.uint8)))
+        t = grow(plan, held.reshape(-1, stored + 1), truth.astype(np.int32), times, tree, path,
                  plan.depth - (path.bit_length() - 1))
         return pa.table([pa.array([slot], pa.int32()),
                          *[pa.array([x.tobytes()], pa.binary()) for x in (t.feature, t.cut, t.left, t.shares)]],
                         names=["slot", "feature", "cut", "left", "shares"])
 
     dealt = rows.mapInArrow(deal, "slot int, bins binary, truth binary, times binary")
-    found = dealt.repartition(min(len(about), 1024), "slot").groupBy("slot").applyInArrow(
+    # slots are dealt in turn, where hashes would bring some together and leave other tasks without work
+    found = dealt.repartitionById(min(len(about), 1024), "slot").groupBy("slot").applyInArrow(
         finish, "slot int, feature binary, cut binary, left binary, shares binary").toArrow()
     return {r["slot"]: _unpacked(r, len(plan.weights)) for r in found.to_pylist()}
 
@@ -439,6 +511,7 @@ def fit(rows: DataFrame, label: str, vector: str, weights: dict[str, float], tre
                     if (held > 0).sum() > 1 and top.path[child].bit_length() - 1 < depth:
                         top.open[child] = held.sum()
     size = max(1, int(batch_bytes // (data.size * (stored + 6))))
+    size = -(-trees // -(-trees // size))  # batches are alike
     for start in range(0, trees, size):
         slots = {}
         for tree in range(start, min(start + size, trees)):
