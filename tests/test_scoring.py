@@ -250,3 +250,24 @@ def test_minutes_are_utc(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert out.m == "2024-01-01 00:00"
+
+
+def test_isolation_scores_in_pieces_equal_a_walk_per_row(monkeypatch):
+    """Rows are scored in pieces that fit a cache; a missing value fails every comparison."""
+    import pandas as pd
+    monkeypatch.setattr("wirelens.operators.iforest._SCORED_ROWS", 7)
+    rng = np.random.default_rng(8)
+    x = rng.random((50, 4))
+    x[::9, 1] = np.nan
+    grown = [grow_tree(rng.random((32, 4)), tree, 42) for tree in range(3)]
+    nodes = pd.DataFrame([n for t in grown for n in t],
+                         columns=["tree", "node", "feature", "threshold", "left", "right", "size"])
+
+    def length(tree, row):
+        at, steps = 0, 0
+        while tree[at][2] >= 0:
+            at, steps = tree[at][4 if row[tree[at][2]] <= tree[at][3] else 5], steps + 1
+        return steps + float(path_constant(tree[at][6]))
+
+    want = [-2 ** -(np.mean([length(t, row) for t in grown]) / float(path_constant(32))) for row in x]
+    np.testing.assert_allclose(forest_score(forest_arrays(nodes, 32), x), want, rtol=1e-12)

@@ -25,6 +25,8 @@ NODES = ("tree int, node int, feature int, threshold double, left int, right int
 _QUANTILE_ACCURACY = 1_000_000
 # the least draws of a tree are merged in this many groups before they meet
 _MERGE_GROUPS = 64
+# rows scored at a time, which fit a core's cache
+_SCORED_ROWS = 1 << 12
 
 
 def tree_draws(keys: np.ndarray, tree: int) -> np.ndarray:
@@ -116,8 +118,8 @@ def forest_arrays(nodes: pd.DataFrame, sample_size: int) -> dict:
     for i in np.flatnonzero(~leaf):
         depth[left[i]] = depth[right[i]] = depth[i] + 1
     return {
-        "roots": first.to_numpy(), "feature": np.maximum(feature, 0), "left": left,
-        "right": right, "threshold": nodes["threshold"].to_numpy(),
+        "roots": first.to_numpy(), "feature": np.maximum(feature, 0),
+        "children": np.stack([left, right], axis=1).ravel(), "threshold": nodes["threshold"].to_numpy(),
         "path": depth + path_constant(nodes["size"].to_numpy()),
         "steps": int(depth.max()) if len(depth) else 0,
         "norm": float(path_constant(sample_size))}
@@ -126,13 +128,15 @@ def forest_arrays(nodes: pd.DataFrame, sample_size: int) -> dict:
 def forest_score(forest: dict, x: np.ndarray) -> np.ndarray:
     """-2^(-E[h]/c): close to -1 for outliers, above -0.5 for ordinary rows."""
     total = np.zeros(len(x))
-    rows = np.arange(len(x))
-    for root in forest["roots"]:
-        at = np.full(len(x), root)
-        for _ in range(forest["steps"]):
-            go_left = x[rows, forest["feature"][at]] <= forest["threshold"][at]
-            at = np.where(go_left, forest["left"][at], forest["right"][at])
-        total += forest["path"][at]
+    for first in range(0, len(x), _SCORED_ROWS):
+        part = np.ascontiguousarray(x[first:first + _SCORED_ROWS], float)
+        flat, start = part.ravel(), np.arange(len(part)) * part.shape[1]
+        for root in forest["roots"]:
+            at = np.full(len(part), root)
+            for _ in range(forest["steps"]):
+                go_left = flat.take(start + forest["feature"].take(at)) <= forest["threshold"].take(at)
+                at = forest["children"].take(2 * at + ~go_left)
+            total[first:first + _SCORED_ROWS] += forest["path"].take(at)
     mean = total / max(len(forest["roots"]), 1)
     if not forest["norm"]:
         return np.full(len(x), -0.5)
