@@ -61,6 +61,13 @@ def raw_shuffles(df):
     return out
 
 
+def test_flows_are_sorted_by_numbers_first(spark):
+    """Addresses mostly begin alike, so sorting by them first compares whole rows."""
+    plan = plan_of(ft.flow_features(trace.packets(spark, DATA)))
+    sorts = re.findall(r"\bSort \[(\w+)#", plan)
+    assert sorts and set(sorts) <= {"_slot", "flow_no"}, sorts
+
+
 @pytest.mark.parametrize("build", [
     lambda s: ft.flow_features(trace.packets(s, DATA), cfg=UNTIED),
     lambda s: ft.flow_features(trace.packets(s, DATA), "session", cfg=UNTIED),

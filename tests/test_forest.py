@@ -136,6 +136,18 @@ def test_rows_in_the_order_of_their_nodes():
         np.testing.assert_array_equal(place[order], np.repeat(np.arange(number), np.diff(first)))
 
 
+def test_nodes_are_halved_without_sorting():
+    """Rows of each node go to its two halves in their order; a half may be empty."""
+    rng = np.random.default_rng(4)
+    first = np.array([0, 5, 6, 40, 90])
+    high = rng.random(90) < 0.4
+    high[:5], high[6:40] = True, False
+    order, ends = forest.halves(high, first)
+    node = np.repeat(np.arange(4), np.diff(first))
+    assert order.tolist() == np.argsort(2 * node + high, kind="stable").tolist()
+    assert np.diff(ends).tolist() == np.bincount(2 * node + high, minlength=8).tolist()
+
+
 def test_bootstraps_near_a_threshold(monkeypatch):
     draws = np.concatenate([forest._POISSON, forest._POISSON - 1, forest._POISSON + 1])
     monkeypatch.setattr(forest, "tree_draws", lambda keys, tree: keys)

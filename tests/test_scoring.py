@@ -271,3 +271,11 @@ def test_isolation_scores_in_pieces_equal_a_walk_per_row(monkeypatch):
 
     want = [-2 ** -(np.mean([length(t, row) for t in grown]) / float(path_constant(32))) for row in x]
     np.testing.assert_allclose(forest_score(forest_arrays(nodes, 32), x), want, rtol=1e-12)
+
+
+def test_isolation_scores_of_short_rows_are_refused():
+    import pandas as pd
+    grown = grow_tree(np.random.default_rng(2).random((32, 4)), 0, 42)
+    nodes = pd.DataFrame(grown, columns=["tree", "node", "feature", "threshold", "left", "right", "size"])
+    with pytest.raises(IndexError):
+        forest_score(forest_arrays(nodes, 32), np.zeros((5, 2)))

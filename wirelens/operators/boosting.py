@@ -50,8 +50,11 @@ def descend(nodes: np.ndarray, held: np.ndarray) -> np.ndarray:
     flat, start = held.ravel(), np.arange(len(held)) * held.shape[1]
     at = np.zeros(len(held), np.int64)
     while True:
-        node = nodes.take(at)
-        below = (node >> 24) + (flat.take(start + (node >> 8 & 0xFFFF)) > (node & 255))
+        # all places exist, so they are looked up without numpy's slower check
+        node = nodes.take(at, mode="clip")
+        below = node >> 24
+        node &= 0xFFFFFF
+        below += flat.take(start + (node >> 8), mode="clip") > node.astype(np.uint8)
         if np.array_equal(below, at):
             return at
         at = below

@@ -81,7 +81,8 @@ def slot_sums(packets: DataFrame, cfg: Settings = DEFAULTS, bidirectional: bool
             *FLAG_COUNTS)
     df = df.withColumn(SLOT, slot_start("ts_us", cfg.slot_s * _US))
     if gaps:
-        order = Window.partitionBy(*FLOW_KEY, SLOT, "side").orderBy("ts_us", "first_id")
+        # sorted by the slot first, a number: addresses are texts that mostly begin alike
+        order = Window.partitionBy(SLOT, *FLOW_KEY, "side").orderBy("ts_us", "first_id")
         df = df.withColumn("gap", F.col("ts_us") - F.lag("ts_us").over(order))
     else:
         df = df.withColumn("gap", F.lit(0).cast("long"))
@@ -124,7 +125,7 @@ def flow_sums(packets: DataFrame, mode: str = "tumbling", bidirectional: bool =
     """
     sums = number_flows(slot_sums(packets, cfg, bidirectional, gaps), mode, cfg)
     # gaps across slot borders: previous slot of the same flow and side
-    prior = Window.partitionBy(*FLOW_KEY, FLOW_NO, "side").orderBy(SLOT)
+    prior = Window.partitionBy(FLOW_NO, *FLOW_KEY, "side").orderBy(SLOT)
     sums = sums.withColumn("gap", F.col("first_us") - F.lag("last_us").over(prior))
     big = "decimal(38,0)"
     replaced = {

@@ -62,14 +62,21 @@ def drawn_features(path: np.ndarray, tree: int, seed: int, width: int) -> np.nda
 
 class Cells:
     """Rows by class and bin: a number below classes * BINS per row and feature, of which ``held`` gives the
-    bins."""
+    bins. Places looked up with mode "clip" all exist; numpy finds them faster than with its check."""
 
     def __init__(self, held: np.ndarray, truth: np.ndarray, classes: int) -> None:
         kind = next(t for t in (np.uint8, np.uint16, np.int32) if classes * BINS <= np.iinfo(t).max + 1)
         self.classes, self.width = classes, held.shape[1]
         self.by_row = held.astype(kind)
         self.by_row += (truth * BINS).astype(kind)[:, None]
-        self.by_feature = np.ascontiguousarray(self.by_row.T)
+        # turned in pieces that fit a cache
+        self.by_feature = np.empty((self.width, len(held)), kind)
+        for lo in range(0, len(held), GROUP_ROWS):
+            self.by_feature[:, lo:lo + GROUP_ROWS] = self.by_row[lo:lo + GROUP_ROWS].T
+
+    def bins(self, rows: np.ndarray, feature: np.ndarray) -> np.ndarray:
+        """The bin of each row in its own feature."""
+        return self.by_row.ravel().take(rows * self.width + feature, mode="clip") % BINS
 
     def counted(self, rows: np.ndarray, first: np.ndarray, times: np.ndarray, tried: np.ndarray) -> np.ndarray:
         """(class, node, tried feature, bin) counts of ``rows``, which are in the order of their nodes: node
@@ -83,7 +90,7 @@ class Cells:
                 span = slice(lo, min(lo + GROUP_ROWS, first[i + 1]))
                 own, often = rows[span], times[span]
                 for feature, total in known.items():
-                    total += np.bincount(self.by_feature[feature].take(own), often, size)
+                    total += np.bincount(self.by_feature[feature].take(own, mode="clip"), often, size)
             out[i] = [known[feature] for feature in tried[i].tolist()]
         # nodes side by side, as many as there is room for
         few, ends = held < OWN_ROWS, first[1:]
@@ -96,10 +103,10 @@ class Cells:
             big = np.flatnonzero(~few[i:stop])
             stop = min(i + int(big[0]) if len(big) else stop, i + max(1, CELLS // size))
             span = slice(first[i], first[stop])
-            place, often = np.repeat(np.arange(stop - i), held[i:stop]), times[span]
-            start, offset = rows[span] * self.width, place * size
+            own, often = held[i:stop], times[span]
+            start, offset = rows[span] * self.width, np.repeat(np.arange(stop - i) * size, own)
             for j in range(picks):
-                at = offset + flat.take(start + tried[i:stop, j].take(place))
+                at = offset + flat.take(start + np.repeat(tried[i:stop, j], own), mode="clip")
                 out[i:stop, j] = np.bincount(at, often, (stop - i) * size).reshape(-1, size)
             i = stop
         return np.ascontiguousarray(out.reshape(number, picks, self.classes, BINS).transpose(2, 0, 1, 3))
@@ -115,6 +122,21 @@ def by_place(place: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
     return order[held[0]:], np.concatenate([[0], np.cumsum(held[1:])])
 
 
+def halves(high: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of rows by their nodes' halves, first those not ``high``; each half's first place in it, and
+    the end) of rows in the order of their nodes, of which none is empty."""
+    up, down = np.flatnonzero(high), np.flatnonzero(~high)
+    ups = np.add.reduceat(high, first[:-1], dtype=np.int64)
+    held = np.stack([np.diff(first) - ups, ups], axis=1)
+    ends = np.concatenate([[0], np.cumsum(held.ravel())])
+    order = np.empty(len(high), np.int64)
+    for side, rows in ((0, down), (1, up)):
+        # a node's rows of this side come one after the other, here and in ``rows``
+        before = np.cumsum(held[:, side]) - held[:, side]
+        order[np.arange(len(rows)) + np.repeat(ends[side:-1:2] - before, held[:, side])] = rows
+    return order, ends
+
+
 def best_cuts(hist: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(gain of Gini impurity, which tried feature, cut, class counts up to the cut) per node."""
     low = np.cumsum(hist, axis=-1)
@@ -210,7 +232,7 @@ def grow(plan: Plan, held: np.ndarray, truth: np.ndarray, times: np.ndarray, tre
     """The subtree of ``levels`` splits below the node ``root``, level by level."""
     classes = len(plan.weights)
     counts = np.bincount(truth, times, classes)[None, :]
-    cells, flat, times = Cells(held, truth, classes), held.ravel(), times.astype(float)
+    cells, times = Cells(held, truth, classes), times.astype(float)
     # rows in the order of their nodes, of which each has those from ``first`` on
     path, rows, first, parts, nodes = (np.array([root]), np.arange(len(truth)), np.array([0, len(truth)]), [], 0)
     for level in range(levels + 1):
@@ -221,7 +243,7 @@ def grow(plan: Plan, held: np.ndarray, truth: np.ndarray, times: np.ndarray, tre
         if not len(open_):
             break
         rows, first = _nodes_of(rows, first, open_)
-        tried, often = plan.tried(path[open_], tree), times.take(rows)
+        tried, often = plan.tried(path[open_], tree), times.take(rows, mode="clip")
         step = max(1, CELLS // (tried.shape[1] * BINS * classes))
         found = []
         for start in range(0, len(open_), step):
@@ -237,10 +259,10 @@ def grow(plan: Plan, held: np.ndarray, truth: np.ndarray, times: np.ndarray, tre
         if not len(split):
             break
         rows, first = _nodes_of(rows, first, split)
-        place = np.repeat(np.arange(len(split)), np.diff(first))
-        high = flat.take(rows * held.shape[1] + feature[node].take(place)) > cut[node].astype(np.uint8).take(place)
-        order, first = by_place(2 * place + high, 2 * len(split))
-        rows = rows.take(order)
+        held = np.diff(first)
+        high = cells.bins(rows, np.repeat(feature[node], held)) > np.repeat(cut[node], held)
+        order, first = halves(high, first)
+        rows = rows.take(order, mode="clip")
         counts = np.stack([low[split], counts[node] - low[split]], axis=1).reshape(-1, classes)
         path = (2 * path[node][:, None] + np.arange(2)).ravel()
     return pruned(*(np.concatenate(x) for x in zip(*parts, strict=True)), plan.weights)

@@ -128,15 +128,21 @@ def forest_arrays(nodes: pd.DataFrame, sample_size: int) -> dict:
 def forest_score(forest: dict, x: np.ndarray) -> np.ndarray:
     """-2^(-E[h]/c): close to -1 for outliers, above -0.5 for ordinary rows."""
     total = np.zeros(len(x))
+    if len(x) and forest["feature"].max(initial=0) >= x.shape[1]:
+        raise IndexError(f"rows have {x.shape[1]} values, the forest reads more")
     for first in range(0, len(x), _SCORED_ROWS):
         part = np.ascontiguousarray(x[first:first + _SCORED_ROWS], float)
         flat, start = part.ravel(), np.arange(len(part)) * part.shape[1]
         for root in forest["roots"]:
             at = np.full(len(part), root)
+            # all places exist now, so they are looked up without numpy's slower check
             for _ in range(forest["steps"]):
-                go_left = flat.take(start + forest["feature"].take(at)) <= forest["threshold"].take(at)
-                at = forest["children"].take(2 * at + ~go_left)
-            total[first:first + _SCORED_ROWS] += forest["path"].take(at)
+                value = flat.take(start + forest["feature"].take(at, mode="clip"), mode="clip")
+                go_left = value <= forest["threshold"].take(at, mode="clip")
+                at *= 2
+                at += ~go_left
+                at = forest["children"].take(at, mode="clip")
+            total[first:first + _SCORED_ROWS] += forest["path"].take(at, mode="clip")
     mean = total / max(len(forest["roots"]), 1)
     if not forest["norm"]:
         return np.full(len(x), -0.5)
