@@ -114,3 +114,36 @@ def test_subtrees_of_a_round_are_dealt_to_a_task_each(spark, monkeypatch):
                                (0.1, 1.0, 1.0, boosting.BINS))
     assert sorted(found) == [0, 1, 2] and all(len(t.left) > 1 for t in found.values())
     assert [n > 0 for n in seen[0]] == [True] * 3
+
+
+def test_equal_features_are_kept_once(spark, monkeypatch):
+    """Features that follow from one another need no sums of their own; the trees stay the same."""
+    x, label = rows_of(240)
+    last = x[:, 1].copy()
+    last[-1] = x[:, 1].max() + 1  # differs in one block only
+    wide = np.column_stack([x[:, 0], 3 * x[:, 0] + 1, x[:, 1], last, x[:, 0], x[:, 2]])
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 16)
+    data = boosting.binned_blocks(frame(spark, wide, label), "label", "vector", boosting.BINS,
+                                  lambda ids, classes: np.zeros((len(ids), classes)))
+    kept = boosting.without_twins(data)
+    assert data.active == [0, 1, 2, 3, 4, 5] and kept.active == [0, 2, 3, 5]
+    model = boosting.fit(frame(spark, wide, label), "label", "vector", rounds=2, depth=3)
+    monkeypatch.setattr(boosting, "without_twins", lambda found: found)
+    plain = boosting.fit(frame(spark, wide, label), "label", "vector", rounds=2, depth=3)
+    for a, b in zip(sum(model.rounds, []), sum(plain.rounds, []), strict=True):
+        assert (a.feature, a.cut, a.left) == (b.feature, b.cut, b.left)
+        np.testing.assert_allclose(a.value, b.value, atol=1e-12)
+
+
+def test_passes_bring_splits_not_sums_to_the_driver(spark, monkeypatch):
+    """A column per bin and value made Spark plan and compile each pass longer than it ran."""
+    x, label = rows_of(200)
+    seen = []
+
+    def watched(self, f=type(spark.range(1)).toArrow):
+        seen.append(len(self.columns))
+        return f(self)
+
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", watched)
+    boosting.fit(frame(spark, x, label), "label", "vector", rounds=1, depth=2, local_rows=1)
+    assert len(seen) >= 2 and max(seen) <= 8

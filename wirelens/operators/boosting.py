@@ -1,13 +1,13 @@
 """Multiclass boosted trees from gradient histograms (E5).
 
 Features are cut into quantile bins once; the binned rows are stored in blocks, a byte per feature that
-takes more than one bin. A round grows one tree per class from the gradients of one softmax. The upper
+takes more than one bin; of features whose bins are the same in all rows the first is kept, which is the
+one that a split would take. A round grows one tree per class from the gradients of one softmax. The upper
 levels grow one after the other: every task adds up the gradients and curvatures of its rows per (tree
-node, feature, bin), Spark adds the tasks' histograms, and the driver picks the best split of every node.
-As soon as a node holds at most ``LOCAL_ROWS`` rows, these are brought together and one task grows the
-rest of its tree from the same histograms; all such nodes of a round share one pass. What reaches the
-driver is bounded by classes, nodes, features and bins, whatever the number of rows. Margins are stored
-with the rows every few rounds, so that a pass applies few trees and a lost executor costs one pass.
+node, feature, bin), and one group per node adds these up and picks the split. As soon as a node holds at
+most ``LOCAL_ROWS`` rows, these are brought together and one task grows the rest of its tree from the same
+histograms; all such nodes of a round share one pass. Only splits and trees reach the driver. Margins are
+stored with the rows every few rounds, so that a pass applies few trees and a lost executor costs one pass.
 
 Fitting ends early when no tree of a round splits: all later rounds would see the same rows with less
 curvature left. Missing values and nulls count as 0.
@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,15 @@ from pyspark.sql import functions as F
 from wirelens.session import cut_lineage
 
 BINS = 32
-# rows of a node whose subtree one task grows
-LOCAL_ROWS = 1 << 18
+# rows of a node whose subtree one task grows, about 40 bytes each and four times that while it works
+LOCAL_ROWS = 1 << 20
 # rows of a block, and of a stored partition at most
 BLOCK_ROWS, PART_ROWS = 1 << 11, 1 << 17
+# rows that are led through a tree, or summed up, at a time, which fit a core's cache
+PIECE_ROWS, SUM_ROWS = 1 << 13, 1 << 15
 MIN_GAIN = 1e-9
-# rounds after which margins are stored with the rows
-FOLD = 5
+# margins are stored with the rows when passes have applied so many rounds of trees anew, which costs as much
+FOLD = 10
 
 
 def packed(feature: np.ndarray, cut: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -47,17 +50,28 @@ def packed(feature: np.ndarray, cut: np.ndarray, left: np.ndarray) -> np.ndarray
 
 def descend(nodes: np.ndarray, held: np.ndarray) -> np.ndarray:
     """The node in which each row of ``held`` ends; a contiguous array is not copied."""
-    flat, start = held.ravel(), np.arange(len(held)) * held.shape[1]
-    at = np.zeros(len(held), np.int64)
-    while True:
-        # all places exist, so they are looked up without numpy's slower check
-        node = nodes.take(at, mode="clip")
-        below = node >> 24
-        node &= 0xFFFFFF
-        below += flat.take(start + (node >> 8), mode="clip") > node.astype(np.uint8)
-        if np.array_equal(below, at):
-            return at
-        at = below
+    out = np.empty(len(held), np.int64)
+    for lo in range(0, len(held), PIECE_ROWS):
+        part = held[lo:lo + PIECE_ROWS]
+        flat, start = part.ravel(), np.arange(len(part)) * part.shape[1]
+        at = np.zeros(len(part), np.int64)
+        while True:
+            below = _below(nodes, at, flat, start)
+            if np.array_equal(below, at):
+                break
+            at = below
+        out[lo:lo + PIECE_ROWS] = at
+    return out
+
+
+def _below(nodes: np.ndarray, at: np.ndarray, flat: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The nodes below ``at`` of rows whose bins begin at ``start`` of ``flat``."""
+    # all places exist, so they are looked up without numpy's slower check
+    node = nodes.take(at, mode="clip")
+    below = node >> 24
+    node &= 0xFFFFFF
+    below += flat.take(start + (node >> 8), mode="clip") > node.astype(np.uint8)
+    return below
 
 
 @dataclass
@@ -79,30 +93,33 @@ class Tree:
             column.extend([start, start])
         return first, first + 1
 
-    def leaves(self, bins: np.ndarray) -> np.ndarray:
-        """The node in which each row of ``bins`` ends."""
-        return descend(packed(*map(np.array, (self.feature, self.cut, self.left))), bins)
+    def packed(self) -> np.ndarray:
+        return packed(*map(np.array, (self.feature, self.cut, self.left)))
+
+
+# a tree's packed nodes and their values
+Walk = tuple[np.ndarray, np.ndarray]
+
+
+def walks(trees: list[Tree]) -> list[Walk]:
+    return [(tree.packed(), np.array(tree.value)) for tree in trees]
 
-    def step_down(self, bins: np.ndarray, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """The next node of each row; ``node`` itself if all are leaves."""
-        left = np.asarray(self.left)
-        # leaves lead to themselves
-        at = np.arange(len(left))
-        if not (left[node] >= 0).any():
-            return node
-        to_left, to_right = np.where(left < 0, at, left), np.where(left < 0, at, self.right)
-        low = bins[rows, np.asarray(self.feature)[node]] <= np.asarray(self.cut)[node]
-        return np.where(low, to_left[node], to_right[node])
 
+def softmax(margins: np.ndarray, axis: int = 1) -> np.ndarray:
+    odds = np.exp(margins - margins.max(axis=axis, keepdims=True))
+    return odds / odds.sum(axis=axis, keepdims=True)
 
-def softmax(margins: np.ndarray) -> np.ndarray:
-    odds = np.exp(margins - margins.max(axis=1, keepdims=True))
-    return odds / odds.sum(axis=1, keepdims=True)
 
+def add_round(margins: np.ndarray, bins: np.ndarray, trees: list[Walk]) -> None:
+    """``margins`` have a row per class, ``bins`` one per table row."""
+    for own, (nodes, value) in zip(margins, trees, strict=True):
+        own += value.take(descend(nodes, bins), mode="clip")
 
-def add_round(margins: np.ndarray, bins: np.ndarray, trees: list[Tree]) -> None:
-    for k, tree in enumerate(trees):
-        margins[:, k] += np.asarray(tree.value)[tree.leaves(bins)]
+
+def curvature(g: np.ndarray) -> np.ndarray:
+    """2p(1 - p) for gradients p or p - 1."""
+    size = np.abs(g)
+    return np.maximum(2 * size * (1 - size), 1e-16)
 
 
 def binned(values: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
@@ -152,11 +169,15 @@ class BoostedModel:
     edges: list[np.ndarray]
     rounds: list[list[Tree]]
 
+    @cached_property
+    def walks(self) -> list[list[Walk]]:
+        return [walks(trees) for trees in self.rounds]
+
     def margins(self, values: np.ndarray) -> np.ndarray:
-        bins, out = binned(values, self.edges), np.zeros((len(values), len(self.classes)))
-        for trees in self.rounds:
+        bins, out = binned(values, self.edges), np.zeros((len(self.classes), len(values)))
+        for trees in self.walks:
             add_round(out, bins, trees)
-        return out
+        return out.T
 
     def probabilities(self, df: DataFrame, vector: str = "vector", out: str = "probabilities"
                       ) -> DataFrame:
@@ -187,28 +208,33 @@ class BoostedModel:
                             [[Tree(**t) for t in trees] for trees in held["rounds"]])
 
 
-def sums(held: np.ndarray, slot: np.ndarray, values: list[np.ndarray | None], number: int, bins: int
+def sums(held: np.ndarray, slot: np.ndarray | None, values: list[np.ndarray | None], number: int, bins: int
          ) -> np.ndarray:
     """(slot, feature, bin, value) sums of the rows with a slot; None counts them. ``held`` has a row
-    per feature."""
-    use = np.flatnonzero(slot >= 0)
-    if len(use) < len(slot):
-        held, slot = held[:, use], slot[use]
-        values = [None if v is None else v[use] for v in values]
-    start, out = slot * bins, np.empty((number, len(held), bins, len(values)))
-    for j, column in enumerate(held):
-        at = start + column
-        for i, v in enumerate(values):
-            out[:, j, :, i] = np.bincount(at, v, number * bins).reshape(number, bins)
-    return out
+    per feature; without ``slot`` all rows are in slot 0."""
+    out = np.zeros((len(held), len(values), number * bins))
+    for lo in range(0, held.shape[1], SUM_ROWS):
+        span = slice(lo, lo + SUM_ROWS)
+        part, weights = held[:, span], [None if v is None else v[span] for v in values]
+        if slot is not None:
+            own = slot[span]
+            use = np.flatnonzero(own >= 0)
+            start = own.take(use, mode="clip") * bins
+            weights = [None if v is None else v.take(use, mode="clip") for v in weights]
+        for column, total in zip(part, out, strict=True):
+            at = column if slot is None else start + column.take(use, mode="clip")
+            for v, sum_ in zip(weights, total, strict=True):
+                sum_ += np.bincount(at, v, number * bins)
+    return np.ascontiguousarray(out.reshape(len(held), len(values), number, bins).transpose(2, 0, 3, 1))
 
 
 def grow(held: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, step: float, ridge: float,
          least: float, bins: int) -> Tree:
     """A tree of up to ``depth`` levels of splits over rows in memory. Of two children the one with
     fewer rows is summed up, the other is what remains of their parent."""
-    tree, node, rows = Tree(), np.zeros(len(g), np.int64), np.arange(len(g))
-    open_, hist = [0], sums(held, node, [g, h], 1, bins)
+    tree, node, width = Tree(), np.zeros(len(g), np.int64), len(held)
+    flat = np.ascontiguousarray(held.T).ravel()
+    open_, hist = [0], sums(held, None, [g, h], 1, bins)
     tree.value[0] = leaf_value(hist[0, 0].sum(axis=0), step, ridge)
     for level in range(depth):
         gain, feature, at, totals, low = best_splits(hist, ridge, least)
@@ -221,12 +247,15 @@ def grow(held: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, step: float
             following += pair
         if not following or level + 1 == depth:
             break
-        node = tree.step_down(held.T, node, rows)
+        nodes = tree.packed()
+        for lo in range(0, len(node), SUM_ROWS):
+            own = node[lo:lo + SUM_ROWS]
+            own[:] = _below(nodes, own, flat, np.arange(lo, lo + len(own)) * width)
         count = np.bincount(node, minlength=len(tree.left))[following].reshape(-1, 2)
         fewer = np.arange(len(split)) * 2 + (count[:, 1] < count[:, 0])
         place = np.full(len(tree.left), -1)
         place[np.array(following)[fewer]] = np.arange(len(split))
-        below = sums(held, place[node], [g, h], len(split), bins)
+        below = sums(held, place.take(node, mode="clip"), [g, h], len(split), bins)
         both = np.repeat(hist[split], 2, axis=0)
         both[fewer ^ 1] -= below
         both[fewer] = below
@@ -256,52 +285,71 @@ def write_blocks(held: np.ndarray, truth: np.ndarray, extra: np.ndarray) -> pa.R
 BLOCKS = "bins binary, truth binary, extra binary"
 
 
-def _gradients(batch: pa.RecordBatch, recent: list[list[Tree]], width: int, classes: int
-               ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bins with a row per feature, with a row per table row, gradients, curvatures) of a batch of stored
-    blocks, the latter with a column per class."""
+def _margins(batch: pa.RecordBatch, recent: list[list[Walk]], width: int, classes: int
+             ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bins with a row per feature, with a row per table row, class codes, margins with a row per class)
+    of a batch of stored blocks."""
     held, truth, extra = read_blocks(batch, width)
-    margins = np.frombuffer(extra).reshape(-1, classes).copy()
+    margins = np.frombuffer(extra).reshape(-1, classes).T.copy()
     by_row = np.ascontiguousarray(held.T)
     for trees in recent:
         add_round(margins, by_row, trees)
-    p = softmax(margins)
-    return held, by_row, p - (truth[:, None] == np.arange(classes)), np.maximum(2 * p * (1 - p), 1e-16)
+    return held, by_row, truth, margins
+
+
+def _gradients(batch: pa.RecordBatch, recent: list[list[Walk]], width: int, classes: int
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bins with a row per feature, with a row per table row, gradients with a row per class)."""
+    held, by_row, truth, margins = _margins(batch, recent, width, classes)
+    g = softmax(margins, axis=0)
+    g[truth, np.arange(len(truth))] -= 1
+    return held, by_row, g
+
+
+_SPLIT = ("slot int, gain double, feature int, cut int, totals array<double>, low array<double>, "
+          "rows double, low_rows double")
 
 
-def _histograms(rows: DataFrame, recent: list[list[Tree]], growing: list[Tree],
-                slots: list[dict[int, int]], width: int, bins: int) -> np.ndarray:
-    """(slot, feature, bin, 3) sums of gradients, curvatures and rows; ``slots`` number the open nodes
-    of each tree."""
-    number = sum(map(len, slots))
+def _splits(rows: DataFrame, recent: list[list[Walk]], growing: list[Tree], slots: list[dict[int, int]],
+            width: int, settings: tuple) -> dict[int, dict]:
+    """The best split of every numbered node, from sums of all tasks; ``slots`` number the open nodes of
+    each tree."""
     places = [_places(tree, known) for tree, known in zip(growing, slots, strict=True)]
     # slots of a tree follow one another
     firsts = [min(known.values(), default=0) for known in slots]
+    nodes, numbers = [tree.packed() for tree in growing], list(map(len, slots))
+    _, ridge, least, bins = settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((number, width, bins, 3))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held, by_row, g, h = _gradients(batch, recent, width, len(growing))
-            for k, tree in enumerate(growing):
-                if slots[k]:
-                    own = slice(firsts[k], firsts[k] + len(slots[k]))
-                    slot = places[k][tree.leaves(by_row)]
-                    total[own] += sums(held, np.where(slot < 0, -1, slot - firsts[k]),
-                                       [g[:, k], h[:, k], None], len(slots[k]), bins)
-        cells = total.reshape(number * width, 3 * bins)
-        used = np.flatnonzero(cells.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int64()), pa.array(list(cells[used]), pa.list_(pa.float64()))],
-            ["cell", "v"])
-
-    summed = rows.mapInArrow(run, "cell long, v array<double>").groupBy("cell").agg(
-        *[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(3 * bins)]).toArrow()
-    out = np.zeros((number * width, 3 * bins))
-    out[summed.column(0).to_numpy()] = np.column_stack(
-        [summed.column(i + 1).to_numpy() for i in range(3 * bins)])
-    return out.reshape(number, width, bins, 3)
+            held, by_row, g = _gradients(batch, recent, width, len(nodes))
+            for k, number in enumerate(numbers):
+                if not number:
+                    continue
+                slot = None
+                if len(nodes[k]) > 1:
+                    slot = places[k].take(descend(nodes[k], by_row), mode="clip")
+                    slot = np.where(slot < 0, -1, slot - firsts[k])
+                hist = sums(held, slot, [g[k], curvature(g[k]), None], number, bins)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(firsts[k], firsts[k] + number), pa.int32()),
+                     pa.array([x.tobytes() for x in hist], pa.binary())], ["slot", "hist"])
+
+    def pick(table: pa.Table) -> pa.Table:
+        hist = sum(np.frombuffer(x) for x in table.column(1).to_pylist()).reshape(1, width, bins, 3)
+        gain, feature, cut, totals, low = best_splits(hist, ridge, least)
+        counts = hist[0, feature[0], :, 2]
+        return pa.table([table.column(0)[:1], *[pa.array(x, t) for x, t in (
+            (gain, pa.float64()), (feature, pa.int32()), (cut, pa.int32()))],
+            *[pa.array(x.tolist(), pa.list_(pa.float64())) for x in (totals, low)],
+            *[pa.array([x], pa.float64()) for x in (counts.sum(), counts[:cut[0] + 1].sum())]],
+            names=[part.split()[0] for part in _SPLIT.split(", ")])
+
+    found = rows.mapInArrow(run, "slot int, hist binary").repartitionById(sum(numbers), "slot").groupBy(
+        "slot").applyInArrow(pick, _SPLIT).toArrow()
+    return {r["slot"]: r for r in found.to_pylist()}
 
 
 def _places(tree: Tree, known: dict[int, int]) -> np.ndarray:
@@ -317,38 +365,44 @@ _SUBTREE = ("slot int, feature array<int>, cut array<int>, left array<int>, righ
 
 def deal_slots(slot: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(slot, its rows) of every slot that rows have; -1 is none."""
-    order = np.argsort(slot, kind="stable")
+    # short numbers are sorted by their digits
+    order = np.argsort(slot.astype(np.int16 if slot.max() < 1 << 15 else np.int32), kind="stable")
     found, first = np.unique(slot[order], return_index=True)
     for number, own in zip(found.tolist(), np.split(order, first[1:]), strict=True):
         if number >= 0:
             yield number, own
 
 
-def _subtrees(rows: DataFrame, recent: list[list[Tree]], growing: list[Tree],
+def _subtrees(rows: DataFrame, recent: list[list[Walk]], growing: list[Tree],
               slots: list[dict[int, int]], left: list[int], width: int, settings: tuple
               ) -> dict[int, Tree]:
     """The rest of the tree below every numbered node, ``left`` levels each, by number."""
     places = [_places(tree, known) for tree, known in zip(growing, slots, strict=True)]
+    nodes = [tree.packed() for tree in growing]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held, by_row, g, h = _gradients(batch, recent, width, len(growing))
-            for k, tree in enumerate(growing):
+            held, by_row, g = _gradients(batch, recent, width, len(nodes))
+            for k, place in enumerate(places):
+                if len(place) == 1:
+                    parts = [(int(place[0]), held, g[k])] if place[0] >= 0 else []
+                else:
+                    parts = ((slot, held.take(own, axis=1, mode="clip"), g[k].take(own, mode="clip"))
+                             for slot, own in deal_slots(place.take(descend(nodes[k], by_row), mode="clip")))
                 # one record per slot, not per row
-                for slot, own in deal_slots(places[k][tree.leaves(by_row)]):
+                for slot, *own in parts:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([slot], pa.int32()),
-                         *[pa.array([x.tobytes()], pa.binary()) for x in (
-                             held[:, own], g[own, k], h[own, k])]], ["slot", "bins", "g", "h"])
+                         *[pa.array([x.tobytes()], pa.binary()) for x in own]], ["slot", "bins", "g"])
 
     def finish(table: pa.Table) -> pa.Table:
         slot = table.column(0)[0].as_py()
         held = np.concatenate([np.frombuffer(b, np.uint8).reshape(width, -1)
                                for b in table.column(1).to_pylist()], axis=1)
-        g, h = (np.frombuffer(b"".join(table.column(i).to_pylist())) for i in (2, 3))
-        tree = grow(held, g, h, left[slot], *settings)
+        g = np.frombuffer(b"".join(table.column(2).to_pylist()))
+        tree = grow(held, g, curvature(g), left[slot], *settings)
         lists = [pa.array([x], pa.list_(pa.int32())) for x in (
             tree.feature, tree.cut, tree.left, tree.right)]
         return pa.table([pa.array([slot], pa.int32()), *lists,
@@ -356,7 +410,7 @@ def _subtrees(rows: DataFrame, recent: list[list[Tree]], growing: list[Tree],
                         names=[part.split()[0] for part in _SUBTREE.split(", ")])
 
     # a partition per slot, where hashes would bring some together and leave other tasks without work
-    dealt = rows.mapInArrow(deal, "slot int, bins binary, g binary, h binary").repartitionById(
+    dealt = rows.mapInArrow(deal, "slot int, bins binary, g binary").repartitionById(
         len(left), "slot")
     return {r["slot"]: Tree(r["feature"], r["cut"], r["left"], r["right"], r["value"])
             for r in dealt.groupBy("slot").applyInArrow(finish, _SUBTREE).toArrow().to_pylist()}
@@ -376,17 +430,12 @@ def attach(tree: Tree, node: int, below: Tree) -> None:
         column.extend(new[1:])
 
 
-def _folded(rows: DataFrame, recent: list[list[Tree]], width: int, classes: int) -> DataFrame:
+def _folded(rows: DataFrame, recent: list[list[Walk]], width: int, classes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held, truth, extra = read_blocks(batch, width)
-            margins = np.frombuffer(extra).reshape(-1, classes).copy()
-            by_row = np.ascontiguousarray(held.T)
-            for trees in recent:
-                add_round(margins, by_row, trees)
-            yield write_blocks(held, truth, margins)
+            if batch.num_rows:
+                held, _, truth, margins = _margins(batch, recent, width, classes)
+                yield write_blocks(held, truth, np.ascontiguousarray(margins.T))
 
     return cut_lineage(rows.mapInArrow(run, BLOCKS))
 
@@ -445,16 +494,47 @@ def binned_blocks(df: DataFrame, label: str, vector: str, bins: int,
     return Binned(classes, edges, active, size, cut_lineage(blocks))
 
 
+def without_twins(data: Binned) -> Binned:
+    """Without the stored features whose bins are those of an earlier one in all rows: sums and gains would
+    be the same, and of equal gains the first is taken."""
+    width = len(data.active)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                seen: dict[bytes, int] = {}
+                found = [seen.setdefault(column.tobytes(), j) for j, column in enumerate(read_blocks(batch, width)[0])]
+                yield pa.RecordBatch.from_arrays([pa.array([found], pa.list_(pa.int32()))], ["first"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = [np.frombuffer(b, np.uint8).reshape(width, -1)[kept].tobytes()
+                    for b in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.binary()), batch.column(1), batch.column(2)],
+                                             batch.schema.names)
+
+    found = data.rows.mapInArrow(firsts, "first array<int>").distinct().collect()
+    # features are equal in all rows if they are in every batch
+    seen: dict[tuple, int] = {}
+    for j in range(width):
+        seen.setdefault(tuple(r[0][j] for r in found), j)
+    kept = list(seen.values())
+    if len(kept) == width:
+        return data
+    return replace(data, active=[data.active[j] for j in kept], rows=cut_lineage(data.rows.mapInArrow(cut, BLOCKS)))
+
+
 def fit(df: DataFrame, label: str, vector: str, rounds: int = 200, depth: int = 8, step: float = 0.1,
         ridge: float = 1.0, least: float = 1.0, bins: int = BINS, local_rows: int | None = None
         ) -> BoostedModel:
     """Trees for all classes of ``label``; ``vector`` holds arrays of one length."""
     local_rows = local_rows or LOCAL_ROWS
     data = binned_blocks(df, label, vector, bins, lambda ids, classes: np.zeros((len(ids), classes)))
-    classes, size, stored, width = data.classes, data.size, data.rows, len(data.active)
-    model, recent = BoostedModel(classes, data.edges, []), []
-    if not size:
+    model, recent, walked = BoostedModel(data.classes, data.edges, []), [], 0
+    if not data.size:
         return model
+    data = without_twins(data)
+    classes, size, stored, width = data.classes, data.size, data.rows, len(data.active)
     settings = (step, ridge, least, bins)
     for _ in range(rounds):
         growing = [Tree() for _ in classes]
@@ -472,30 +552,29 @@ def fit(df: DataFrame, label: str, vector: str, rounds: int = 200, depth: int =
                         slots[k][node] = sum(map(len, slots))
             if not any(slots):
                 break
-            hist = _histograms(stored, recent, growing, slots, width, bins)
-            gain, feature, at, totals, below = best_splits(hist, ridge, least)
+            found = _splits(stored, recent, growing, slots, width, settings)
+            walked += len(recent)
             open_ = [{} for _ in classes]
             for k, known in enumerate(slots):
                 for node, slot in known.items():
-                    growing[k].value[node] = leaf_value(totals[slot], step, ridge)
-                    if gain[slot] > MIN_GAIN and level < depth:
-                        low = hist[slot, feature[slot], :at[slot] + 1, 2].sum()
-                        children = growing[k].split(node, int(feature[slot]), int(at[slot]))
-                        whole = hist[slot, 0, :, 2].sum()
-                        open_[k] |= dict(zip(children, (low, whole - low), strict=True))
-                        for child, held in zip(children, (below[slot], totals[slot] - below[slot]),
-                                               strict=True):
+                    r = found[slot]
+                    low, totals = np.array(r["low"]), np.array(r["totals"])
+                    growing[k].value[node] = leaf_value(totals, step, ridge)
+                    if r["gain"] > MIN_GAIN and level < depth:
+                        children = growing[k].split(node, r["feature"], r["cut"])
+                        open_[k] |= dict(zip(children, (r["low_rows"], r["rows"] - r["low_rows"]), strict=True))
+                        for child, held in zip(children, (low, totals - low), strict=True):
                             growing[k].value[child] = leaf_value(held, step, ridge)
         if levels:
             below = _subtrees(stored, recent, growing, small, levels, width, settings)
+            walked += len(recent)
             for k, known in enumerate(small):
                 for node, slot in known.items():
                     attach(growing[k], node, below[slot])
         model.rounds.append([data.features_of(tree) for tree in growing])
-        recent.append(growing)
+        recent.append(walks(growing))
         if all(len(tree.left) == 1 for tree in growing):
             break
-        if len(recent) == FOLD:
-            stored = _folded(stored, recent, width, len(classes))
-            recent = []
+        if walked >= FOLD:
+            stored, recent, walked = _folded(stored, recent, width, len(classes)), [], 0
     return model
