@@ -135,7 +135,7 @@ def test_equal_features_are_kept_once(spark, monkeypatch):
         np.testing.assert_allclose(a.value, b.value, atol=1e-12)
 
 
-def test_passes_bring_splits_not_sums_to_the_driver(spark, monkeypatch):
+def test_passes_have_few_columns(spark, monkeypatch):
     """A column per bin and value made Spark plan and compile each pass longer than it ran."""
     x, label = rows_of(200)
     seen = []
@@ -147,3 +147,29 @@ def test_passes_bring_splits_not_sums_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(type(spark.range(1)), "toArrow", watched)
     boosting.fit(frame(spark, x, label), "label", "vector", rounds=1, depth=2, local_rows=1)
     assert len(seen) >= 2 and max(seen) <= 8
+
+
+def test_of_two_sisters_the_smaller_is_summed(spark, monkeypatch):
+    """Only nodes too large for a task take passes, and a pass leaves out what remains of their parents."""
+    x, label = rows_of(300)
+    seen, read = [], boosting._histograms
+
+    def watched(rows, recent, growing, slots, *args):
+        found = read(rows, recent, growing, slots, *args)
+        seen.append([(k, n, found[slot][0, :, 2].sum()) for k, known in enumerate(slots) for n, slot in known.items()])
+        return found
+
+    monkeypatch.setattr(boosting, "_histograms", watched)
+    boosting.fit(frame(spark, x, label), "label", "vector", rounds=1, depth=3, local_rows=1)
+    assert [held for _, _, held in seen[0]] == [300] * 3
+    below = {(k, n): held for k, n, held in seen[1]}
+    assert len(below) == 3 and all(n in (1, 2) and held <= 150 for (_, n), held in below.items())
+    assert all((k, boosting.sister(n)) not in {(k, n) for k, n, _ in found} for found in seen[1:] for k, n, _ in found)
+    seen.clear()
+    monkeypatch.setattr(boosting, "LOCAL_BYTES", 200 * (3 * 4 + 40))  # 200 rows of four features
+    boosting.fit(frame(spark, x, label), "label", "vector", rounds=1, depth=3)
+    assert 1 <= len(seen) <= 3 and [held for _, _, held in seen[0]] == [300] * 3
+    seen.clear()
+    monkeypatch.setattr(boosting, "LOCAL_BYTES", 300 * (3 * 4 + 40))
+    boosting.fit(frame(spark, x, label), "label", "vector", rounds=1, depth=3)
+    assert not seen

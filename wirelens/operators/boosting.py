@@ -4,10 +4,12 @@ Features are cut into quantile bins once; the binned rows are stored in blocks,
 takes more than one bin; of features whose bins are the same in all rows the first is kept, which is the
 one that a split would take. A round grows one tree per class from the gradients of one softmax. The upper
 levels grow one after the other: every task adds up the gradients and curvatures of its rows per (tree
-node, feature, bin), and one group per node adds these up and picks the split. As soon as a node holds at
-most ``LOCAL_ROWS`` rows, these are brought together and one task grows the rest of its tree from the same
-histograms; all such nodes of a round share one pass. Only splits and trees reach the driver. Margins are
-stored with the rows every few rounds, so that a pass applies few trees and a lost executor costs one pass.
+node, feature, bin), a group per node adds these up, and the driver picks the split; of two sisters the one
+with fewer rows is summed, the other is what remains of their parent. As soon as the rows of a node fit
+``LOCAL_BYTES``, they are brought together and one task grows the rest of its tree from the same histograms;
+all such nodes of a round share one pass. What reaches the driver is bounded by classes, nodes, features and
+bins, whatever the number of rows. Margins are stored with the rows every few rounds, so that a pass applies
+few trees and a lost executor costs one pass.
 
 Fitting ends early when no tree of a round splits: all later rounds would see the same rows with less
 curvature left. Missing values and nulls count as 0.
@@ -28,10 +30,10 @@ from pyspark.sql import functions as F
 from wirelens.session import cut_lineage
 
 BINS = 32
-# rows of a node whose subtree one task grows, about 40 bytes each and four times that while it works
-LOCAL_ROWS = 1 << 20
-# rows of a block, and of a stored partition at most
-BLOCK_ROWS, PART_ROWS = 1 << 11, 1 << 17
+# memory of a task that grows the subtree of a node: bins three times and five numbers a row
+LOCAL_BYTES = 1 << 29
+# rows of a block, and of a stored partition at most; histograms are added up over fewer partitions
+BLOCK_ROWS, PART_ROWS, FIT_PART_ROWS = 1 << 11, 1 << 17, 1 << 19
 # rows that are led through a tree, or summed up, at a time, which fit a core's cache
 PIECE_ROWS, SUM_ROWS = 1 << 13, 1 << 15
 MIN_GAIN = 1e-9
@@ -306,19 +308,14 @@ def _gradients(batch: pa.RecordBatch, recent: list[list[Walk]], width: int, clas
     return held, by_row, g
 
 
-_SPLIT = ("slot int, gain double, feature int, cut int, totals array<double>, low array<double>, "
-          "rows double, low_rows double")
-
-
-def _splits(rows: DataFrame, recent: list[list[Walk]], growing: list[Tree], slots: list[dict[int, int]],
-            width: int, settings: tuple) -> dict[int, dict]:
-    """The best split of every numbered node, from sums of all tasks; ``slots`` number the open nodes of
-    each tree."""
+def _histograms(rows: DataFrame, recent: list[list[Walk]], growing: list[Tree], slots: list[dict[int, int]],
+                width: int, bins: int) -> list[np.ndarray]:
+    """(feature, bin, 3) sums of gradients, curvatures and rows of every numbered node; ``slots`` number the
+    nodes of each tree."""
     places = [_places(tree, known) for tree, known in zip(growing, slots, strict=True)]
     # slots of a tree follow one another
     firsts = [min(known.values(), default=0) for known in slots]
     nodes, numbers = [tree.packed() for tree in growing], list(map(len, slots))
-    _, ridge, least, bins = settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,19 +334,13 @@ def _splits(rows: DataFrame, recent: list[list[Walk]], growing: list[Tree], slot
                     [pa.array(range(firsts[k], firsts[k] + number), pa.int32()),
                      pa.array([x.tobytes() for x in hist], pa.binary())], ["slot", "hist"])
 
-    def pick(table: pa.Table) -> pa.Table:
-        hist = sum(np.frombuffer(x) for x in table.column(1).to_pylist()).reshape(1, width, bins, 3)
-        gain, feature, cut, totals, low = best_splits(hist, ridge, least)
-        counts = hist[0, feature[0], :, 2]
-        return pa.table([table.column(0)[:1], *[pa.array(x, t) for x, t in (
-            (gain, pa.float64()), (feature, pa.int32()), (cut, pa.int32()))],
-            *[pa.array(x.tolist(), pa.list_(pa.float64())) for x in (totals, low)],
-            *[pa.array([x], pa.float64()) for x in (counts.sum(), counts[:cut[0] + 1].sum())]],
-            names=[part.split()[0] for part in _SPLIT.split(", ")])
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py()) for x in table.column(1))
+        return pa.table([table.column(0)[:1], pa.array([total.tobytes()], pa.binary())], names=["slot", "hist"])
 
     found = rows.mapInArrow(run, "slot int, hist binary").repartitionById(sum(numbers), "slot").groupBy(
-        "slot").applyInArrow(pick, _SPLIT).toArrow()
-    return {r["slot"]: r for r in found.to_pylist()}
+        "slot").applyInArrow(add, "slot int, hist binary").toArrow().sort_by("slot")
+    return [np.frombuffer(x).reshape(width, bins, 3) for x in found.column(1).to_pylist()]
 
 
 def _places(tree: Tree, known: dict[int, int]) -> np.ndarray:
@@ -456,7 +447,8 @@ class Binned:
 
 
 def binned_blocks(df: DataFrame, label: str, vector: str, bins: int,
-                  extra: Callable[[np.ndarray, int], np.ndarray], stored: bool = False) -> Binned:
+                  extra: Callable[[np.ndarray, int], np.ndarray], stored: bool = False,
+                  part_rows: int = PART_ROWS) -> Binned:
     """``extra`` makes the third column of the blocks of row numbers and the number of classes. Rows that
     are ``stored`` are not written before several passes read them."""
     rows = df.select(F.col(label).cast("string").alias("label"),
@@ -489,7 +481,7 @@ def binned_blocks(df: DataFrame, label: str, vector: str, bins: int,
                                    extra(batch.column(2).to_numpy(), number))
 
     # a task's histograms are as large for few rows as for many, so there are no more tasks than needed
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_ROWS))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // part_rows))
     blocks = used.mapInArrow(cut, BLOCKS).repartition(min(parts, -(-size // BLOCK_ROWS)))
     return Binned(classes, edges, active, size, cut_lineage(blocks))
 
@@ -524,24 +516,32 @@ def without_twins(data: Binned) -> Binned:
     return replace(data, active=[data.active[j] for j in kept], rows=cut_lineage(data.rows.mapInArrow(cut, BLOCKS)))
 
 
+def sister(node: int) -> int:
+    """The other child of a node's parent; the root's is itself."""
+    return ((node - 1) ^ 1) + 1 if node else 0
+
+
 def fit(df: DataFrame, label: str, vector: str, rounds: int = 200, depth: int = 8, step: float = 0.1,
         ridge: float = 1.0, least: float = 1.0, bins: int = BINS, local_rows: int | None = None
         ) -> BoostedModel:
     """Trees for all classes of ``label``; ``vector`` holds arrays of one length."""
-    local_rows = local_rows or LOCAL_ROWS
-    data = binned_blocks(df, label, vector, bins, lambda ids, classes: np.zeros((len(ids), classes)))
+    data = binned_blocks(df, label, vector, bins, lambda ids, classes: np.zeros((len(ids), classes)),
+                         part_rows=FIT_PART_ROWS)
     model, recent, walked = BoostedModel(data.classes, data.edges, []), [], 0
     if not data.size:
         return model
     data = without_twins(data)
     classes, size, stored, width = data.classes, data.size, data.rows, len(data.active)
+    local_rows = local_rows or LOCAL_BYTES // (3 * width + 40)
     settings = (step, ridge, least, bins)
     for _ in range(rounds):
         growing = [Tree() for _ in classes]
         open_: list[dict[int, float]] = [{0: size} for _ in classes]  # rows of the open nodes
+        parents: list[dict[int, np.ndarray]] = [{} for _ in classes]  # sums of the open nodes' parents
         small: list[dict[int, int]] = [{} for _ in classes]
         levels: list[int] = []
         for level in range(max(depth, 1)):
+            large: list[tuple[int, int]] = []
             slots: list[dict[int, int]] = [{} for _ in classes]
             for k, nodes in enumerate(open_):
                 for node, held in nodes.items():
@@ -549,22 +549,26 @@ def fit(df: DataFrame, label: str, vector: str, rounds: int = 200, depth: int =
                         small[k][node] = len(levels)
                         levels.append(depth - level)
                     else:
-                        slots[k][node] = sum(map(len, slots))
-            if not any(slots):
+                        large.append((k, node))
+                        slots[k].setdefault(min(node, sister(node), key=nodes.get), sum(map(len, slots)))
+            if not large:
                 break
-            found = _splits(stored, recent, growing, slots, width, settings)
+            found = _histograms(stored, recent, growing, slots, width, bins)
             walked += len(recent)
-            open_ = [{} for _ in classes]
-            for k, known in enumerate(slots):
-                for node, slot in known.items():
-                    r = found[slot]
-                    low, totals = np.array(r["low"]), np.array(r["totals"])
-                    growing[k].value[node] = leaf_value(totals, step, ridge)
-                    if r["gain"] > MIN_GAIN and level < depth:
-                        children = growing[k].split(node, r["feature"], r["cut"])
-                        open_[k] |= dict(zip(children, (r["low_rows"], r["rows"] - r["low_rows"]), strict=True))
-                        for child, held in zip(children, (low, totals - low), strict=True):
-                            growing[k].value[child] = leaf_value(held, step, ridge)
+            hist = np.stack([found[slots[k][node]] if node in slots[k]
+                             else parents[k][node] - found[slots[k][sister(node)]] for k, node in large])
+            open_, parents = [{} for _ in classes], [{} for _ in classes]
+            for (k, node), sums_, gain, feature, at, totals, low in zip(
+                    large, hist, *best_splits(hist, ridge, least), strict=True):
+                tree = growing[k]
+                tree.value[node] = leaf_value(totals, step, ridge)
+                if gain > MIN_GAIN and level < depth:
+                    children = tree.split(node, int(feature), int(at))
+                    counts = sums_[feature, :, 2]
+                    for child, held, rows in zip(children, (low, totals - low), (
+                            counts[:at + 1].sum(), counts[at + 1:].sum()), strict=True):
+                        tree.value[child] = leaf_value(held, step, ridge)
+                        open_[k][child], parents[k][child] = rows, sums_
         if levels:
             below = _subtrees(stored, recent, growing, small, levels, width, settings)
             walked += len(recent)
